@@ -63,6 +63,7 @@ def test_odd_rows(spark):
 
 
 def test_spanning_links_keep_chains():
-    points = np.array([0, 0b1111, 0b11111111, 1 << 60, (1 << 60) | 1], np.uint64)
+    far = 0xFFFF << 48
+    points = np.array([0, 0b1111, 0b11111111, far, far | 1], np.uint64)
     ends, heads = simhash._spanning_links(points, 4)
-    assert sorted(zip(np.concatenate(ends).tolist(), np.concatenate(heads).tolist())) == [(15, 0), (255, 0), ((1 << 60) | 1, 1 << 60)]
+    assert sorted(zip(np.concatenate(ends).tolist(), np.concatenate(heads).tolist())) == [(15, 0), (255, 0), (far | 1, far)]

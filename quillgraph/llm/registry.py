@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import simhash
+from quillgraph.llm import simhash, substrings
 
-MODULES = (simhash,)
+MODULES = (simhash, substrings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

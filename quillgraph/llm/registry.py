@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import simhash, substrings
+from quillgraph.llm import pii, simhash, substrings
 
-MODULES = (simhash, substrings)
+MODULES = (simhash, substrings, pii)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -165,11 +165,12 @@ def _with_base(n_others: int, names: list[str], spans: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             base, k1s, k2s = [], [], []
-            for cell in b.column(n_others):
+            for i, cell in enumerate(b.column(n_others)):
                 text = cell.as_py()
                 found = base_spans(text)
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-                k1, k2 = _key(text) if text and _SIGN.search(text) else (None, None)
+                # A key that meets nothing still spreads its rows.
+                k1, k2 = _key(text) if text else (i, None)
                 k1s.append(k1)
                 k2s.append(k2)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(base, spans), pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64())], names=names)

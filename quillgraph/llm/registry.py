@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import pii, simhash, substrings
+from quillgraph.llm import pii, quality, simhash, substrings
 
-MODULES = (simhash, substrings, pii)
+MODULES = (simhash, substrings, pii, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillgraph.llm._words import words
 from quillgraph.operators.components import connected_components
@@ -78,8 +79,8 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, out: str =
     are, but for one that is named ``out``, which is replaced.
     """
     others = [c for c in docs.columns if c not in (text, out)]
-    source = docs.select(*others, text)
-    schema = source.drop(text).withColumn(out, F.lit(0).cast("long")).schema
+    source = docs.select(*[f"`{c}`" for c in (*others, text)])
+    schema = StructType([*source.schema.fields[:-1], StructField(out, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -49,7 +49,7 @@ def test_ratios_count_all_rows(spark):
 
 
 def test_odd_rows_and_clashes(spark):
-    docs = spark.createDataFrame([(1, None), (1, ""), (None, "a b c"), (2, "z" * 200_000)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "label", "places", "t.x")})
+    docs = spark.createDataFrame([(1, None), (1, ""), (None, "a b c"), (2, "z" * 200_000)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("score", "label", "places", "t x")})
     model = quality.Model(np.ones(1 << quality.BITS, np.float32), 0.25, 1.0, 0.0)
     got = quality.score(docs, model)
     assert set(got.columns) == set(docs.columns)

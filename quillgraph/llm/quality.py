@@ -90,20 +90,22 @@ def log_ratios(positive: np.ndarray, negative: np.ndarray, smoothing: float = 1.
 
 def dual_descent(rows: list[np.ndarray], signs: np.ndarray, ratios: np.ndarray, cost: float = COST, rounds: int = ROUNDS, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights for scaled indicators and the bias: hinge loss, L2 penalty, one dual variable at a time."""
-    values = [(ratios[r] / np.sqrt(max(1, len(r)))).astype(np.float64) for r in rows]
-    norms = np.array([float(v @ v) for v in values]) + 1.0
+    scales = 1 / np.sqrt([max(1, len(r)) for r in rows])
+    squares = ratios * ratios
+    norms = np.array([squares[r].sum() * s * s for r, s in zip(rows, scales, strict=True)]) + 1.0
     weights, bias, alpha = np.zeros(len(ratios)), 0.0, np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = signs[i] * (float(weights[rows[i]] @ values[i]) + bias) - 1.0
+            value = ratios[rows[i]] * scales[i]
+            gradient = signs[i] * (float(weights[rows[i]] @ value) + bias) - 1.0
             projected = min(gradient, 0.0) if alpha[i] == 0 else max(gradient, 0.0) if alpha[i] == cost else gradient
             worst = max(worst, abs(projected))
             if projected:
                 step = min(max(alpha[i] - gradient / norms[i], 0.0), cost) - alpha[i]
                 alpha[i] += step
-                weights[rows[i]] += step * signs[i] * values[i]
+                weights[rows[i]] += step * signs[i] * value
                 bias += step * signs[i]
         if worst < tolerance:
             break
@@ -173,13 +175,14 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     )
     positive, negative = np.zeros(1 << bits), np.zeros(1 << bits)
     positive[sums["place"]], negative[sums["place"]] = sums["p"], sums["q"]
-    taken = rows.where("label is not null").select("label", "places").orderBy(F.xxhash64("places")).toPandas()
-    labels = taken["label"].to_numpy(dtype=np.float64)
+    taken = rows.where("label is not null").select("label", "places").orderBy(F.xxhash64("places")).toArrow().combine_chunks()
+    labels = taken["label"].to_numpy().astype(np.float64)
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(1 << bits, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))), bits)
     ratios = log_ratios(positive, negative)
-    places = [np.asarray(p, np.int32) for p in taken["places"]]
+    flat, ends = taken["places"].chunk(0).values.to_numpy(), taken["places"].chunk(0).offsets.to_numpy()
+    places = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     # Margins of rows that a model was fitted to are too sure of themselves: the curve is fitted to those of left-out rows.
     margins, fold = np.zeros(len(places)), np.arange(len(places)) % FOLDS
     for k in range(FOLDS):

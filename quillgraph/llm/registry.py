@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, pii, quality, simhash, substrings
+from quillgraph.llm import decontaminate, pii, quality, segmentations, simhash, substrings
 
-MODULES = (simhash, substrings, pii, quality, decontaminate)
+MODULES = (simhash, substrings, pii, quality, decontaminate, segmentations)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

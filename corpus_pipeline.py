@@ -1,15 +1,74 @@
-"""Corpus preparation in stages; each reads what its predecessor kept."""
+"""Corpus preparation in five stages; each works on all that its predecessor kept.
+
+1. quality: a model of ``labels.quality`` scores every text; documents below 0.5 go.
+2. near_duplicates: of each class of linked SimHash fingerprints the document with the smallest id stays, once. The
+   radius and shingles are the operator's own (4 bits, 4 words).
+3. decontamination: documents with a benchmark passage go.
+4. personal_data: identifiers become their kind in brackets; ``n_chars`` follows the text.
+5. segmentation: two sampled segmentations of each text, one row for each, with their pieces' ids.
+
+A document is named by its ``doc_id``: rows without one count as one document in stage 2.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quillgraph.llm.decontaminate import find_benchmark_passages
+from quillgraph.llm.pii import find_personal_data, redact
+from quillgraph.llm.quality import fit_documents, score
+from quillgraph.llm.segmentations import sample_segmentations
+from quillgraph.llm.simhash import near_duplicate_classes
+from quillgraph.session import stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model accepts."""
+    model = fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(docs, model, out="_score").where("_score >= 0.5").drop("_score")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    classes = near_duplicate_classes(docs)
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = find_benchmark_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("matches") == 0).drop("matches")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without personal data in them."""
+    clean = redact(find_personal_data(docs))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*docs.columns)
+
+
+def segmentation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document."""
+    return sample_segmentations(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("segmentation", segmentation),
+]
 
-STAGES: list = []
+#: SQL can express neither the fitted model nor the sampled segmentations.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result is a table before the next stage reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,6 +30,8 @@ from quillgraph.llm._words import mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
+#: Bytes of text whose lattices are held at once.
+SLICE = 3 << 17
 _GAP = 0x2581
 #: Stands for U+2581 in a text, which must not be taken for a blank.
 _OWN_GAP = 0x110000
@@ -352,7 +354,7 @@ def sample_segmentations(docs: DataFrame, key: str = "doc_id", text: str = "text
         v = load(model)
         for b in batches:
             column = b.column(n + 1)
-            for lo, hi, _, _ in slices(column):
+            for lo, hi, _, _ in slices(column, SLICE):
                 texts = [x or "" for x in column[lo:hi].to_pylist()]
                 found = sample_texts(v, texts, b.column(n)[lo:hi].to_numpy(), k, alpha, seed)
                 counts = [len(x) for x in found]

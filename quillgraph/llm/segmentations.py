@@ -378,9 +378,13 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model: str = MO
         v = load(model)
         for b in batches:
             column = b.column(len(others))
-            ends = column.offsets.to_numpy().astype(np.int64)
-            texts = decode_ids(v, column.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], ends - ends[0])
-            texts = pa.array([None if null else t.decode("utf-8", "replace") for t, null in zip(texts, column.is_null().to_pylist(), strict=True)], pa.string())
+            ends, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
+            found: list[str] = []
+            while len(found) < len(column):
+                a = len(found)
+                z = max(a + 1, int(np.searchsorted(ends, ends[a] + SLICE, "right")) - 1)
+                found += [t.decode("utf-8", "replace") for t in decode_ids(v, flat[ends[a] : ends[z]], ends[a : z + 1] - ends[a])]
+            texts = pa.array([None if null else t for t, null in zip(found, column.is_null().to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], texts], names=schema.names)
 
     return source.mapInArrow(run, schema)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, pii, quality, segmentations, sharding, simhash, substrings
+from quillgraph.llm import decontaminate, pii, quality, segmentations, sharding, simhash, substrings, warc
 
-MODULES = (simhash, substrings, pii, quality, decontaminate, segmentations, sharding)
+MODULES = (simhash, substrings, pii, quality, decontaminate, segmentations, sharding, warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

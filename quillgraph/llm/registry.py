@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import decontaminate, licences, pii, quality, segmentations, sharding, simhash, substrings, warc
+from quillgraph.llm import chroma, decontaminate, licences, pii, quality, segmentations, sharding, simhash, substrings, warc
 
-MODULES = (simhash, substrings, pii, quality, decontaminate, segmentations, sharding, warc, licences)
+MODULES = (simhash, substrings, pii, quality, decontaminate, segmentations, sharding, warc, licences, chroma)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

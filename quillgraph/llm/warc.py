@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quillgraph.llm._places import placed
-from quillgraph.session import fresh_path
+from quillgraph.session import fresh_path, stage
 
 RECORDS_PER_FILE = 20_000
 PRIMARY = ("response", "revisit", "resource")
@@ -185,15 +185,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(_parse, RECORDS)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, payloads: bool = True) -> DataFrame:
     """One row per capture: (capture_id, target_uri, main, requests, metadata), the latter two arrays.
 
+    Archives are read once into a table of records without the main payloads, on which all links are joined; payloads of
+    main records come in one further pass, and not at all (``main.payload`` is null then) without ``payloads``.
+
     A request or metadata record belongs to the response, revisit or resource that it names or that names it, or to that of
     another record which it names. What belongs to none makes a row with a null ``main``. Links without a record and
     repeated links change nothing; an empty table gives an empty table.
     """
-    known = records.where(F.col("record_id") != "")
-    is_main = F.col("type").isin(*PRIMARY)
+    is_main = F.coalesce(F.col("type").isin(*PRIMARY), F.lit(False))
+    known = stage(records.where(F.col("record_id") != "").withColumn("payload", F.when(~is_main, F.col("payload"))), "records")
     mains = known.where(is_main).select(F.col("record_id").alias("capture"))
     parts = known.where(~is_main & (F.col("type") != "warcinfo"))
     links = known.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
@@ -212,6 +215,9 @@ def assemble(records: DataFrame) -> DataFrame:
         F.collect_list(F.when(F.col("type") == "metadata", small)).alias("metadata"),
     )
     main = known.where(is_main)
+    if payloads:
+        bodies = records.where(is_main & (F.col("record_id") != "")).select("file", "record_id", "payload")
+        main = main.drop("payload").join(bodies, ["file", "record_id"])
     joined = main.join(gathered, F.col("record_id") == F.col("owner"), "full")
     fields = ("record_id", "type", "date", "content_type", "payload_digest", "refers_to", "http_length", "payload_bytes", "computed_digest", "payload")
     empty = F.array().cast("array<struct<record_id:string,date:string,content_type:string,payload:binary>>")
@@ -228,7 +234,7 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, read back and assembled."""
     path = fresh_path(spark, "warc")
     write_captures(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    captures = assemble(read_archives(spark, path))
+    captures = assemble(read_archives(spark, path), payloads=False)
     pages = captures.select(
         F.col("main.record_id").alias("id"),
         F.regexp_extract(F.element_at("metadata", 1)["payload"].cast("string"), r"key: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),

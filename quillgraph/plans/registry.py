@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import retrieval
+from quillgraph.plans import evidence, graph, retrieval
 
-MODULES = (retrieval,)
+MODULES = (retrieval, evidence, graph)
 
 
 def queries() -> dict:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import evidence, graph, retrieval
+from quillgraph.plans import evidence, graph, retrieval, stream
 
-MODULES = (retrieval, evidence, graph)
+MODULES = (retrieval, evidence, graph, stream)
 
 
 def queries() -> dict:

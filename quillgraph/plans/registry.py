@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import evidence, graph, retrieval, stream
+from quillgraph.plans import documents, evidence, graph, retrieval, stream
 
-MODULES = (retrieval, evidence, graph, stream)
+MODULES = (retrieval, evidence, graph, stream, documents)
 
 
 def queries() -> dict:

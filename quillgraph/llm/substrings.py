@@ -256,7 +256,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     parts = found.join(copies, ["k1", "k2"], "full")
     # Tasks may each have sent a copied text: one row for each text is enough.
     parts = parts.groupBy("k1", "k2").agg(F.max("copied").alias("copied"), F.max("gone").alias("gone"), F.max("kept").alias("kept"), *([F.max("kept_text").alias("kept_text")] if texts else []))
-    joined = rows.join(parts, ["k1", "k2"], "left")
+    # A table of its own, so that the join has its own exchange and a text with very many copies can be split.
+    joined = rows.join(stage(parts, "parts"), ["k1", "k2"], "left")
     return joined.select(
         F.col("id").alias(key),
         "n_words",

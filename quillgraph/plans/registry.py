@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import documents, evidence, graph, retrieval, stream
+from quillgraph.plans import documents, evidence, graph, more, retrieval, stream
 
-MODULES = (retrieval, evidence, graph, stream, documents)
+MODULES = (retrieval, evidence, graph, stream, documents, more)
 
 
 def queries() -> dict:

@@ -6,6 +6,10 @@ import re
 
 #: Headings of reference sections.
 REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature cited", "references cited", "cited references", "reference list", "notes and references")
+#: Headings of front and back matter.
+FRONT_HEADINGS = ("title page", "contents", "table of contents", "acknowledgment", "acknowledgments", "acknowledgement", "acknowledgements", "list of tables", "list of figures", "copyright", "figure", "figures", "table", "tables")
+BACK_HEADINGS = ("appendix", "appendixes", "list of tables", "list of figures", "table", "tables", "figure", "figures")
+PREFACE = "preface"
 _ATX = re.compile(r"^(#{1,6})\s+(.*\S)\s*$")
 _NUMBERED = re.compile(r"^(\[\d+\]|\d{1,3}[.)])\s+\S")
 _NAMED = re.compile(r"^[A-Z][\w'’-]+,?\s.*?\b(1[5-9]|20)\d{2}\b")
@@ -168,3 +172,65 @@ def markdown_chunks(text: str, least: int = 120, target: int = 220, most: int =
         for piece in [s["text"]] if whole else pack(blocks(s["text"].split("\n")), least, target, most):
             out.append({"text": piece, "heading_path": s["path"], "token_count": len(piece.split()), "start_line": s["start"], "end_line": s["end"]})
     return out
+
+
+_LISTED = re.compile(r"(\.\s?){3,}\s*[\divxlc]+\s*$|\s{2,}\d{1,4}\s*$")
+_OUTLINED = re.compile(r"^(chapter\s+)?(\d{1,2}(\.\d{1,2})*|[ivxlc]+)[.:]?\s+\S", re.IGNORECASE)
+_WORDS = re.compile(r"[A-Za-z][A-Za-z0-9'&/-]*")
+
+
+def _is_heading(line: str) -> bool:
+    """A Markdown heading, a known one, or a short line in capitals or with an outline number that doesn't end a sentence."""
+    if _ATX.match(line):
+        return True
+    text, words = line.strip(), _WORDS.findall(line)
+    if not words or len(words) > 10 or len(text) > 90 or text[-1] in ".,;" or _LISTED.search(line):
+        return False
+    plain = _plain(text)
+    if plain in REFERENCE_HEADINGS or plain in FRONT_HEADINGS or plain == PREFACE or plain.startswith("appendix"):
+        return True
+    capital = sum(w[0].isupper() for w in words)
+    return capital * 2 >= len(words) and (text == text.upper() or bool(_OUTLINED.match(text)) and not _YEAR.search(text))
+
+
+def sections(lines: list[str], least: int = 24) -> list[dict]:
+    """Typed sections that cover all lines: frontmatter, body, references or backmatter_other. End lines count in.
+
+    A heading opens a section; lines of a table of contents are none, and of a running head only the first place counts.
+    Sections before the first heading of content are front matter, as is a preface. Front matter in a row is one section;
+    a body section below ``least`` lines joins the body section before it.
+    """
+    if not lines:
+        return []
+    heads: dict[int, str] = {}
+    seen: set[str] = set()
+    for i, line in enumerate(lines):
+        plain = _plain(line)
+        if _is_heading(line) and (plain in REFERENCE_HEADINGS or plain not in seen):
+            seen.add(plain)
+            heads[i] = plain
+    # A tail cluster has no heading of its own.
+    refs = {s["start_line"] - (s["method"] != "tail_cluster") for s in reference_spans(lines)}
+    listed = [i for i, line in enumerate(lines) if _LISTED.search(line)]
+    # A heading of references among the lines of a table of contents is one of its entries.
+    refs = {i for i in refs if not any(a < i < b for a, b in zip(listed, listed[1:], strict=False) if b - a <= 3)}
+    starts = sorted({0, *heads, *refs})
+    back = {i for i, h in heads.items() if i not in refs and (h in BACK_HEADINGS or h.startswith("appendix"))}
+    prefaces = [i for i in starts if heads.get(i) == PREFACE]
+    content = prefaces or [i for i in starts if i in refs or i not in back and heads.get(i, "") not in FRONT_HEADINGS and not _LISTED.search(lines[i])]
+    first = content[0] if content else 0
+    out: list[dict] = []
+    for start, stop in zip(starts, [*starts[1:], len(lines)], strict=True):
+        if start in refs:
+            kind = "references"
+        elif start < first or heads.get(start) == PREFACE:
+            kind = "frontmatter"
+        else:
+            kind = "backmatter_other" if start in back else "body"
+        last = out[-1] if out else None
+        if last and last["kind"] == kind and (kind == "frontmatter" or kind == "body" and stop - start < least):
+            last["end_line"] = stop - 1
+        else:
+            heading = " ".join(lines[start].split())[:120] or kind
+            out.append({"start_line": start, "end_line": stop - 1, "kind": kind, "heading": heading})
+    return out

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -47,3 +51,61 @@ def difference(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 def batches(rows: DataFrame, size: int, group: str, *order: Column) -> DataFrame:
     """``rows`` with ``batch``: groups of ``size`` in order, counted from 0 within each group."""
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1) / size).cast("int"))
+
+
+@dataclass(frozen=True)
+class Template:
+    """A question and its directive's fields, with slots in braces; drawn as often as its weight says."""
+
+    name: str
+    weight: int
+    question: str
+    authors: str = ""
+    years: str = ""
+    title_terms: str = ""
+    content_terms: str = ""
+
+
+def _draw(key: str, salt: str, n: int) -> Column:
+    """A number below ``n`` by a hash of the key: any engine draws the same."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{salt}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+
+
+def query_rewrites(rows: DataFrame, key: str, templates: Sequence[Template], vocabulary: Mapping[str, Sequence[str]], most: int = 10_000) -> DataFrame:
+    """One synthetic question for each key and the directive that rewrites it; each question once, with its least key.
+
+    Returns (key, template, question, directive, compact_query). Slots are filled from ``vocabulary``, at most ``most`` values
+    in all, since they are part of the plan. Rows without a key leave none.
+    """
+    if sum(map(len, vocabulary.values())) > most or not all(vocabulary.values()):
+        raise ValueError(f"each slot needs values, and all together {most} at most")
+    slots = {name: F.array(*map(F.lit, values))[_draw(key, name, len(values)).cast("int")] for name, values in vocabulary.items()}
+
+    def filled(text: str) -> Column:
+        pieces = [c for fixed, slot, *_ in Formatter().parse(text) for c in ([F.lit(fixed)] if fixed else []) + ([slots[slot]] if slot else [])]
+        return F.concat(*pieces) if pieces else F.lit("")
+
+    def chosen(make) -> Column:
+        out, upto = None, 0
+        for t in templates:
+            upto += t.weight
+            out = (F if out is None else out).when(F.col("_r") < upto, make(t))
+        return out
+
+    def terms(field: str) -> Column:
+        words = F.array_distinct(F.regexp_extract_all(F.lower(chosen(lambda t: filled(getattr(t, field)))), F.lit("[a-z0-9][a-z0-9'-]*"), F.lit(0)))
+        return F.array_join(F.filter(words, lambda w: ~w.isin("and", "or", "not")), " ")
+
+    fields = ("authors", "years", "title_terms", "content_terms")
+    drawn = rows.select(key).where(F.col(key).isNotNull()).withColumn("_r", _draw(key, "template", sum(t.weight for t in templates)))
+    made = drawn.select(key, chosen(lambda t: F.lit(t.name)).alias("template"), chosen(lambda t: filled(t.question)).alias("question"), *[terms(f).alias(f) for f in fields])
+    once = made.groupBy(F.lower("question").alias("_q")).agg(F.min_by(F.struct(*made.columns), key).alias("row")).select("row.*")
+    shown = [F.concat(F.lit(f"{f}: "), F.when(F.col(f) == "", "none").otherwise(F.col(f))) for f in fields]
+    return once.select(key, "template", "question", F.concat_ws(" | ", *shown).alias("directive"), F.array_join(F.array_remove(F.array(*fields), ""), " ").alias("compact_query"))
+
+
+def chat_rows(rows: DataFrame, system: str, user: str, assistant: str) -> DataFrame:
+    """``rows`` with ``messages``: a system text and two columns as the user's and the assistant's turns."""
+    turns = [("system", F.lit(system)), ("user", F.col(user)), ("assistant", F.col(assistant))]
+    return rows.withColumn("messages", F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in turns]))

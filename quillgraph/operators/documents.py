@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quillgraph.functions import documents as d
+from quillgraph.functions import documents as d, references as r
 
 
 def markdown_chunks(docs: DataFrame, key: str, text: str = "text", least: int = 120, target: int = 220, most: int = 360) -> DataFrame:
@@ -52,3 +52,26 @@ def references(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     kind = source.schema[key].dataType.simpleString()
     return source.mapInPandas(run, f"{key} {kind}, kind string, position int, raw_text string, method string, confidence double")
+
+
+def section_plan(docs: DataFrame, key: str, text: str = "text", least: int = 24) -> DataFrame:
+    """(key, position, kind, heading, start_line, end_line): typed sections of every document; none for null texts."""
+    source = docs.select(F.col(key), F.col(text).alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k, x in zip(f[key], f["text"], strict=True):
+                if rows := d.sections(x.split("\n") if x else [], least):
+                    yield pd.DataFrame(rows).assign(position=range(len(rows)), **{key: k})
+
+    kind = source.schema[key].dataType.simpleString()
+    return source.mapInPandas(run, f"{key} {kind}, position int, kind string, heading string, start_line int, end_line int")
+
+
+def parsed_references(entries: DataFrame, raw: str = "raw_text") -> DataFrame:
+    """``entries`` with the fields of each reference: authors, author_tokens, year, title and doi.
+
+    Null and blank references have empty arrays, an empty title, and null for the rest. Columns of these names are replaced.
+    """
+    named = entries.withColumn("authors", r.author_names(F.coalesce(F.col(raw), F.lit(""))))
+    return named.withColumns({"author_tokens": r.family_names(F.col("authors")), "year": r.year(F.col(raw)), "title": r.title(F.col(raw)), "doi": r.doi(F.col(raw))})

@@ -1,19 +1,20 @@
 """Corpus preparation in five stages; each works on all that its predecessor kept.
 
 1. quality: a model of ``labels.quality`` scores every text; documents below 0.5 go.
-2. near_duplicates: of each class of linked SimHash fingerprints the document with the smallest id stays, once. The
+2. near_duplicates: of each class of linked SimHash fingerprints one row stays, that of the smallest id. The
    radius and shingles are the operator's own (4 bits, 4 words).
 3. decontamination: documents with a benchmark passage go.
 4. personal_data: identifiers become their kind in brackets; ``n_chars`` follows the text.
 5. segmentation: two sampled segmentations of each text, one row for each, with their pieces' ids.
 
-A document is named by its ``doc_id``: rows without one count as one document in stage 2.
+Stage 2 chooses by row: rows without a ``doc_id``, or with a repeated one, are documents of their own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillgraph.llm._places import placed
 from quillgraph.llm.decontaminate import find_benchmark_passages
 from quillgraph.llm.pii import find_personal_data, redact
 from quillgraph.llm.quality import fit_documents, score
@@ -29,10 +30,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
-    classes = near_duplicate_classes(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each near-duplicate class: the least id, of ties the least hash of its text, then the first place."""
+    rows, _ = placed(docs)
+    at = {name: F.col(f"c{i}") for i, name in enumerate(docs.columns)}
+    row = F.struct(at["doc_id"].isNull().alias("unnamed"), at["doc_id"].alias("id"), F.xxhash64(at["text"]).alias("hash"), "file", "at")
+    classes = near_duplicate_classes(rows.select(row.alias("row"), at["text"].alias("text")), key="row")
+    kept = classes.where(F.col("row").eqNullSafe(F.col("component"))).select("row.file", "row.at")
+    return rows.join(kept, ["file", "at"], "left_semi").select(*[c.alias(name) for name, c in at.items()])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,12 @@ def test_repeated_and_empty_rows(spark, sf):
     assert p.decontamination(spark, docs, sf).count() == 5
     assert p.personal_data(spark, docs, sf).count() == 5
     assert p.near_duplicates(spark, docs.limit(0), sf).count() == 0
+
+
+def test_rows_without_an_id_and_rows_that_share_one(spark, sf):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = ["clay pots of the early towns were fired in pits", "no river is as long as its own map of bends", "seven ships left harbour on a night without wind", "bread rises slowly where the kitchen stays cold"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[0]), (9, texts[2]), (None, texts[1])]
+    docs = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], schema)
+    got = p.near_duplicates(spark, docs, sf).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(8, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3])])

@@ -14,6 +14,9 @@ from quillgraph.llm._licence_texts import TEXTS
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that starts, after marks and blanks, with a copyright notice or a reservation of rights.
 COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9©]*(©|copyright |copyright\(|copyright:|\(c\) |all rights reserved)[^\n]*"
+#: The same, but not for a line of a wrapped licence that begins with "copyright notice" or "copyright holder": it is no
+#: notice, unless a year, a mark or a colon follows. ``COPYRIGHT_LINE`` is what the SQL has.
+NOTICE_LINE = r"(^|\n)[^\na-z0-9©]*(©|copyright (?! *(holders?|owners?|notices?)\b(?! *([0-9(:©]|[^\n]* [0-9]{4}\b)))|copyright\(|copyright:|\(c\) |all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’„«»–—…•·\xa0]+"
 #: Spellings that mean the same, as they stand after punctuation has gone. Applied in this order.
 SPELLINGS = (
@@ -38,7 +41,7 @@ SPELLINGS = (
 def canonical(text: Column) -> Column:
     """The canonical form; null counts as empty."""
     t = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    t = F.regexp_replace(t, COPYRIGHT_LINE, "\n")
+    t = F.regexp_replace(t, NOTICE_LINE, "\n")
     t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, " "), F.lit(" "))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,3 +37,16 @@ def test_odd_rows(spark):
 def test_plan_is_native(spark, sf):
     plan = licences.op9_license_digests(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapIn", plan)
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_texts_are_found(spark, mark):
+    rows = []
+    for name, text in TEXTS.items():
+        for width in (*range(14, 110, 3), 10_000):
+            wrapped = "\n\n".join(textwrap.fill(part, width, break_long_words=False, break_on_hyphens=False) for part in text.split("\n\n"))
+            rows.append((f"{name} {width}", name, "Copyright (c) 2020 Someone\n\n" + "\n".join(mark + x for x in wrapped.split("\n"))))
+    rows.append(("isc as distributed", "ISC", TEXTS["ISC"].replace("above copyright notice and", "above\ncopyright notice and")))
+    rows.append(("a holder's notice", "MIT", "Copyright holders: A, B\nCopyright holder 2020 A\nCopyright Someone\n" + TEXTS["MIT"]))
+    got = licences.scan_licences(spark.createDataFrame(rows, "doc_id string, want string, text string"), licences.known_licences(spark)).collect()
+    assert [(r.doc_id, r.want, r.license_id) for r in got if r.license_id != r.want] == []

@@ -1,7 +1,6 @@
 """Quality classifier: naive Bayes support vectors (Wang and Manning, 2012).
 
-Features are indicators of byte 3-grams, byte 4-grams and word pairs, hashed to ``2 ** BITS`` places; immediate repeats of
-any word share two places. Each indicator is
+Features are indicators of byte 3-grams, byte 4-grams and word pairs, hashed to ``2 ** BITS`` places. Each indicator is
 scaled by its place's log-count ratio between the classes and by one over the root of the text's number of indicators. On
 these a linear hinge-loss model is fitted by dual coordinate descent (Hsieh et al., 2008), and Platt scaling turns margins
 into scores.
@@ -9,6 +8,8 @@ into scores.
 The ratios count all labelled training texts: each task sums its own into fixed arrays, Spark adds those up. The descent
 needs single rows and takes a sample of about ``SAMPLE`` labelled texts, chosen by a hash of their key; that is the one
 bound, and it bounds what the driver gets. Scoring is one pass without any shuffle.
+
+Only texts whose key passes a Bloom filter over the label keys are shuffled to the labels, and those go packed.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
-from quillgraph.llm._words import Words, mix, word_hashes, words
+from quillgraph.llm._sieve import Sieve, key_hash
+from quillgraph.llm._words import SLICE, Words, mix, word_hashes, words
 from quillgraph.session import stage
 
 BITS = 18
@@ -43,11 +46,6 @@ def _slice_features(w: Words, lengths: np.ndarray, bits: int) -> Iterator[np.nda
     h4 = (((four ^ (four >> np.uint32(15))) * np.uint32(0x85EBCA6B)) >> shift).astype(np.int32)
     codes = word_hashes(w)
     pairs = (mix(codes[:-1] * np.uint64(3) + codes[1:]) >> np.uint64(64 - bits)).astype(np.int32) if len(codes) > 1 else np.zeros(0, np.int32)
-    # A word that repeats at once is a pair of its own kind, whatever the word; so is one that stands three times.
-    if len(codes) > 1:
-        again = codes[:-1] == codes[1:]
-        pairs[again] = 1
-        pairs[:-1][again[:-1] & again[1:] & (w.row[:-2] == w.row[2:])] = 2
     slot = np.zeros(1 << bits, np.int32)
     count = np.arange(len(data) * 2 + len(pairs) + 1, dtype=np.int32)
     ends = np.cumsum(lengths)
@@ -134,16 +132,48 @@ def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(float(slope), 1e-6), float(offset)
 
 
+def _packed(docs: DataFrame, sieve: Sieve) -> DataFrame:
+    """``docs(key, t)`` as (h, key, t): rows whose key may have a label, with their texts packed by zstd."""
+    source = docs.select(key_hash(F.col("key")).alias("h"), "key", "t")
+    schema = StructType([*source.schema.fields[:-1], StructField("t", BinaryType())])
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            b = b.filter(pa.array(shared.value.passes(b.column(0).to_numpy())))
+            texts = (cell.as_py() for cell in b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def _texts(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts, or of packed ones, in parts of about ``SLICE`` bytes."""
+    if not pa.types.is_binary(column.type):
+        yield column
+        return
+    unpack = zstandard.ZstdDecompressor().decompress
+    part, held = [], 0
+    for cell in column:
+        part.append(unpack(cell.as_py()))
+        held += len(part[-1])
+        if held > SLICE:
+            yield pa.array(part, pa.large_binary()).cast(pa.large_string())
+            part, held = [], 0
+    yield pa.array(part, pa.large_binary()).cast(pa.large_string())
+
+
 def _gather(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """In: label, chosen, text. Out: a row of places for each chosen text, and the task's counts as one row."""
+        """In: label, chosen, text or packed text. Out: a row of places for each chosen text, and the task's counts as one row."""
         counts = np.zeros((2, 1 << bits), np.int64)
         names = ["label", "places", "positive", "negative"]
         types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
             labels, chosen = b.column(0).to_pylist(), b.column(1).to_pylist()
             kept, of = [], []
-            for i, places in enumerate(features(b.column(2), bits)):
+            for i, places in enumerate(p for texts in _texts(b.column(2)) for p in features(texts, bits)):
                 counts[labels[i]][places] += 1
                 if chosen[i]:
                     kept.append(places)
@@ -156,18 +186,20 @@ def _gather(bits: int):
     return run
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "key", sample: int = SAMPLE, bits: int = BITS) -> Model:
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "key", sample: int = SAMPLE, bits: int = BITS, rows: int | None = None) -> Model:
     """A model from ``labelled(key, text, label)``; labels other than 0 and 1 are left out, null texts count as empty.
 
+    Texts are strings, or binary and packed by zstd. ``rows``, where known, saves counting ``labelled``.
+
     With rows of one class only, or none, all texts score alike: the class's smoothed share.
     """
     known = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.col(key).alias("key"), F.col(text).alias("t"))
-    n = known.count()
+    n = known.count() if rows is None else rows
     limit = int(min(1.0, sample / max(1, n)) * (1 << 62))
     chosen = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), "key"), 2) < F.lit(limit)
-    rows = stage(known.select("label", chosen.alias("chosen"), "t").mapInArrow(_gather(bits), "label int, places array<int>, positive array<long>, negative array<long>"), "features")
+    gathered = stage(known.select("label", chosen.alias("chosen"), "t").mapInArrow(_gather(bits), "label int, places array<int>, positive array<long>, negative array<long>"), "features")
     sums = (
-        rows.where("label is null")
+        gathered.where("label is null")
         .select(F.explode(F.arrays_zip("places", "positive", "negative")).alias("x"))
         .groupBy(F.col("x.places").alias("place"))
         .agg(F.sum("x.positive").alias("p"), F.sum("x.negative").alias("q"))
@@ -175,14 +207,16 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", key: str
     )
     positive, negative = np.zeros(1 << bits), np.zeros(1 << bits)
     positive[sums["place"]], negative[sums["place"]] = sums["p"], sums["q"]
-    taken = rows.where("label is not null").select("label", "places").orderBy(F.xxhash64("places")).toArrow().combine_chunks()
-    labels = taken["label"].to_numpy().astype(np.float64)
+    taken = gathered.where("label is not null").select("label", "places", F.xxhash64("places").alias("h")).toArrow().combine_chunks()
+    # The driver orders them: rows arrive in no fixed order, and descent depends on it.
+    order = np.lexsort((taken["label"].to_numpy(), taken["h"].to_numpy()))
+    labels = taken["label"].to_numpy().astype(np.float64)[order]
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 1) / (len(labels) + 2)
         return Model(np.zeros(1 << bits, np.float32), 0.0, 1.0, float(np.log(share / (1 - share))), bits)
     ratios = log_ratios(positive, negative)
     flat, ends = taken["places"].chunk(0).values.to_numpy(), taken["places"].chunk(0).offsets.to_numpy()
-    places = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    places = [flat[ends[i] : ends[i + 1]] for i in order.tolist()]
     # Margins of rows that a model was fitted to are too sure of themselves: the curve is fitted to those of left-out rows.
     margins, fold = np.zeros(len(places)), np.arange(len(places)) % FOLDS
     for k in range(FOLDS):
@@ -216,10 +250,20 @@ def held_out(key: str = "doc_id"):
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, without the held-out rows."""
-    marks = labels.where(~held_out() & F.col("quality").isin(0, 1)).select("doc_id", "quality").distinct()
-    texts = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    return fit(texts.join(marks, "doc_id"), label="quality", key="doc_id", sample=sample)
+    """A model from ``docs(doc_id, text)`` and ``labels(doc_id, quality)``, without the held-out rows.
+
+    A key that repeats in ``docs`` counts each of its rows; one with both labels counts once for each label. Null keys
+    have no label.
+    """
+    texts = docs.where(~held_out() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("key"), F.col("text").alias("t"))
+    same = F.col("doc_id").cast(docs.schema["doc_id"].dataType)
+    marks = labels.where(~held_out() & F.col("quality").isin(0, 1)).select(same.alias("key"), F.col("quality").cast("int").alias("label")).where("key is not null").distinct()
+    # The hash is a second join key: with it neither side of the join is an aggregate's own output, so a key that many
+    # documents share can be split.
+    marks = marks.withColumn("h", key_hash(F.col("key")))
+    n = texts.select("key").join(marks.select("key"), "key").count()
+    known = _packed(texts, Sieve.over(marks, F.col("h"))).join(marks.hint("merge"), ["key", "h"])
+    return fit(known, text="t", sample=sample, rows=n)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

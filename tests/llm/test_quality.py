@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ def test_places_are_distinct_and_depend_on_the_text_alone():
     assert whole[1] == whole[2] == whole[3] == [] and whole[0] == whole[7]
     # 3-grams, 4-grams and pairs of a text without repeats: 10 + 9 + 3.
     assert len(next(quality.features(pa.array(["abc def ghi."])))) == 10 + 9 + 2
-    assert {1, 2} <= set(whole[5]) and 1 in whole[6] and 2 not in whole[6]
+    assert len(whole[5]) == 2 + 2 + 1 and len(whole[6]) == 1 + 1
 
 
 def test_descent_reaches_the_optimum():
@@ -76,3 +77,62 @@ def test_labels_of_held_out_rows_change_nothing(spark, sf):
     flipped = labels.withColumn("quality", F.when(quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (quality.fit_documents(docs, x) for x in (labels, flipped))
     assert np.array_equal(a.weights, b.weights) and a.bias == pytest.approx(b.bias)
+
+
+def plain_features(text, bits=quality.BITS):
+    """Places by loops over bytes and words: 3-grams, 4-grams, word pairs; of equal ones the last stays."""
+    data, low = (text or "").encode(), 32 - bits
+    out = [(int.from_bytes(data[i : i + 3]) * 0x9E3779B1 & 0xFFFFFFFF) >> low for i in range(len(data) - 2)]
+    for i in range(len(data) - 3):
+        four = int.from_bytes(data[i : i + 4])
+        out.append(((four ^ (four >> 15)) * 0x85EBCA6B & 0xFFFFFFFF) >> low)
+    codes = [int(quality.word_hashes(next(quality.words(pa.array([w.decode()]))))[0]) for w in re.findall(rb"[^\x20\x09-\x0D]+", data)]
+    for a, b in zip(codes, codes[1:], strict=False):
+        x = np.array([(a * 3 + b) & (1 << 64) - 1], np.uint64)
+        out.append(int(quality.mix(x)[0]) >> (64 - bits))
+    return list(dict.fromkeys(reversed(out)))[::-1]
+
+
+def test_whole_query_against_plain_python(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text or "") < 3000}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") < 3000)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    places = {k: plain_features(t) for k, t in texts.items()}
+    train = [(r.doc_id, r.quality) for r in labels.collect() if r.doc_id in texts and r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    counts = np.zeros((2, 1 << quality.BITS))
+    for k, q in train:
+        counts[q][places[k]] += 1
+    ratios = np.log((counts[1] + 1) / (counts[1] + 1).sum()) - np.log((counts[0] + 1) / (counts[0] + 1).sum())
+    hashed = spark.createDataFrame([(q, places[k]) for k, q in train], "q int, places array<int>").select("q", "places", F.xxhash64("places").alias("h")).collect()
+    rows = sorted(hashed, key=lambda r: (r.h, r.q))
+    sets, marks = [np.array(r.places, np.int32) for r in rows], np.array([float(r.q) for r in rows])
+    margin = lambda w, b, p: b + float((w * ratios)[p].sum()) / np.sqrt(max(1, len(p)))
+    margins, fold = np.zeros(len(rows)), np.arange(len(rows)) % quality.FOLDS
+    for k in range(quality.FOLDS):
+        inside = np.flatnonzero(fold != k)
+        w, b = quality.dual_descent([sets[i] for i in inside], 2 * marks[inside] - 1, ratios)
+        margins[fold == k] = [margin(w, b, sets[i]) for i in np.flatnonzero(fold == k)]
+    slope, offset = quality._platt(margins, marks)
+    w, b = quality.dual_descent(sets, 2 * marks - 1, ratios)
+    got = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), quality.fit_documents(docs, labels)).collect()}
+    assert got.keys() == texts.keys() and len(train) > 30
+    for k, p in places.items():
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-(slope * margin(w, b, np.array(p, np.int64)) + offset))), abs=1e-3), k
+
+
+def test_sieve_loses_no_key(spark):
+    keys = spark.range(0, 5000).select(quality.key_hash(F.col("id")).alias("h"))
+    sieve = quality.Sieve.over(keys, F.col("h"))
+    hashes = np.array([r.h for r in spark.range(0, 50_000).select(quality.key_hash(F.col("id")).alias("h")).collect()])
+    passed = sieve.passes(hashes)
+    assert passed[:5000].all() and passed[5000:].mean() < 0.05
+    assert not quality.Sieve.over(keys.limit(0), F.col("h")).passes(hashes).any()
+
+
+def test_keys_of_many_rows_and_other_types(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i} {'bad' if i % 2 else 'good'}") for i in range(40)], "doc_id int, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (None, 1), (2, 1), (3, 0), (3, None)], "doc_id long, quality long")
+    model = quality.fit_documents(docs, labels)
+    kept = [(i % 4, i % 2) for i in range(40) if zlib.crc32(str(i % 4).encode()) % 3 != 1]
+    assert kept and np.abs(model.weights).sum() > 0
+    assert model.score(next(quality.features(pa.array(["text 7 bad"])))) < model.score(next(quality.features(pa.array(["text 7 good"]))))

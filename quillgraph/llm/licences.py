@@ -1,8 +1,12 @@
 """Whole texts that are known licences, by canonical digest.
 
-A text's canonical form has lower-case letters, no copyright lines, one blank for each run of punctuation or white space,
+A text's canonical form has lower-case letters, no copyright notices, one blank for each run of punctuation or white space,
 and one spelling for equivalent words; its SHA-256 is joined to the digests of known licences. Everything is a built-in
-expression: one scan, and a hash join whose small side Spark weighs itself.
+expression: one scan, and a hash join whose small side is counted before it is broadcast.
+
+A notice is a paragraph that begins with "copyright", "(c)", a copyright sign or "all rights reserved", up to its end or to the
+opening words of a grant. Where lines break within a paragraph changes nothing, so a licence is found at any line width,
+and a wrapped line that begins with "copyright notice" stays.
 """
 
 from __future__ import annotations
@@ -12,18 +16,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from quillgraph.llm._licence_texts import TEXTS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line that starts, after marks and blanks, with a copyright notice or a reservation of rights.
-COPYRIGHT_LINE = r"(^|\n)[^\na-z0-9©]*(©|copyright |copyright\(|copyright:|\(c\) |all rights reserved)[^\n]*"
-#: The same, but not for a line of a wrapped licence that begins with "copyright notice" or "copyright holder": it is no
-#: notice, unless a year, a mark or a colon follows. ``COPYRIGHT_LINE`` is what the SQL has.
-NOTICE_LINE = r"(^|\n)[^\na-z0-9©]*(©|copyright (?! *(holders?|owners?|notices?)\b(?! *([0-9(:©]|[^\n]* [0-9]{4}\b)))|copyright\(|copyright:|\(c\) |all rights reserved)[^\n]*"
-PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’„«»–—…•·\xa0]+"
+_MARKS = r"\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’„«»–—…•·\xa0"
+_GAP = f"[{_MARKS}]+"
+PUNCTUATION = _GAP
+#: The words a grant opens with; a notice before them, in the same paragraph, ends there.
+OPENINGS = (
+    "permission is hereby granted",
+    "permission to use",
+    "redistribution and use",
+    "this software is provided",
+    "licensed under the",
+    "everyone is permitted",
+    "this is free and unencumbered",
+)
+#: Each step's pattern and what it becomes; ``{1}`` is the first group. Paragraphs are parted by U+0001 in between.
+STEPS = (
+    # A title of one line, and a notice right below it, are two paragraphs.
+    (rf"^([^\n]{{0,60}}licen[sc]e[^\n]{{0,20}}\n)([{_MARKS}]*(?:copyright|\(c\)|©))", "{1}\n\n{2}"),
+    (f"([{_MARKS}])(" + "|".join(o.replace(" ", _GAP) for o in OPENINGS) + ")", "{1}\n\n{2}"),
+    (rf"\n[{_MARKS}]*\n", "\x01"),
+    (rf"(?:^|\x01)[{_MARKS}]*(?:copyright|\(c\)|©|all rights reserved)[^\x01]*", "\x01"),
+)
+#: Texts without any of these have no notice, and skip those steps.
+SIGNS = ("copyright", "(c)", "©", "all rights reserved")
 #: Spellings that mean the same, as they stand after punctuation has gone. Applied in this order.
 SPELLINGS = (
     (" the mit license mit ", " "),
     (" mit license ", " "),
     (" isc license ", " "),
     (" zlib license ", " "),
+    (" boost software license version 1 0 august 17th 2003 ", " "),
     ("licence", "license"),
     ("sub license", "sublicense"),
     ("non infringement", "noninfringement"),
@@ -38,10 +60,20 @@ SPELLINGS = (
 )
 
 
+#: Known digests that are broadcast, about 10 MB; beyond, both sides are shuffled by digest.
+MOST_BROADCAST = 100_000
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; null counts as empty."""
     t = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    t = F.regexp_replace(t, NOTICE_LINE, "\n")
+    signed = F.lit(False)
+    for sign in SIGNS:
+        signed = signed | F.contains(t, F.lit(sign))
+    bare = t
+    for pattern, new in STEPS:
+        bare = F.regexp_replace(bare, pattern, new.replace("{1}", "$1").replace("{2}", "$2"))
+    t = F.when(signed, bare).otherwise(t)
     t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, " "), F.lit(" "))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
@@ -63,6 +95,8 @@ def scan_licences(docs: DataFrame, licences: DataFrame, text: str = "text") -> D
     names = [c for c in docs.columns if c not in ("license_digest", "license_id")]
     nothing = F.sha2(F.lit(""), 256)
     known = licences.where(F.col("digest") != nothing).groupBy("digest").agg(F.min("license_id").alias("found"))
+    if known.count() <= MOST_BROADCAST:
+        known = F.broadcast(known)
     marked = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.sha2(canonical(F.col(f"`{text}`")), 256).alias("digest"))
     joined = marked.join(known, "digest", "left")
     return joined.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("digest").alias("license_digest"), F.col("found").alias("license_id"))
@@ -79,20 +113,47 @@ def _sql_text(value: str) -> str:
 
 
 def _sql_canonical(column: str) -> str:
-    t = f"translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}')"
-    t = f"regexp_replace({t}, {_sql_text(COPYRIGHT_LINE)}, chr(10), 'g')"
+    t = low = f"translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}')"
+    for pattern, new in STEPS:
+        made = new.replace("{1}", "\\1").replace("{2}", "\\2").replace("\n", "' || chr(10) || '").replace("\x01", "' || chr(1) || '")
+        t = f"regexp_replace({t}, {_sql_text(pattern)}, '{made}', 'g')"
+    t = f"CASE WHEN {' OR '.join(f'contains({low}, {_sql_text(sign)})' for sign in SIGNS)} THEN {t} ELSE {low} END"
     t = f"' ' || regexp_replace({t}, {_sql_text(PUNCTUATION)}, ' ', 'g') || ' '"
     for old, new in SPELLINGS:
         t = f"replace({t}, {_sql_text(old)}, {_sql_text(new)})"
     return f"trim({t})"
 
 
-QUERIES = {"op9_license_digests": op9_license_digests}
-SQL = {
-    "op9_license_digests": f"""
+def license_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in texts that hold them: a copy with a notice for each part, every twentieth with a word too many.
+
+    The test tables have no whole licence, so this query plants them by rule.
+    """
+    names = sorted(TEXTS)
+    texts = spark.createDataFrame([(i, TEXTS[n]) for i, n in enumerate(names)], "i int, licence string")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", (F.col("p_partkey") % len(names)).cast("int").alias("i"))
+    notice = F.concat(F.lit("Copyright (c) 20"), F.lpad((F.col("p_partkey") % 26).cast("string"), 2, "0"), F.lit(" "), F.col("p_name"), F.lit("\nAll rights reserved.\n\n"))
+    extra = F.when(F.col("p_partkey") % 20 == 0, " More.").otherwise("")
+    docs = parts.join(F.broadcast(texts), "i").select("p_partkey", F.concat(notice, "licence", extra).alias("text"))
+    return scan_licences(docs, known_licences(spark)).select("p_partkey", "license_digest", "license_id")
+
+
+QUERIES = {"op9_license_digests": op9_license_digests, "license_copies": license_copies}
+_KNOWN = f"""
 WITH l(license_id, t) AS (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in TEXTS.items())}),
 k AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(license_id) AS license_id FROM l GROUP BY 1),
+"""
+SQL = {
+    "op9_license_digests": f"""{_KNOWN}
 d AS (SELECT doc_id, sha256({_sql_canonical("text")}) AS license_digest FROM documents)
 SELECT doc_id, license_digest, license_id FROM d LEFT JOIN k ON license_digest = digest AND digest <> sha256('')
-"""
+""",
+    "license_copies": f"""{_KNOWN}
+n AS (SELECT t, row_number() OVER (ORDER BY license_id) - 1 AS i FROM l),
+c AS (SELECT p_partkey, 'Copyright (c) 20' || lpad(CAST(p_partkey % 26 AS VARCHAR), 2, '0') || ' ' || p_name || chr(10)
+  || 'All rights reserved.' || chr(10) || chr(10) || t || CASE WHEN p_partkey % 20 = 0 THEN ' More.' ELSE '' END AS text
+  FROM part JOIN n ON p_partkey % {len(TEXTS)} = i),
+d AS (SELECT p_partkey, sha256({_sql_canonical("text")}) AS license_digest FROM c)
+SELECT p_partkey, license_digest, license_id FROM d LEFT JOIN k ON license_digest = digest AND digest <> sha256('')
+""",
 }

@@ -30,9 +30,8 @@ RECORDS = (
 )
 
 
-def base32_sha1(binary: Column) -> Column:
-    """Upper-case base32 of the SHA-1 digest."""
-    hex_ = F.sha1(binary)
+def base32(hex_: Column) -> Column:
+    """Upper-case base32 of the 40 hexadecimal digits of a SHA-1."""
     parts = []
     for g in range(8):
         value = F.conv(F.substring(hex_, 5 * g + 1, 5), 16, 10).cast("int")
@@ -69,15 +68,16 @@ def write_captures(pages: DataFrame, path: str, key: str = "page_id", url: str =
         F.col("c0").cast("string").alias("key"), F.col("c0").alias("k"), _clean(F.col("c1").cast("string")).alias("uri"),
         F.coalesce(F.col("c2").cast("binary"), F.lit(b"")).alias("payload"),
         F.md5(F.concat_ws(":", "file", F.col("at").cast("string"))).alias("id"),
-    ).withColumn("digest", base32_sha1(F.col("payload")))
+    ).withColumn("sha", F.sha1("payload"))
     firsts = (
         rows.where(F.octet_length("payload") >= least)
-        .groupBy("digest")
+        .groupBy("sha")
         .agg(F.min(F.struct(F.col("k").isNull().alias("null"), "k", "id")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", F.col("first.id").alias("first"))
+        .select("sha", F.col("first.id").alias("first"))
     )
-    told = rows.join(firsts, "digest", "left").withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.lit(False)) & (F.octet_length("payload") >= least))
+    # A table of its own: Spark sees its size, and beyond a broadcast can split the rows of a payload that many pages have.
+    told = rows.join(stage(firsts, "firsts"), "sha", "left").withColumn("digest", base32(F.col("sha"))).withColumn("again", F.coalesce(F.col("first") != F.col("id"), F.lit(False)) & (F.octet_length("payload") >= least))
     ident = F.concat(F.lit("urn:sha1:"), "id")
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest", F.lit("\r\n"))
     http = F.concat(_lines("HTTP/1.1 200 OK", "Content-Type: text/html; charset=UTF-8", F.concat(F.lit("Content-Length: "), F.octet_length("payload").cast("string"))), F.lit("\r\n")).cast("binary")
@@ -235,16 +235,22 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_captures(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
     captures = assemble(read_archives(spark, path), payloads=False)
+    revisit = F.col("main.type") == "revisit"
     pages = captures.select(
         F.col("main.record_id").alias("id"),
-        F.regexp_extract(F.element_at("metadata", 1)["payload"].cast("string"), r"key: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
-        F.when(F.col("main.type") == "revisit", F.col("main.http_length")).otherwise(F.col("main.payload_bytes")).alias("payload_bytes"),
-        F.when(F.col("main.type") == "revisit", F.col("main.payload_digest")).otherwise(F.col("main.computed_digest")).alias("payload_digest"),
+        F.regexp_extract(F.get("metadata", F.lit(0))["payload"].cast("string"), r"key: (-?[0-9]+)", 1).try_cast("long").alias("page_id"),
+        F.when(revisit, F.col("main.http_length")).otherwise(F.col("main.payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("main.payload_digest")).otherwise(F.col("main.computed_digest")).alias("payload_digest"),
         F.col("main.type").alias("record_type"),
-        F.col("main.refers_to").alias("to"),
+        F.when(revisit, F.col("main.refers_to")).alias("to"),
     )
+    pages = stage(pages, "captures")
+    # Responses refer to nothing: they pass by the join, where their null keys would meet in one task.
     whole = pages.where("record_type = 'response'").select(F.col("id").alias("to"), F.col("page_id").alias("refers_to"))
-    return pages.join(whole, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    again = pages.where("to IS NOT NULL").join(whole, "to", "left")
+    alone = pages.where("to IS NULL").withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return again.select(*columns).unionByName(alone.select(*columns))
 
 
 _DIGITS = " || ".join(

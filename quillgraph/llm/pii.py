@@ -4,7 +4,8 @@ Entities of fixed form (email, ip, card, phone) are the seeds. The two words bef
 every identifier-like token (digits or an at sign) with a pattern is an instance, seed or not. Spark then scores the graph
 of patterns and instances in rounds: a pattern's confidence for a kind is the mean reliability of its distinct instances
 (with one doubtful instance added), a seed's reliability is 1, and any other instance's is the mean confidence of its
-patterns. Patterns that stay confident, with enough distinct seeds, name identifiers of a form that no rule knows.
+patterns. Patterns that stay confident, with enough distinct seeds, name identifiers of a form that no rule knows; those
+become seeds of the next generation, and so on until no pattern is added.
 
 Only occurrences leave the scan, as hashes with their places; they are few beside the texts. Counts are aggregated before
 they are shuffled, so a frequent pattern or value costs a row for each task.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quillgraph.session import stage
 
@@ -142,23 +143,50 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """(pattern, kind, confidence) of the confident patterns, one kind for each."""
-    edges = stage(occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
-    seeds = edges.where("kind is not null").groupBy("value").agg(F.max("kind").alias("seed"))
-    graph = edges.drop("kind").join(seeds, "value", "left")
+def _score_once(edges: DataFrame, seeds: DataFrame, rounds: int, least_seeds: int, confidence: float) -> tuple[DataFrame, DataFrame]:
+    """One generation: (pattern, kind, confidence) of the confident patterns, and (pattern, value, seed) of all that seeds teach."""
+    graph = edges.join(seeds, "value", "left")
     # A pattern that no seed follows often enough can never be confident.
-    taught = graph.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("n")).where(F.col("n") >= least_seeds).select("pattern", "kind")
-    near = stage(graph.join(taught, "pattern"), "pattern-graph")
-    reliable = near.select("value", "kind", F.when(F.col("seed") == F.col("kind"), 1.0).otherwise(0.0).alias("reliability")).groupBy("value", "kind").agg(F.max("reliability").alias("reliability"))
+    taught = graph.where("seed is not null").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("n")).where(F.col("n") >= least_seeds)
+    near = stage(graph.join(stage(taught.select("pattern", "kind"), "taught"), "pattern"), "pattern-graph")
+
+    def reliability(mean: Column) -> Column:
+        return F.when(F.col("seed") == F.col("kind"), F.col("weight")).when(F.col("seed").isNull(), mean).otherwise(0.0).alias("reliability")
+
+    reliable = near.select("value", "kind", reliability(F.lit(0.0))).distinct()
     trust = None
     for _ in range(rounds):
-        trust = near.join(reliable, ["value", "kind"]).groupBy("pattern", "kind").agg((F.sum("reliability") / (F.count("*") + 1)).alias("confidence"))
-        trust = stage(trust, "trust")
-        learned = near.join(trust, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("seed").alias("seed"), F.avg("confidence").alias("mean"))
-        reliable = learned.select("value", "kind", F.when(F.col("seed") == F.col("kind"), 1.0).when(F.col("seed").isNull(), F.col("mean")).otherwise(0.0).alias("reliability"))
+        # Both sides of each join are tables, so that a pattern or value of many edges can be split.
+        trust = stage(near.join(stage(reliable, "reliable"), ["value", "kind"]).groupBy("pattern", "kind").agg((F.sum("reliability") / (F.count("*") + 1)).alias("confidence")), "trust")
+        learned = near.join(trust, ["pattern", "kind"]).groupBy("value", "kind").agg(F.max("seed").alias("seed"), F.max("weight").alias("weight"), F.avg("confidence").alias("mean"))
+        reliable = learned.select("value", "kind", reliability(F.col("mean")))
     best = Window.partitionBy("pattern").orderBy(F.desc("confidence"), "kind")
-    return trust.where(F.col("confidence") >= confidence).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+    confident = trust.where(F.col("confidence") >= confidence).withColumn("rank", F.row_number().over(best)).where("rank = 1").drop("rank")
+    return stage(confident, "confident"), near.select("pattern", "value", "kind", "seed")
+
+
+def score_patterns(occurrences: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, confidence: float = CONFIDENCE, generations: int | None = None) -> DataFrame:
+    """(pattern, kind, confidence) of the confident patterns, one kind for each.
+
+    After each generation the unseen values that its confident patterns precede become seeds, weighted by the mean
+    confidence of those patterns (of several kinds the one of the highest mean), and teach the patterns that aren't
+    confident yet; it ends when no pattern is added, or after ``generations``.
+    """
+    edges = stage(occurrences.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
+    seeds = stage(edges.where("kind is not null").groupBy("value").agg(F.max("kind").alias("seed")).withColumn("weight", F.lit(1.0)), "seeds")
+    edges, accepted, done = edges.drop("kind"), None, 0
+    while generations is None or done < generations:
+        left = edges if accepted is None else edges.join(accepted.select("pattern"), "pattern", "left_anti")
+        confident, near = _score_once(left, seeds, rounds, least_seeds, confidence)
+        done += 1
+        accepted = confident if accepted is None else stage(accepted.unionByName(confident), "accepted")
+        if confident.isEmpty():
+            break
+        means = near.where("seed is null").join(confident, ["pattern", "kind"]).groupBy("value", "kind").agg(F.avg("confidence").alias("weight"))
+        best = Window.partitionBy("value").orderBy(F.desc("weight"), "kind")
+        fresh = means.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("value", F.col("kind").alias("seed"), "weight")
+        seeds = stage(seeds.unionByName(fresh), "seeds")
+    return accepted
 
 
 def _with_base(n_others: int, names: list[str], spans: pa.DataType):
@@ -194,11 +222,13 @@ def find_personal_data(docs: DataFrame, text: str = "text", rounds: int = ROUNDS
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(others, inner, strict=True)], F.col(f"`{text}`").alias("t"))
     occurrences = stage(source.select("t").mapInArrow(_occurrences, "k1 long, k2 long, pattern long, value long, kind string, start int, end int"), "occurrences")
     patterns = score_patterns(occurrences, rounds, least_seeds, confidence).select("pattern", F.col("kind").alias("taught"))
-    added = (
+    # A table: Spark sees its size, and beyond a broadcast can split the copies of one text in the last join.
+    added = stage(
         occurrences.where("kind is null")
         .join(patterns, "pattern")
         .groupBy("k1", "k2")
-        .agg(F.collect_set(F.struct(F.concat(F.lit("context_"), "taught").alias("kind"), "start", "end")).alias("added_spans"))
+        .agg(F.collect_set(F.struct(F.concat(F.lit("context_"), "taught").alias("kind"), "start", "end")).alias("added_spans")),
+        "added",
     )
     schema = source.withColumns({"base_spans": F.lit(None).cast(_SPANS), "k1": F.lit(None).cast("long"), "k2": F.lit(None).cast("long")}).schema
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

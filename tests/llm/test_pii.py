@@ -70,6 +70,80 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_second_generation(spark):
+    rows = [(i, f"Lorem ipsum please phone: +1 (212) 555-{1000 + i} or nothing") for i in range(40)]
+    rows += [(100 + i, f"Dolor sit please phone: ext-{7000 + i}x today") for i in range(10)]
+    rows += [(200 + i, f"try the dial extension ext-{7000 + i}x again") for i in range(10)]
+    rows += [(300 + i, f"try the dial extension {88000 + i}y again") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.added_spans] for r in pii.find_personal_data(docs).collect()}
+    assert all(got[200 + i] == [("context_phone", f"ext-{7000 + i}x")] for i in range(10))
+    assert all(got[300 + i] == [("context_phone", f"{88000 + i}y")] for i in range(2))
+
+
+def plain_scores(occurrences, rounds, least_seeds, confidence):
+    """The same by dictionaries: generations of scored patterns until none is added."""
+    edges = {(p, v) for p, v, _ in occurrences}
+    seeds = {}
+    for _, v, k in occurrences:
+        if k is not None:
+            seeds[v] = (max(k, seeds[v][0]) if v in seeds else k, 1.0)
+    accepted = {}
+    while True:
+        left = [(p, v) for p, v in edges if p not in accepted]
+        pairs = {(p, k) for p, _ in left for k in pii.KINDS if sum(v in seeds and seeds[v][0] == k for q, v in left if q == p) >= least_seeds}
+        near = [(p, v, k) for p, v in left for q, k in pairs if p == q]
+
+        def reliability(v, k, mean):
+            return mean if v not in seeds else seeds[v][1] if seeds[v][0] == k else 0.0
+
+        means, trust = dict.fromkeys(((v, k) for _, v, k in near), 0.0), {}
+        for _ in range(rounds):
+            trust = {}
+            for p, k in pairs:
+                own = [reliability(v, k, means[v, k]) for q, v, j in near if (q, j) == (p, k)]
+                trust[p, k] = sum(own) / (len(own) + 1)
+            for v, k in means:
+                own = [trust[p, k] for p, w, j in near if (w, j) == (v, k)]
+                means[v, k] = sum(own) / len(own)
+        new = {}
+        for (p, k), c in sorted(trust.items(), key=lambda x: (-x[1], x[0][1])):
+            if c >= confidence and p not in new:
+                new[p] = (k, c)
+        if not new:
+            return accepted
+        fresh = {}
+        for v in {v for p, v, _ in near if p in new and v not in seeds}:
+            by = {}
+            for p in new:
+                if (p, v) in edges:
+                    by.setdefault(new[p][0], []).append(new[p][1])
+            kind = min(by, key=lambda k: (-sum(by[k]) / len(by[k]), k))
+            fresh[v] = (kind, sum(by[kind]) / len(by[kind]))
+        seeds |= fresh
+        accepted |= new
+
+
+def test_scores_against_plain_python(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(700):
+        p = rng.randint(1, 25)
+        v = rng.choice([rng.randint(1, 30), 100 + 10 * p + rng.randint(0, 9), 100 + 10 * (p // 2) + rng.randint(0, 9)])
+        rows.append((p, v, None if v % 3 == 0 or p > 18 else pii.KINDS[v % 2] if rng.random() < 0.95 else "ip"))
+    # Patterns of many values: a chain that only generations reach.
+    rows += [(40 + g, 1000 * g + i, None) for g in range(1, 5) for i in range(30)] + [(41 + g, 1000 * g + i, None) for g in range(1, 4) for i in range(28)]
+    rows += [(40, i, "email") for i in range(5000, 5030)] + [(40, 1000 + i, None) for i in range(6)] + [(41, i, "email") for i in range(5000, 5030)]
+    want = plain_scores(rows, 3, 3, 0.6)
+    got = pii.score_patterns(spark.createDataFrame(rows, "pattern long, value long, kind string"), 3, 3, 0.6).collect()
+    assert {r.pattern: r.kind for r in got} == {p: k for p, (k, _) in want.items()} and len(got) == len(want) > 4
+    for r in got:
+        assert abs(r.confidence - want[r.pattern][1]) < 1e-9
+    one = pii.score_patterns(spark.createDataFrame(rows, "pattern long, value long, kind string"), 3, 3, 0.6, generations=1).count()
+    assert one < len(got)
+
+
 def test_query_digests(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     got = pii.op10_pii(spark, sf).collect()

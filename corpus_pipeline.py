@@ -1,8 +1,8 @@
 """Corpus preparation in five stages; each works on all that its predecessor kept.
 
 1. quality: a model of ``labels.quality`` scores every text; documents below 0.5 go.
-2. near_duplicates: of each class of linked SimHash fingerprints one row stays, that of the smallest id. The
-   radius and shingles are the operator's own (4 bits, 4 words).
+2. near_duplicates: of each class of linked SimHash fingerprints one row stays, that of the smallest id. Fingerprints are
+   of five-word shingles; the bits that may differ are those of a similarity of 0.8 and a little less, see ``NEAR``.
 3. decontamination: documents with a benchmark passage go.
 4. personal_data: identifiers become their kind in brackets; ``n_chars`` follows the text.
 5. segmentation: two sampled segmentations of each text, one row for each, with their pieces' ids.
@@ -23,6 +23,11 @@ from quillgraph.llm.simhash import near_duplicate_classes
 from quillgraph.session import stage
 
 
+#: Two texts of equal length with Jaccard similarity 0.8 of their shingles are 27 degrees apart: 9.7 of 64 and 19.4 of 128
+#: bits differ on average. 11 and 23 bits leave room for chance.
+NEAR = {"width": 5, "radius": 11, "parts": 2, "wide": 23}
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model accepts."""
     model = fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -34,7 +39,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows, _ = placed(docs)
     at = {name: F.col(f"c{i}") for i, name in enumerate(docs.columns)}
     row = F.struct(at["doc_id"].isNull().alias("unnamed"), at["doc_id"].alias("id"), F.xxhash64(at["text"]).alias("hash"), "file", "at")
-    classes = near_duplicate_classes(rows.select(row.alias("row"), at["text"].alias("text")), key="row")
+    classes = near_duplicate_classes(rows.select(row.alias("row"), at["text"].alias("text")), key="row", **NEAR)
     kept = classes.where(F.col("row").eqNullSafe(F.col("component"))).select("row.file", "row.at")
     return rows.join(kept, ["file", "at"], "left_semi").select(*[c.alias(name) for name, c in at.items()])
 

@@ -8,6 +8,10 @@ radius is lost and none needs luck.
 Fingerprints are made distinct before any pairing, so copies cost nothing. Within a bucket no pairs are listed either: a
 breadth-first search over the bucket yields a spanning forest of its links. A bucket beyond ``block`` fingerprints is cut
 into blocks and each pair of blocks is searched by a task of its own, so no task holds more than two blocks.
+
+A wide radius would need too many masks. There the fingerprint is covered in ``parts`` of equal width: of r differing bits
+one part holds r / parts at most, so the masks of that smaller radius over each part lose no pair either. Their keys are
+shorter and meet by chance more often, so a second word of 64 bits goes along and decides.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillgraph.llm._words import words
+from quillgraph.llm._words import mix, words
 from quillgraph.operators.components import connected_components
 from quillgraph.session import stage
 
@@ -39,8 +43,21 @@ def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 11) -> list
     return [sum(1 << i for i in range(bits) if bin(int(vectors[i]) & v).count("1") & 1) for v in range(1, size)]
 
 
-def _fingerprints(column: pa.Array, width: int) -> np.ndarray:
-    out = np.zeros(len(column), np.uint64)
+def part_masks(radius: int, parts: int) -> list[int]:
+    """Masks over each of ``parts`` of 64 bits; two words that differ in ``radius`` bits or fewer agree under one at least."""
+    cuts = [64 * i // parts for i in range(parts + 1)]
+    return [m << lo for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) for m in covering_masks(radius // parts, hi - lo, 11 + i)]
+
+
+def _majority(h: np.ndarray, at: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
+    sums = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+    return np.packbits(sums * 2 > runs[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _fingerprints(column: pa.Array, width: int, words_out: int = 1) -> np.ndarray:
+    """A row of ``words_out`` words of 64 bits for each text; the first takes bits of the shingle's XXH64, others of its mix."""
+    out = np.zeros((len(column), words_out), np.uint64)
     for w in words(column, lower=True):
         counts = np.diff(w.first)
         if not counts.any():
@@ -64,28 +81,28 @@ def _fingerprints(column: pa.Array, width: int) -> np.ndarray:
         last = np.minimum(begin + width, w.first[row + 1]) - 1
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(text[a:b], 42) for a, b in zip(start[begin].tolist(), end[last].tolist(), strict=True)), np.uint64, len(row))
-        bits = np.unpackbits(h.view(np.uint8), bitorder="little").reshape(-1, 64)
         some = np.flatnonzero(counts)
         at = (np.cumsum(runs) - runs)[some]
-        sums = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-        out[w.lo + some] = np.packbits(sums * 2 > runs[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        for i in range(words_out):
+            out[w.lo + some, i] = _majority(mix(h + np.uint64(i)) if i else h, at, runs[some])
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, out: str = "fingerprint") -> DataFrame:
-    """``docs`` without its text and with a 64-bit fingerprint (a signed long with the same bits).
+def fingerprints(docs: DataFrame, text: str = "text", width: int = 4, out: str = "fingerprint", second: str | None = None) -> DataFrame:
+    """``docs`` without its text and with a 64-bit fingerprint (a signed long with the same bits), and a second one on demand.
 
     Null and blank texts have fingerprint zero; fewer than ``width`` words make one shingle. Other columns stay as they
-    are, but for one that is named ``out``, which is replaced.
+    are, but for those that are named ``out`` or ``second``, which are replaced.
     """
-    others = [c for c in docs.columns if c not in (text, out)]
+    made = [out] if second is None else [out, second]
+    others = [c for c in docs.columns if c not in (text, *made)]
     source = docs.select(*[f"`{c}`" for c in (*others, text)])
-    schema = StructType([*source.schema.fields[:-1], StructField(out, LongType())])
+    schema = StructType([*source.schema.fields[:-1], *[StructField(c, LongType()) for c in made]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            value = pa.array(_fingerprints(b.column(len(others)), width).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], value], names=[*others, out])
+            values = _fingerprints(b.column(len(others)), width, len(made)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], *[pa.array(np.ascontiguousarray(v)) for v in values.T]], names=[*others, *made])
 
     return source.mapInArrow(run, schema)
 
@@ -162,20 +179,125 @@ def near_links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     return ordered.mapInPandas(_search(radius), "u long, v long")
 
 
-def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def _pairs_near(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, radius: int, wide: int) -> np.ndarray:
+    first = np.bitwise_count(a ^ c)
+    return (first <= radius) & (first.astype(np.int16) + np.bitwise_count(b ^ d) <= wide)
+
+
+def _bucket_links(key: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """(one, other): rows that are linked, so that each bucket's near rows hang together. ``key`` is sorted.
+
+    Buckets of up to 8 rows compare by shifts, of up to 512 by a table of all pairs; larger ones are searched breadth first.
+    """
+    bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    sizes = np.diff(bounds)
+    ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    small = np.flatnonzero(np.repeat(sizes <= 8, sizes))
+    for s in range(1, min(8, len(small))):
+        x, y = small[:-s], small[s:]
+        same = key[x] == key[y]
+        x, y = x[same], y[same]
+        near = _pairs_near(a[x], b[x], a[y], b[y], radius, wide)
+        ones.append(x[near])
+        others.append(y[near])
+    for k in np.flatnonzero((sizes > 8) & (sizes <= 512)):
+        lo, hi = bounds[k], bounds[k + 1]
+        p, q = a[lo:hi], b[lo:hi]
+        near = _pairs_near(p[:, None], q[:, None], p, q, radius, wide)
+        before = np.tril(near, -1)
+        rows = np.flatnonzero(before.any(axis=1))
+        if len(rows):
+            # Of the near rows before one, those that are near its first are linked through that one already.
+            head = before[rows].argmax(axis=1)
+            need = before[rows] & ~near[head]
+            need[np.arange(len(rows)), head] = True
+            x, y = np.nonzero(need)
+            ones.append(rows[x] + lo)
+            others.append(y + lo)
+    for k in np.flatnonzero(sizes > 512):
+        left = np.arange(bounds[k], bounds[k + 1])
+        while len(left) > 1:
+            head, frontier, left = left[0], [left[0]], left[1:]
+            while frontier and len(left):
+                f = frontier.pop()
+                near = _pairs_near(a[left], b[left], a[f], b[f], radius, wide)
+                if near.any():
+                    found, left = left[near], left[~near]
+                    ones.append(found)
+                    others.append(np.full(len(found), head))
+                    frontier.extend(found)
+    return np.concatenate(ones), np.concatenate(others)
+
+
+def _search_wide(radius: int, wide: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, a, b) sorted by key; a bucket may go on in the next batch."""
+        rest = np.zeros((3, 0), np.int64)
+
+        def links(rows: np.ndarray) -> pa.RecordBatch:
+            one, other = _bucket_links(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64), radius, wide)
+            ends = [rows[1][one], rows[2][one], rows[1][other], rows[2][other]]
+            return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["ua", "ub", "va", "vb"])
+
+        for batch in batches:
+            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if rows.shape[1] else 0
+            if cut:
+                yield links(np.ascontiguousarray(rows[:, :cut]))
+            rest = rows[:, cut:]
+        if rest.shape[1]:
+            yield links(np.ascontiguousarray(rest))
+
+    return run
+
+
+def near_links_wide(points: DataFrame, radius: int, parts: int, wide: int, block: int = BLOCK) -> DataFrame:
+    """Distinct ``points(a, b)`` to links (u, v) of structs (a, b) that span every group of near points.
+
+    Two points are near where ``a`` differs in ``radius`` bits at most, and both words together in ``wide``.
+    """
+    spark = points.sparkSession
+    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in part_masks(radius, parts)])
+    keyed = points.select("a", "b", F.posexplode(masks).alias("m", "mask")).select("a", "b", F.xxhash64("m", F.col("a").bitwiseAND(F.col("mask"))).alias("key"))
+    # Buckets that may be beyond a block, by one point in 64. This only weighs work: a bucket that isn't here is one group.
+    share = 64
+    some = points.where(F.pmod(F.xxhash64(F.lit("weigh"), "a", "b"), F.lit(share)) == 0).select("a", F.posexplode(masks).alias("m", "mask"))
+    heavy = some.groupBy(F.xxhash64("m", F.col("a").bitwiseAND(F.col("mask"))).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > block // share)
+    heavy = stage(heavy.select("key", F.ceil(2 * share * F.col("n") / block).cast("int").alias("blocks")), "heavy")
+    if not heavy.isEmpty():
+        own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
+        # Block i of a heavy bucket goes to each pair of blocks that has it.
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)))
+        keyed = keyed.join(heavy, "key", "left").select("a", "b", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = keyed.select("key", "a", "b").repartition(partitions, "key").sortWithinPartitions("key")
+    found = ordered.mapInArrow(_search_wide(radius, wide), "ua long, ub long, va long, vb long").distinct()
+    return found.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v"))
+
+
+def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = RADIUS, block: int = BLOCK, parts: int = 1, wide: int | None = None) -> DataFrame:
     """(key, fingerprint long, component): component is the least key of all that are linked, over any number of steps.
 
     Null texts count as empty; all blank texts share fingerprint zero and so one component. Repeated rows stay repeated.
     Null keys are kept, and name a component only if it has no other key. An empty table gives an empty table.
+
+    With ``wide`` fingerprints have a second word: links differ in ``radius`` bits of the first at most and in ``wide`` of
+    both, and the first is covered in ``parts``.
     """
     source = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    marked = stage(fingerprints(source, "t", width, "fp"), "fingerprints")
+    if wide is None:
+        marked = stage(fingerprints(source, "t", width, "fp"), "fingerprints")
+    else:
+        marked = stage(fingerprints(source, "t", width, "a", "b").select("k", F.struct("a", "b").alias("fp")), "fingerprints")
     points = stage(marked.groupBy("fp").agg(F.min("k").alias("least")), "points")
-    groups = connected_components(near_links(points.select("fp"), radius, block))
-    named = points.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    names = named.groupBy("c").agg(F.min("least").alias("component"))
-    labels = named.join(names, "c").select("fp", "component")
-    return marked.join(labels, "fp").select(F.col("k").alias(key), F.col("fp").alias("fingerprint"), "component")
+    links = near_links(points.select("fp"), radius, block) if wide is None else near_links_wide(points.select("fp.*"), radius, parts, wide, block)
+    # Only linked fingerprints have a name to look for, and names are a table: Spark sees its size, and beyond a broadcast
+    # can split a large component.
+    groups = stage(connected_components(links).join(points, F.col("node") == F.col("fp")).select("fp", "component", "least"), "groups")
+    names = stage(groups.groupBy("component").agg(F.min("least").alias("name")), "names")
+    named = stage(groups.join(names, "component").select("fp", "name"), "named")
+    labels = points.join(named, "fp", "left").select("fp", F.when(F.col("name").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
+    return marked.join(labels, "fp").select(F.col("k").alias(key), (F.col("fp") if wide is None else F.col("fp.a")).alias("fingerprint"), "component")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

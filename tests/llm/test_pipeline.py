@@ -11,7 +11,7 @@ def test_stages_act_on_what_is_left(spark, sf):
     one = stage(p.quality(spark, docs, sf))
     assert {r.doc_id for r in one.select("doc_id").collect()} == good and one.columns == columns
 
-    classes = {r.doc_id: r.component for r in simhash.near_duplicate_classes(one).collect()}
+    classes = {r.doc_id: r.component for r in simhash.near_duplicate_classes(one, **p.NEAR).collect()}
     two = stage(p.near_duplicates(spark, one, sf))
     kept = [r.doc_id for r in two.select("doc_id").collect()]
     assert sorted(kept) == sorted(set(classes.values())) and two.columns == columns and len(kept) < len(good)

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from quillgraph.functions import text as tx
 
@@ -17,15 +14,9 @@ SUFFIXES = ("jr", "jr.", "sr", "sr.", "ii", "iii", "iv")
 BIBTEX_TYPES = {"journal": "article", "article": "article", "book": "book", "chapter": "incollection", "conference": "inproceedings", "thesis": "phdthesis", "report": "techreport", "web": "misc"}
 
 
-@F.pandas_udf(StringType())
-def fold(texts: pd.Series) -> pd.Series:
-    """Lower case without marks: compatibility decomposition, combining characters dropped."""
-    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
-
-
 def filename_key(path: Column) -> Column:
     """Letters and digits of a file's stem, folded."""
-    return F.regexp_replace(fold(tx.path_stem(path)), "[^a-z0-9]+", "")
+    return F.regexp_replace(tx.fold(tx.path_stem(path)), "[^a-z0-9]+", "")
 
 
 def clean_authors(names: Column) -> Column:

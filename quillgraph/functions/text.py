@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from quillgraph.functions.vocabulary import INTENT_STOPWORDS, STOPWORDS
 
 SPACE = "[ \\t\\n\\r\\f\\x0b]+"
 
 
+@F.pandas_udf(StringType())
+def _without_marks(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
+
+
+def fold(text: Column) -> Column:
+    """Lower case without marks: compatibility decomposition, combining characters dropped. Only marked texts go to Python."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return F.coalesce(F.when(plain, F.lower(text)), _without_marks(F.when(~plain, text)))
+
+
 def found(text: Column, pattern: str) -> Column:
     """All matches of a pattern."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
@@ -73,8 +88,8 @@ def path_stem(path: Column) -> Column:
 
 
 def title_year_key(title: Column, year: Column) -> Column:
-    """Normalised title and year, null without both."""
-    t = F.nullif(normalize_title(title), F.lit(""))
+    """Normalised title, without marks, and year; null without both."""
+    t = F.nullif(normalize_title(fold(title)), F.lit(""))
     return F.when(t.isNotNull() & year.isNotNull(), F.concat(t, F.lit("|"), year.cast("string")))
 
 

@@ -30,9 +30,19 @@ def degree_counts(nodes: DataFrame, key: str, **edges: tuple[DataFrame, str]) ->
 
 
 def ordered_names(edges: DataFrame, key: str, position: str, name: str, first: int) -> DataFrame:
-    """(key, names): the names by position, the first ones only."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(position), F.col(name))))
-    return edges.groupBy(key).agg(F.slice(F.transform(pairs, lambda p: p[name]), 1, first).alias("names"))
+    """(key, names): the names by position, the first ones only.
+
+    Rows are ranked before they are collected: a key's array never holds more than ``first``, and tasks drop what is beyond.
+    """
+    place = F.row_number().over(Window.partitionBy(key).orderBy(position, name))
+    top = edges.select(key, position, name).withColumn("_place", place).where(F.col("_place") <= first)
+    pairs = F.array_sort(F.collect_list(F.struct("_place", F.col(name))))
+    return top.groupBy(key).agg(F.transform(pairs, lambda p: p[name]).alias("names"))
+
+
+def first_distinct(edges: DataFrame, key: str, name: str, first: int) -> DataFrame:
+    """(key, names): the first distinct names in order, for keys of any number of edges."""
+    return ordered_names(edges.select(key, name).distinct().withColumn("_by", F.col(name)), key, "_by", name, first)
 
 
 def replace_articles(stored: DataFrame, incoming: DataFrame, key: str = "article_id") -> DataFrame:

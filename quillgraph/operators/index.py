@@ -19,12 +19,15 @@ def word_windows(docs: DataFrame, key: str, text: str = "text", size: int = SIZE
     step = size - overlap
     split = docs.select(F.col(key), tx.words(F.col(text)).alias("ws")).where(F.size("ws") > 0)
     last = F.when(F.size("ws") <= size, 0).otherwise(F.ceil((F.size("ws") - size) / F.lit(step)).cast("int"))
-    cut = split.select(key, "ws", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
-    start = F.col("chunk_index") * step
-    return cut.select(
-        key, "chunk_index", start.alias("word_start"), F.least(F.size("ws"), start + size).alias("word_end"),
-        F.array_join(F.slice("ws", start + 1, F.lit(size)), " ").alias("chunk_text"),
+    # The windows are cut inside the row: exploding first would copy a text's whole word array into each of them.
+    windows = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct(
+            i.alias("chunk_index"), (i * step).alias("word_start"), F.least(F.size("ws"), i * step + size).alias("word_end"),
+            F.array_join(F.slice("ws", i * step + 1, F.lit(size)), " ").alias("chunk_text"),
+        ),
     )
+    return split.select(key, F.inline(windows))
 
 
 def postings(texts: DataFrame, *keys: str, text: str = "chunk_text") -> DataFrame:

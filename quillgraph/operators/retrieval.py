@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.functions.vocabulary import INTENT_STOPWORDS, STOPWORDS, Vocabulary
+from quillgraph.operators.graph import first_distinct
 from quillgraph.operators.index import bm25, cosine_top
 from quillgraph.session import stage
 
@@ -108,7 +109,7 @@ def enrich(corpus: Corpus, hits: DataFrame) -> DataFrame:
 
     def neighbours(own: str, other: str, name: str) -> DataFrame:
         pairs = corpus.cites.select(F.col(own).alias("article_id"), F.col(other).alias("other")).join(wanted, "article_id", "left_semi")
-        return pairs.join(titles, "other").groupBy("article_id").agg(F.slice(F.array_sort(F.collect_set("other_title")), 1, 5).alias(name))
+        return first_distinct(pairs.join(titles, "other"), "article_id", "other_title", 5).withColumnRenamed("names", name)
 
     rows = rows.join(neighbours("src", "dst", "cites_out"), "article_id", "left").join(neighbours("dst", "src", "cited_by"), "article_id", "left")
     empty = F.array().cast("array<string>")

@@ -64,10 +64,11 @@ def sections(lines: DataFrame, key: str) -> DataFrame:
     level or a higher one."""
     head = lines.where(F.col("line").rlike("^#{1,6} +[^ ]")).select(key, "line_no", F.length(F.regexp_extract("line", "^#+", 0)).alias("level"), F.trim(F.regexp_replace("line", "^#+ +", "")).alias("title"))
     last = lines.groupBy(key).agg(F.max("line_no").alias("last"))
-    after = Window.partitionBy(key).orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
-    following = F.collect_list(F.struct("line_no", "level")).over(after)
-    end = F.filter(following, lambda x: x["level"] <= F.col("level"))
-    rows = head.withColumn("section", F.row_number().over(Window.partitionBy(key).orderBy("line_no"))).withColumn("closing", F.array_min(F.transform(end, lambda x: x["line_no"])))
+    # Six running minima, one for each level: the next heading of that level or a higher one. Read backwards, so that each
+    # frame only grows.
+    after = Window.partitionBy(key).orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)
+    next_ = F.coalesce(*[F.when(F.col("level") == n, F.min(F.when(F.col("level") <= n, F.col("line_no"))).over(after)) for n in range(1, 7)])
+    rows = head.withColumn("section", F.row_number().over(Window.partitionBy(key).orderBy("line_no"))).withColumn("closing", next_)
     return rows.join(last, key).select(key, "section", "level", "title", F.col("line_no").alias("start_line"), F.coalesce(F.col("closing") - 1, F.col("last")).alias("end_line"))
 
 

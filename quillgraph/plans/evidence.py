@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from quillgraph.functions import quality as q, text as tx, vocabulary as v
 from quillgraph.operators import evidence as e, segmentation as s
+from quillgraph.operators.index import postings
 from quillgraph.plans import tables as t
 
 _M = t.MICRO.format
@@ -18,10 +19,12 @@ WORDS = v.Vocabulary(families={"culture": ("the", "and"), "place": ("thing", "en
 
 
 def _claims(spark, sf):
-    """Each benchmark item against the chunks of the documents 5n to 5n + 4."""
-    c = t.chunks(spark, sf).join(t.articles(spark, sf).select("article_id", "title", "year"), "article_id")
-    b = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"), F.explode(F.sequence(F.col("item_id") * 5, F.col("item_id") * 5 + 4)).alias("article_id"))
-    return b.join(c, "article_id")
+    """Each benchmark item against the ten chunks, of all documents, that hold its words most often."""
+    chunks = t.chunks(spark, sf)
+    b = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    near = e.claim_candidates(b, postings(chunks, "chunk_id"), 10)
+    texts = chunks.join(t.articles(spark, sf).select("article_id", "title", "year"), "article_id")
+    return b.join(near, "claim_id").join(texts, "chunk_id")
 
 
 def claim_match(spark, sf):
@@ -128,10 +131,12 @@ _TQ = r"""tq AS (SELECT doc_id, CAST(length(x) AS INTEGER) AS char_count, CAST(l
 tr AS (SELECT *, array_to_string(list_filter([CASE WHEN char_count < 200 THEN 'native_text_too_short' END, CASE WHEN token_count < 40 THEN 'native_token_count_too_low' END,
     CASE WHEN alpha_count / char_count < 0.45 THEN 'alpha_ratio_too_low' END, CASE WHEN suspect_count / char_count > 0.02 THEN 'suspect_char_ratio_too_high' END], lambda r: r IS NOT NULL), ',') AS rs FROM tq)"""
 SQL = {
-    "claim_match": f"""WITH {t.ARTICLES}, {t.CHUNKS},
-p AS (SELECT item_id AS claim_id, lower(b.text) AS cl, c.article_id, c.chunk_id, lower(a.title) AS ti, lower(c.chunk_text) AS tx, a.year,
+    "claim_match": f"""WITH {t.ARTICLES}, {t.CHUNKS}, {t.TOKENS},
+near AS (SELECT item_id, chunk_id FROM (SELECT item_id, chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY sum(n) DESC, chunk_id) AS i
+  FROM (SELECT item_id, unnest(list_distinct({t.sql_tokens("text", f" AND t NOT IN ({_INTENT})")})) AS token FROM benchmark) JOIN tokens USING (token) GROUP BY 1, 2) WHERE i <= 10),
+p AS (SELECT b.item_id AS claim_id, lower(b.text) AS cl, c.article_id, c.chunk_id, lower(a.title) AS ti, lower(c.chunk_text) AS tx, a.year,
     list_distinct({t.sql_tokens("b.text", f" AND t NOT IN ({_INTENT})")}) AS asked, {_HAVE("c.chunk_text")} AS own, {_HAVE("a.title")} AS heads
-  FROM benchmark b JOIN chunks c ON c.article_id BETWEEN item_id * 5 AND item_id * 5 + 4 JOIN articles a ON a.article_id = c.article_id),
+  FROM near n JOIN benchmark b ON b.item_id = n.item_id JOIN chunks c ON c.chunk_id = n.chunk_id JOIN articles a ON a.article_id = c.article_id),
 f AS (SELECT *, list_filter(asked, lambda t: length(t) >= 4 AND t NOT IN ({_FACET})) AS crit, trim(tx) AS t, len(list_intersect(asked, own)) AS hits,
     list_transform(list_filter(regexp_extract_all(cl, '[0-9a-z_]+'), lambda w: regexp_full_match(w, '(19|20)[0-9]{{2}}')), lambda y: CAST(y AS INTEGER)) AS ys,
     list_filter(list_transform(regexp_extract_all(cl, '"([^"]+)"', 1), lambda p: trim(p)), lambda p: p <> '') AS ph FROM p),
@@ -163,8 +168,8 @@ c AS (SELECT article_id, value, count(*) AS n FROM (SELECT article_id, unnest({t
 p AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, value) AS place, max(n) OVER (PARTITION BY article_id) AS most FROM c)
 SELECT article_id, value, {_M("least(0.9, 0.2 + n / CAST(most AS DOUBLE))")} AS score, 'heuristic_tokens' AS origin FROM p WHERE place <= 31
 UNION ALL SELECT article_id, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS v, 950000, 'metadata_seed' FROM articles WHERE array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') <> ''""",
-    "normalized_keys": f"""WITH {t.ARTICLES}, n AS (SELECT *, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS tn FROM articles)
-SELECT article_id, tn AS title_norm, CASE WHEN tn <> '' THEN tn || '|' || year END AS title_year, '10.1234/' || lower(citekey) AS doi, citekey AS stem, regexp_replace(lower(citekey), '[^a-z0-9]+', '', 'g') AS look_up FROM n""",
+    "normalized_keys": f"""WITH {t.ARTICLES}, n AS (SELECT *, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS tn, array_to_string(regexp_extract_all(strip_accents(lower(title)), '[a-z0-9]+'), ' ') AS tf FROM articles)
+SELECT article_id, tn AS title_norm, CASE WHEN tf <> '' THEN tf || '|' || year END AS title_year, '10.1234/' || lower(citekey) AS doi, citekey AS stem, regexp_replace(lower(citekey), '[^a-z0-9]+', '', 'g') AS look_up FROM n""",
     "reference_chunks": f"WITH {t.ARTICLES}, {t.CHUNKS} SELECT chunk_id FROM (SELECT chunk_id, trim(lower(chunk_text)) AS t FROM chunks) WHERE {_REF}",
     "html_note_text": r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<br[ /]*>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t]+\n', chr(10), 'g'))) AS text_md5 FROM pages""",

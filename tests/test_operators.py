@@ -1,3 +1,6 @@
+import random
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,8 +106,52 @@ def test_citations(spark):
     targets = spark.createDataFrame([(2, "the growth of towns in utah", 2002, None, ["lee"]), (3, "y", 1999, "10.1/z", []), (1, "growth of towns in utah", 2001, None, [])], "target_id long, target_title string, target_year int, target_doi string, target_authors array<string>")
     got = {x.reference_id: x for x in r.resolve_citations(refs, targets).collect()}
     assert set(got) == {"a", "b"} and got["a"].target_id == 2 and got["a"].method == "reference_structured_match" and got["b"].score == 1.0
-    p = spark.range(1).select(r.match_probability(F.lit(0.5), F.lit(0.5), F.lit(2000), F.lit(2001), F.lit("a"), F.lit(None), F.lit(False)).alias("p")).first().p
-    assert p == pytest.approx(0.6 * 0.5 + 0.2 * 0.5 + 0.12 * 0.4 + 0.04)
+
+
+def plain_probability(a, b):
+    """The formula, pair by pair."""
+    similar = SequenceMatcher(None, a["title_norm"], b["target_title"]).ratio() if a["title_norm"] and b["target_title"] else 0.0
+    x, y = set((a["title_norm"] or "").split()), set((b["target_title"] or "").split())
+    jaccard = len(x & y) / len(x | y) if x & y else 0.0
+    gap = None if a["year"] is None or b["target_year"] is None else abs(a["year"] - b["target_year"])
+    author, token = 0.0, a["author_token"]
+    if token:
+        author = 1.0 if token in (b["target_authors"] or []) else 0.5 if token in (b["target_key"] or "") or token in (b["target_title"] or "") else 0.0
+    p = 0.6 * similar + 0.2 * jaccard + 0.12 * {0: 1.0, 1: 0.4}.get(gap, 0.0) + 0.08 * author
+    if a["doi"] is not None and a["doi"] == b["target_doi"]:
+        p = max(p, 0.98)
+    return round(min(1.0, max(0.0, p)), 4)
+
+
+@pytest.mark.parametrize("block", [2048, 30])
+def test_best_matches_are_those_of_all_pairs(spark, block):
+    rng = random.Random(2)
+    words = "growth of towns in utah and the early pottery from clay pits near rivers maps of bends".split()
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 7)))
+    refs = [{"reference_id": i, "title_norm": title() if i % 9 else None, "year": rng.choice([None, 1999, 2000, 2001]), "author_token": rng.choice([None, "", "lee", "clay", "key7"]), "doi": rng.choice([None, None, "10.1/a"])} for i in range(60)]
+    targets = [{"target_id": i, "target_title": title() if i % 11 else "", "target_year": rng.choice([None, 1999, 2002]), "target_doi": rng.choice([None, None, None, "10.1/a"]), "target_authors": rng.choice([None, [], ["lee"], ["kim", "lee"]]), "target_key": f"key{i}"} for i in range(90)]
+    left = spark.createDataFrame(refs, "reference_id long, title_norm string, year int, author_token string, doi string")
+    right = spark.createDataFrame(targets, "target_id long, target_title string, target_year int, target_doi string, target_authors array<string>, target_key string")
+    got = {}
+    for x in r.best_matches(left, right, 2, block).collect():
+        got[x.reference_id, x.place] = (x.target_id, x.probability)
+    for a in refs:
+        want = sorted(((plain_probability(a, b), -b["target_id"]) for b in targets if b["target_id"] != a["reference_id"]), reverse=True)[:2]
+        assert [got[a["reference_id"], i] for i in (1, 2)] == [(-t, p) for p, t in want]
+    assert r.best_matches(left.limit(0), right).count() == 0 == r.best_matches(left, right.limit(0)).count()
+
+
+def test_keys_lose_their_marks(spark):
+    row = spark.createDataFrame([("Fábrega-Álvarez: Pathwáys", 2022)], "t string, y int").select(tx.title_year_key(F.col("t"), F.col("y")).alias("k"), tx.fold(F.col("t")).alias("f")).first()
+    assert row.k == "fabrega alvarez pathways|2022" and row.f == "fabrega-alvarez: pathways"
+    rows = spark.createDataFrame([(None,), ("",), ("AB c",)], "t string").select(tx.fold(F.col("t")).alias("f")).collect()
+    assert [x.f for x in rows] == [None, "", "ab c"]
+
+
+def test_names_of_a_hub_stay_few(spark):
+    edges = spark.range(0, 5000).select(F.lit(1).alias("k"), (F.lit(5000) - F.col("id")).alias("at"), F.concat(F.lit("n"), F.lpad((F.col("id") % 50).cast("string"), 3, "0")).alias("name"))
+    assert g.ordered_names(edges, "k", "at", "name", 3).first().names == ["n049", "n048", "n047"]
+    assert g.first_distinct(edges, "k", "name", 2).first().names == ["n000", "n001"]
 
 
 def test_citation_score(spark):

@@ -29,9 +29,19 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
+def is_body_token(word: Column) -> Column:
+    """No stop word and more than one letter."""
+    return (F.length(word) > 1) & ~word.isin(*STOPWORDS)
+
+
+def body_words(text: Column) -> Column:
+    """Lower-case words that start with a letter: what ``is_body_token`` chooses from, for rows of one word."""
+    return found(F.lower(text), "[a-z][a-z0-9'-]*")
+
+
 def body_tokens(text: Column) -> Column:
     """Lower-case words that start with a letter; no stop words, none of one letter."""
-    return F.filter(found(F.lower(text), "[a-z][a-z0-9'-]*"), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
+    return F.filter(body_words(text), is_body_token)
 
 
 def query_tokens(text: Column) -> Column:

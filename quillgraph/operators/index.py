@@ -32,7 +32,9 @@ def word_windows(docs: DataFrame, key: str, text: str = "text", size: int = SIZE
 
 def postings(texts: DataFrame, *keys: str, text: str = "chunk_text") -> DataFrame:
     """(keys, token, count): how often each body token occurs. Partial sums are formed before the shuffle."""
-    return texts.select(*keys, F.explode(tx.body_tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("count"))
+    # Words are rows before they are chosen: a filter of rows is compiled, one inside an array is not.
+    rows = texts.select(*keys, F.explode(tx.body_words(F.col(text))).alias("token")).where(tx.is_body_token(F.col("token")))
+    return rows.groupBy(*keys, "token").agg(F.count("*").alias("count"))
 
 
 def bm25(fields: DataFrame, key: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:

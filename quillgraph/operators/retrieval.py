@@ -15,6 +15,7 @@ from quillgraph.functions import text as tx
 from quillgraph.functions.vocabulary import INTENT_STOPWORDS, STOPWORDS, Vocabulary
 from quillgraph.operators.graph import first_distinct
 from quillgraph.operators.index import bm25, cosine_top
+from quillgraph.operators.store import Store
 from quillgraph.session import stage
 
 CHANNELS = ("vector", "token", "author", "title")
@@ -57,18 +58,31 @@ def plan_query(question: str, vocabulary: Vocabulary = Vocabulary()) -> QueryPla
 @dataclass(frozen=True)
 class Corpus:
     """Tables that retrieval reads. ``articles``: article_id, title, year, author, citekey; ``chunks``: chunk_id, article_id,
-    chunk_text; ``tokens``: chunk_id, token, count; ``vectors``: chunk_id, embedding; ``cites``: src, dst (article ids)."""
+    chunk_text; ``tokens``: chunk_id, token, count; ``vectors``: chunk_id, embedding; ``cites``: src, dst (article ids).
+
+    With a ``store`` the lexical channels and ``enrich`` read its pruned tables instead; see ``Corpus.stored``.
+    """
 
     articles: DataFrame
     chunks: DataFrame
     tokens: DataFrame
     vectors: DataFrame | None = None
     cites: DataFrame | None = None
+    store: Store | None = None
+
+    @staticmethod
+    def stored(store: Store) -> Corpus:
+        """The corpus of an index that ``store.build_index`` wrote."""
+        vectors = store.table("vectors") if store.has_vectors else None
+        return Corpus(store.table("articles").drop("bucket"), store.table("chunks").drop("bucket"), store.table("tokens").drop("bucket"), vectors, None, store)
 
 
 def token_query(corpus: Corpus, tokens, limit: int) -> DataFrame:
     """(chunk_id, score): how often the tokens, taken as they are, occur in a chunk."""
-    hits = corpus.tokens.where(F.col("token").isin(*tokens)) if tokens else corpus.tokens.limit(0)
+    if not tokens:
+        hits = corpus.tokens.limit(0)
+    else:
+        hits = corpus.store.postings(tokens) if corpus.store else corpus.tokens.where(F.col("token").isin(*tokens))
     return hits.groupBy("chunk_id").agg(F.sum("count").cast("double").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
@@ -84,22 +98,30 @@ def _first_chunks(corpus: Corpus, scored: DataFrame, limit: int) -> DataFrame:
     # Beyond ``limit`` articles none of their chunks can be among the first ``limit``.
     top = scored.join(corpus.articles.select("article_id", "year"), "article_id").orderBy(F.desc("score"), F.desc("year"), "article_id").limit(limit)
     order = (F.desc("score"), F.desc("year"), F.asc("chunk_id"))
+    if corpus.store:
+        return corpus.store.first_chunks(stage(top, "top-articles")).orderBy(*order).limit(limit).select("chunk_id", "score")
     return corpus.chunks.select("chunk_id", "article_id").join(F.broadcast(top), "article_id").orderBy(*order).limit(limit).select("chunk_id", "score")
 
 
 def author_query(corpus: Corpus, terms, limit: int) -> DataFrame:
     """(chunk_id, score): BM25 of the terms over author names, for all chunks of an article."""
-    return _first_chunks(corpus, bm25(corpus.articles, "article_id", "author", list(terms)), limit)
+    terms = list(terms)
+    scored = corpus.store.bm25("author", terms) if corpus.store and terms else bm25(corpus.articles, "article_id", "author", terms)
+    return _first_chunks(corpus, scored, limit)
 
 
 def title_query(corpus: Corpus, terms, limit: int) -> DataFrame:
     """(chunk_id, score): BM25 of the terms over title and citekey, for all chunks of an article."""
     fields = corpus.articles.select("article_id", F.concat_ws(" ", "title", "citekey").alias("field"))
-    return _first_chunks(corpus, bm25(fields, "article_id", "field", [t.lower() for t in terms]), limit)
+    terms = [t.lower() for t in terms]
+    scored = corpus.store.bm25("title", terms) if corpus.store and terms else bm25(fields, "article_id", "field", terms)
+    return _first_chunks(corpus, scored, limit)
 
 
 def enrich(corpus: Corpus, hits: DataFrame) -> DataFrame:
     """Adds text, article and citation neighbours to a bounded set of hits."""
+    if corpus.store:
+        return corpus.store.enrich(hits, stage)
     small = F.broadcast(hits)
     rows = corpus.chunks.join(small, "chunk_id").join(corpus.articles, "article_id")
     if corpus.cites is None:

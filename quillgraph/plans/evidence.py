@@ -62,7 +62,7 @@ def quality_metrics(spark, sf):
 def keyword_extract(spark, sf, limit: int = 32):
     """Seeds (the title) and the most frequent body tokens of each article."""
     a = t.articles(spark, sf)
-    counts = a.select("article_id", F.explode(tx.body_tokens(F.col("text"))).alias("value")).where((F.length("value") >= 4) & ~F.col("value").isin(*v.KEYWORD_STOPWORDS)).groupBy("article_id", "value").agg(F.count("*").alias("n"))
+    counts = a.select("article_id", F.explode(tx.body_words(F.col("text"))).alias("value")).where(tx.is_body_token(F.col("value")) & (F.length("value") >= 4) & ~F.col("value").isin(*v.KEYWORD_STOPWORDS)).groupBy("article_id", "value").agg(F.count("*").alias("n"))
     w = Window.partitionBy("article_id").orderBy(F.desc("n"), "value")
     top = counts.withColumns({"place": F.row_number().over(w), "most": F.max("n").over(Window.partitionBy("article_id"))}).where(F.col("place") <= limit - 1)
     body = top.select("article_id", "value", tx.micro(F.least(F.lit(0.9), 0.2 + F.col("n") / F.col("most").cast("double"))).alias("score"), F.lit("heuristic_tokens").alias("origin"))

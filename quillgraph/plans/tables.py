@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgraph.functions.vocabulary import STOPWORDS
-from quillgraph.operators.index import postings, word_windows
+from quillgraph.operators.index import word_windows
 from quillgraph.operators.retrieval import Corpus
+from quillgraph.operators.store import Store, build_index
+from quillgraph.session import fresh_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,10 +37,21 @@ def cites(spark: SparkSession, sf: str) -> DataFrame:
     return edges.join(d.withColumnRenamed("doc_id", "dst"), "dst", "left_semi").where("src <> dst").select("src", "dst").distinct()
 
 
-def corpus(spark: SparkSession, sf: str) -> Corpus:
-    c = chunks(spark, sf)
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def build_store(spark: SparkSession, sf: str) -> Store:
+    """The index over one set of tables, written to the shared folder."""
     vectors = table(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("chunk_id"), "embedding")
-    return Corpus(articles(spark, sf).drop("text"), c.select("chunk_id", "article_id", "chunk_text"), postings(c, "chunk_id"), vectors, cites(spark, sf))
+    return build_index(articles(spark, sf).drop("text"), chunks(spark, sf), fresh_path(spark, "index"), vectors, cites(spark, sf))
+
+
+def corpus(spark: SparkSession, sf: str) -> Corpus:
+    """The stored index of these tables; a session's first question builds it, later ones find it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        _STORES[key] = build_store(spark, sf)
+    return Corpus.stored(_STORES[key])
 
 
 def query_vector(spark: SparkSession, sf: str, vec_id: int = 7) -> list[float]:

@@ -58,6 +58,24 @@ def test_retrieval(spark):
     assert rt.contextual_retrieve(c, "", None, 2).count() == 0
 
 
+def test_stored_index_answers_alike(spark, tmp_path):
+    from quillgraph.operators import store
+
+    c = corpus(spark)
+    cites = spark.createDataFrame([(1, 2)], "src long, dst long")
+    c = rt.Corpus(c.articles, c.chunks, c.tokens, c.vectors, cites)
+    kept = rt.Corpus.stored(store.build_index(c.articles, c.chunks, f"file://{tmp_path}/index", c.vectors, cites, buckets=3))
+    for question in ("Utah projectile points", "point words by Lee", "", "nothing that is there"):
+        for vector in ([1.0, 0.0], None):
+            a, b = ([(x.chunk_id, x.article_id, round(x.score, 9), x.sources, x.cites_out, x.cited_by) for x in rt.contextual_retrieve(k, question, vector, 3).collect()] for k in (c, kept))
+            assert a == b
+    a, b = ([(x.chunk_id, x.score, x.sources) for x in rt.graphrag_retrieve(k, "point utah", [1.0, 0.0], 5, "chunks").collect()] for k in (c, kept))
+    assert a == b
+    plan = kept.store.postings(["utah"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket")
+    assert store.buckets_of(["utah", "é"], 7) == sorted({r.b for r in spark.createDataFrame([("utah",), ("é",)], "t string").select(store.bucket_of(F.col("t"), 7).alias("b")).collect()})
+
+
 def test_claims(spark):
     rows = [(1, "A review without human experts shows solved tools", 1, "Tools", 2020, "c1", "human review remains; tools shows limitations"), (1, "A review without human experts shows solved tools", 1, "Tools", 2020, "c2", "References\ntools"), (2, "archaeology of mud", 1, "Tools", 2020, "c1", "nothing")]
     got = {(r.claim_id, r.chunk_id): r for r in e.score_claims(spark.createDataFrame(rows, "claim_id int, claim string, article_id int, title string, year int, chunk_id string, chunk_text string")).collect()}

@@ -42,3 +42,28 @@ def used_citations(answer: Column) -> Column:
 def directive_tokens(question: str, stop: frozenset[str] = frozenset()) -> list[str]:
     """A question's content words in order, each once: what a rewritten query keeps."""
     return list(dict.fromkeys(t for t in re.findall(r"[a-z0-9][a-z0-9'-]*", question.lower()) if len(t) > 2 and t not in stop))
+
+
+def slug(text: Column) -> Column:
+    """Lower-case letters and digits with dashes between runs; ``unknown`` where nothing is left."""
+    dashed = F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), "[^a-z0-9]+", "-")
+    return F.coalesce(F.nullif(F.regexp_replace(dashed, "^-+|-+$", ""), F.lit("")), F.lit("unknown"))
+
+
+def humanize_slug(text: Column) -> Column:
+    """Words of a slug: underscores and case changes part them, a blank follows a comma."""
+    spaced = F.replace(F.replace(text, F.lit("_"), F.lit(" ")), F.lit(","), F.lit(", "))
+    parted = F.regexp_replace(F.regexp_replace(spaced, "([a-z])(?=[A-Z])", "$1 "), tx.SPACE, " ")
+    return F.regexp_replace(parted, "^[ _,-]+|[ _,-]+$", "")
+
+
+def filename_fields(path: Column) -> Column:
+    """A struct of author, year and title from a file name like ``Smith2001-SomeTitle.pdf``; else only its title."""
+    stem = tx.path_stem(path)
+    parts = [F.regexp_extract(stem, "^([A-Za-z]+)([0-9]{4})-(.+)", i) for i in (1, 2, 3)]
+    fits = parts[2] != ""
+    return F.struct(
+        F.when(fits, F.concat(F.upper(F.substring(parts[0], 1, 1)), F.lower(F.substr(parts[0], F.lit(2))))).otherwise("Unknown Author").alias("author"),
+        F.when(fits, parts[1].try_cast("int")).alias("year"),
+        humanize_slug(F.when(fits, parts[2]).otherwise(stem)).alias("title"),
+    )

@@ -31,6 +31,7 @@ from quillgraph.session import stage
 
 RADIUS = 4
 BLOCK = 1 << 16
+LINKS = 1 << 20
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 11) -> list[int]:
@@ -251,6 +252,34 @@ def _search_wide(radius: int, wide: int):
     return run
 
 
+_ENDS = "ua long, ub long, va long, vb long"
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of one task (ua, ub, va, vb) to as few that connect the same points: each to the least of its group."""
+    table = pa.Table.from_batches(list(batches), pa.schema([(c, pa.int64()) for c in ("ua", "ub", "va", "vb")]))
+    columns = [c.to_numpy() for c in table.columns]
+    if not len(columns[0]):
+        return
+    pairs = np.empty(2 * len(columns[0]), [("a", np.int64), ("b", np.int64)])
+    pairs["a"], pairs["b"] = np.concatenate([columns[0], columns[2]]), np.concatenate([columns[1], columns[3]])
+    nodes, at = np.unique(pairs, return_inverse=True)
+    u, v = at[: len(columns[0])], at[len(columns[0]) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    ends = [nodes["a"][moved], nodes["b"][moved], nodes["a"][label[moved]], nodes["b"][label[moved]]]
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e)) for e in ends], names=["ua", "ub", "va", "vb"])
+
+
 def near_links_wide(points: DataFrame, radius: int, parts: int, wide: int, block: int = BLOCK) -> DataFrame:
     """Distinct ``points(a, b)`` to links (u, v) of structs (a, b) that span every group of near points.
 
@@ -271,7 +300,9 @@ def near_links_wide(points: DataFrame, radius: int, parts: int, wide: int, block
         keyed = keyed.join(heavy, "key", "left").select("a", "b", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.select("key", "a", "b").repartition(partitions, "key").sortWithinPartitions("key")
-    found = ordered.mapInArrow(_search_wide(radius, wide), "ua long, ub long, va long, vb long").distinct()
+    found = stage(ordered.mapInArrow(_search_wide(radius, wide), _ENDS).distinct(), "links")
+    # Each mask leaves links of its own within a large group. Tasks of a bounded number of links reduce them to forests.
+    found = found.repartition(-(-found.count() // LINKS) or 1).mapInArrow(_forest, _ENDS)
     return found.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v"))
 
 

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 from string import Formatter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from quillgraph.functions import text as tx
+
 
 def dedupe_by_priority(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key by the given order: higher priority, then earlier."""
@@ -109,3 +113,101 @@ def chat_rows(rows: DataFrame, system: str, user: str, assistant: str) -> DataFr
     """``rows`` with ``messages``: a system text and two columns as the user's and the assistant's turns."""
     turns = [("system", F.lit(system)), ("user", F.col(user)), ("assistant", F.col(assistant))]
     return rows.withColumn("messages", F.array(*[F.struct(F.lit(role).alias("role"), text.alias("content")) for role, text in turns]))
+
+
+def first_by_title(catalogue: DataFrame, title: str = "title", place: str = "place") -> DataFrame:
+    """Catalogue records by normalised title, the first by ``place`` of each; blank titles have none. Adds ``title_key``."""
+    keyed = catalogue.withColumn("title_key", tx.normalize_title(F.col(title))).where("title_key <> ''")
+    return dedupe_by_priority(keyed, "title_key", F.asc(place))
+
+
+def join_by_title(citations: DataFrame, catalogue: DataFrame, title: str = "title_guess") -> DataFrame:
+    """``citations`` with ``record``, the catalogue's first record of the same title, and where the target comes from."""
+    index = first_by_title(catalogue)
+    rest = [c for c in index.columns if c != "title_key"]
+    records = index.select(F.col("title_key").alias("_key"), F.struct(*rest).alias("record"))
+    joined = citations.withColumn("_key", tx.normalize_title(F.col(title))).join(records, "_key", "left").drop("_key")
+    return joined.withColumn("origin", F.when(F.col("record").isNotNull(), "catalogue_title").otherwise("heuristic_citation"))
+
+
+def preview_summary(rows: DataFrame, most: int) -> DataFrame:
+    """One row of counts of a preview: resolved, shown, truncated, to be ingested, existing, with metadata."""
+    shown = F.col("place") <= most
+    return rows.agg(
+        F.count("*").alias("total_resolved"), F.count_if(shown).alias("total_previewed"), (F.count("*") > most).alias("truncated"),
+        F.count_if(shown & F.col("will_ingest")).alias("will_ingest"), F.count_if(shown & F.col("existing")).alias("existing"), F.count_if(shown & F.col("has_metadata")).alias("has_metadata"),
+    )
+
+
+def spaced_out(rows: DataFrame, key: str, position: str, gap: int = 8) -> DataFrame:
+    """(key, position): the first position of each key, and then each that is ``gap`` or more past the last one kept."""
+    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(None).cast("bigint").alias("last"))
+    kept = F.aggregate(
+        F.array_sort(F.collect_set(F.col(position).cast("bigint"))), start,
+        lambda s, x: F.when(s["last"].isNotNull() & (x - s["last"] < gap), s).otherwise(F.struct(F.concat(s["kept"], F.array(x)).alias("kept"), x.alias("last"))),
+        lambda s: s["kept"],
+    )
+    return rows.groupBy(key).agg(kept.alias("_kept")).select(key, F.explode("_kept").alias(position))
+
+
+def sections_of_chunks(chunks: DataFrame, key: str, position: str, label: str) -> DataFrame:
+    """(key, section, label, start, end): chunks of one label are a section, numbered from 0 by their first chunk."""
+    spans = chunks.groupBy(key, label).agg(F.min(position).alias("start"), F.max(position).alias("end"))
+    return spans.withColumn("section", F.row_number().over(Window.partitionBy(key).orderBy("start", label)) - 1).select(key, "section", label, "start", "end")
+
+
+def exclude_ids(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Rows whose id isn't in a list, such as one that ``read_json_lines`` gives."""
+    return rows.join(excluded.select(key).distinct(), key, "left_anti").select(*rows.columns)
+
+
+def _greedy_hits(gold: list[str], predicted: list[str], threshold: float) -> int:
+    used: set[int] = set()
+    hits = 0
+    for g in gold:
+        best, score = -1, 0.0
+        for i, p in enumerate(predicted):
+            if i not in used and (s := SequenceMatcher(None, g, p).ratio()) > score:
+                best, score = i, s
+        if best >= 0 and score >= threshold:
+            used.add(best)
+            hits += 1
+    return hits
+
+
+def fuzzy_prf(rows: DataFrame, gold: str, predicted: str, threshold: float = 0.72) -> DataFrame:
+    """``rows`` with fuzzy_overlap, fuzzy_precision, fuzzy_recall and fuzzy_f1 of two arrays of references.
+
+    Texts are compared in canonical form (letters and digits), each form once and in order; every gold one takes the most
+    similar predicted one that is still free, if difflib's similarity reaches the threshold.
+    """
+    canon = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), tx.normalize_title), lambda x: x != "")))
+
+    @F.pandas_udf("int")
+    def hits(g: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([_greedy_hits(list(a), list(b), threshold) for a, b in zip(g, p, strict=True)], dtype="int32")
+
+    counted = rows.withColumns({"_g": canon(gold), "_p": canon(predicted)}).withColumn("fuzzy_overlap", hits("_g", "_p"))
+    share = lambda n: F.when(F.size(n) > 0, F.col("fuzzy_overlap") / F.size(n).cast("double")).otherwise(0.0)
+    out = counted.withColumns({"fuzzy_precision": share("_p"), "fuzzy_recall": share("_g")})
+    total = F.col("fuzzy_precision") + F.col("fuzzy_recall")
+    return out.withColumn("fuzzy_f1", F.when(total > 0, 2 * F.col("fuzzy_precision") * F.col("fuzzy_recall") / total).otherwise(0.0)).drop("_g", "_p")
+
+
+def ordered_references(references: DataFrame, articles: DataFrame, key: str = "article_id", position: str = "ref_index") -> DataFrame:
+    """References of a set of articles by article and position; blanks for missing texts, -1 for missing numbers."""
+    rows = references.join(articles.select(key).distinct(), key, "left_semi")
+    filled = [F.coalesce(f.name, F.lit("") if f.dataType.typeName() == "string" else F.lit(-1)).alias(f.name) if f.dataType.typeName() in ("string", "integer", "long") and f.name != key else F.col(f.name) for f in rows.schema.fields]
+    return rows.select(*filled).orderBy(key, position)
+
+
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, one file a task."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_sidecars(references: DataFrame, path: str, key: str = "article_id", position: str = "ref_index", text: str = "raw_text") -> None:
+    """One folder of text for each article, a line a reference in order; articles without references leave none."""
+    line = tx.squeeze(F.coalesce(text, F.lit("")))
+    rows = references.select(key, position, line.alias("value")).where("value <> ''")
+    rows.repartition(key).sortWithinPartitions(key, position).drop(position).write.mode("overwrite").partitionBy(key).text(path)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from quillgraph.functions import text as tx
 
@@ -30,6 +34,46 @@ def word_windows(docs: DataFrame, key: str, text: str = "text", size: int = SIZE
     return split.select(key, F.inline(windows))
 
 
+def page_windows(docs: DataFrame, key: str, text: str = "text", per_page: int = 40, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(key, chunk_index, chunk_text, page_start, page_end): word windows over a text's lines, with the pages of their first
+    and last words. ``per_page`` lines make a page. All inside the row: no shuffle."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be from 0 to size - 1")
+    step = size - overlap
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    words = F.flatten(F.transform(lines, lambda line, i: F.transform(tx.words(line), lambda w: F.struct(w.alias("w"), (F.floor(i / per_page) + 1).cast("int").alias("p")))))
+    split = docs.select(F.col(key), words.alias("ws")).where(F.size("ws") > 0)
+    last = F.when(F.size("ws") <= size, 0).otherwise(F.ceil((F.size("ws") - size) / F.lit(step)).cast("int"))
+    windows = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct(
+            i.alias("chunk_index"), F.array_join(F.slice("ws.w", i * step + 1, F.lit(size)), " ").alias("chunk_text"),
+            F.get("ws.p", i * step).alias("page_start"), F.get("ws.p", F.least(F.size("ws"), i * step + size) - 1).alias("page_end"),
+        ),
+    )
+    return split.select(key, F.inline(windows))
+
+
+def overwrite_vectors(stored: DataFrame, fresh: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """``stored`` with the vectors that ``fresh(key, vector)`` has; unknown keys change nothing."""
+    new = fresh.select(key, F.col(vector).alias("_new"))
+    return stored.join(new, key, "left").select(*[F.coalesce("_new", vector).alias(vector) if c == vector else F.col(c) for c in stored.columns])
+
+
+def embed_texts(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], key: str = "chunk_id", text: str = "chunk_text", batch: int = 64) -> DataFrame:
+    """(key, embedding) by a model that the caller brings: ``embed`` gets ``batch`` texts at a time, in Arrow slices on the
+    executors. Null texts count as empty."""
+    source = chunks.select(key, F.coalesce(text, F.lit("")).alias(text))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for a in range(0, len(f), batch):
+                part = f.iloc[a : a + batch]
+                yield pd.DataFrame({key: part[key], "embedding": [[float(x) for x in v] for v in embed(part[text].tolist())]})
+
+    return source.mapInPandas(run, StructType([source.schema[key], StructField("embedding", ArrayType(FloatType()))]))
+
+
 def postings(texts: DataFrame, *keys: str, text: str = "chunk_text") -> DataFrame:
     """(keys, token, count): how often each body token occurs. Partial sums are formed before the shuffle."""
     # Words are rows before they are chosen: a filter of rows is compiled, one inside an array is not.

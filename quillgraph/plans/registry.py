@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import documents, evidence, exports, graph, more, retrieval, stream
+from quillgraph.plans import documents, evidence, exports, graph, library, more, retrieval, stream
 
-MODULES = (retrieval, evidence, graph, stream, documents, more, exports)
+MODULES = (retrieval, evidence, graph, stream, documents, more, exports, library)
 
 
 def queries() -> dict:

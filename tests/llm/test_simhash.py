@@ -2,6 +2,7 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -150,3 +151,26 @@ def test_wide_odd_rows(spark):
     got = simhash.near_duplicate_classes(docs, width=5, radius=11, parts=2, wide=23)
     assert sorted((r.doc_id or 0, r.component or 0) for r in got.collect()) == [(0, 0), (0, 4), (4, 4), (5, 4), (7, 7), (8, 8), (9, 8)]
     assert simhash.near_duplicate_classes(docs.limit(0), width=5, radius=11, parts=2, wide=23).count() == 0
+
+
+def test_forest_keeps_groups():
+    rng = np.random.default_rng(5)
+    ends = rng.integers(0, 60, (4, 150)) // np.array([[1], [30], [1], [30]])
+    batch = pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["ua", "ub", "va", "vb"])
+    got = pa.Table.from_batches(simhash._forest(iter([batch[:70], batch[70:]]))).to_pydict()
+
+    def groups(links):
+        root = {}
+        def find(x):
+            root.setdefault(x, x)
+            while root[x] != x:
+                x = root[x]
+            return x
+        for x, y in links:
+            root[max(find(x), find(y))] = min(find(x), find(y))
+        return {x: find(x) for x in list(root) if True}
+
+    before = groups(((a, b), (c, d)) for a, b, c, d in ends.T.tolist())
+    after = groups(((a, b), (c, d)) for a, b, c, d in zip(*(got[c] for c in ("ua", "ub", "va", "vb")), strict=True))
+    assert len(got["ua"]) < 150 and all(after.get(x, x) == r for x, r in before.items())
+    assert list(simhash._forest(iter([]))) == []

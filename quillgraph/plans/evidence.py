@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quillgraph.functions import quality as q, text as tx, vocabulary as v
-from quillgraph.operators import evidence as e, segmentation as s
+from quillgraph.operators import catalogue as cat, evidence as e, segmentation as s
 from quillgraph.operators.index import postings
 from quillgraph.plans import tables as t
 
@@ -59,15 +59,10 @@ def quality_metrics(spark, sf):
     return rows.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("malformed").alias("malformed"), F.sum("token_count").alias("tokens"))
 
 
-def keyword_extract(spark, sf, limit: int = 32):
+def keyword_extract(spark, sf):
     """Seeds (the title) and the most frequent body tokens of each article."""
-    a = t.articles(spark, sf)
-    counts = a.select("article_id", F.explode(tx.body_words(F.col("text"))).alias("value")).where(tx.is_body_token(F.col("value")) & (F.length("value") >= 4) & ~F.col("value").isin(*v.KEYWORD_STOPWORDS)).groupBy("article_id", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("article_id").orderBy(F.desc("n"), "value")
-    top = counts.withColumns({"place": F.row_number().over(w), "most": F.max("n").over(Window.partitionBy("article_id"))}).where(F.col("place") <= limit - 1)
-    body = top.select("article_id", "value", tx.micro(F.least(F.lit(0.9), 0.2 + F.col("n") / F.col("most").cast("double"))).alias("score"), F.lit("heuristic_tokens").alias("origin"))
-    seeds = a.select("article_id", tx.normalize_title(F.col("title")).alias("value"), F.lit(950000).cast("long").alias("score"), F.lit("metadata_seed").alias("origin")).where("value <> ''")
-    return seeds.unionByName(body)
+    rows = cat.keywords(t.articles(spark, sf), "article_id", "title", "text")
+    return rows.select("article_id", "value", tx.micro(F.col("score")).alias("score"), "origin")
 
 
 def normalized_keys(spark, sf):

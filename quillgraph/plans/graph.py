@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quillgraph.functions import text as tx
-from quillgraph.operators import datasets as d, graph as g, resolution as r
+from quillgraph.operators import catalogue as cat, datasets as d, graph as g, resolution as r
 from quillgraph.plans import tables as t
 from quillgraph.plans.tables import table
 
@@ -175,12 +175,7 @@ def eav_pivot(spark, sf):
 def catalog_search(spark, sf):
     """Substring search over joined fields, sorted by title and id, second page; with the total and a presence flag."""
     a = t.articles(spark, sf)
-    hay = F.lower(F.concat_ws("\n", "title", "author", "citekey", F.col("year").cast("string")))
-    hits = a.where(hay.contains("ti")).withColumn("low", F.lower("title"))
-    total = hits.agg(F.count("*").alias("total"))
-    page = hits.orderBy("low", "article_id").offset(20).limit(20)
-    stored = a.where("article_id % 2 = 0").select("article_id", F.lit(True).alias("stored"))
-    return page.join(stored, "article_id", "left").crossJoin(total).select("article_id", "total", F.coalesce("stored", F.lit(False)).alias("stored"))
+    return cat.search_page(a, "ti", ("title", "author", "citekey", "year"), "title", "article_id", 1, 20, a.where("article_id % 2 = 0"))
 
 
 def dedupe_priority(spark, sf):

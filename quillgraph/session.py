@@ -27,20 +27,33 @@ def build_session(app: str = "quillgraph", master: str | None = None, shuffle_pa
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (local tests), a temporary folder of this machine is set and used.
+    Where none is named, a temporary folder of this machine is set and used in local mode; on a cluster that is an error,
+    since executors can't see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+_OWNED: set[str] = set()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one of this application's own that goes when its driver ends."""
+    own = f"{shared_folder(spark)}/quillgraph/{spark.sparkContext.applicationId}"
+    if own not in _OWNED:
+        _OWNED.add(own)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -138,6 +138,22 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.trim(F.coalesce(text, F.lit(""))), "(?<=[.!?])[ \\t\\n\\r]+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def eval_form(text: Column) -> Column:
+    """A reference as exact comparisons take it: lower case, white space squeezed."""
+    return F.lower(squeeze(F.coalesce(text, F.lit(""))))
+
+
+def eval_canon(text: Column) -> Column:
+    """A reference as similar ones are compared: no ``doi:``, no addresses, letters and digits alone."""
+    t = F.regexp_replace(eval_form(text), "(^|[^a-z0-9_])doi: *", "$1 ")
+    return F.array_join(found(F.regexp_replace(t, "https?://[^ ]+", " "), "[a-z0-9]+"), " ")
+
+
+def is_marker(text: Column) -> Column:
+    """Nothing, or only a list marker such as ``[3]``, ``4.`` or ``a-5``."""
+    return F.trim(F.coalesce(text, F.lit(""))).rlike(r"^(\[[0-9]+\]|[0-9]+[.)]?|[A-Za-z]-[0-9]+)?$")
+
+
 def micro(x: Column) -> Column:
     """A score in millionths, rounded half up: comparable between engines."""
     return F.floor(x * 1e6 + 0.5).cast("long")

@@ -178,10 +178,10 @@ def _greedy_hits(gold: list[str], predicted: list[str], threshold: float) -> int
 def fuzzy_prf(rows: DataFrame, gold: str, predicted: str, threshold: float = 0.72) -> DataFrame:
     """``rows`` with fuzzy_overlap, fuzzy_precision, fuzzy_recall and fuzzy_f1 of two arrays of references.
 
-    Texts are compared in canonical form (letters and digits), each form once and in order; every gold one takes the most
+    Texts are compared in canonical form (``eval_canon``), each form once and in order; every gold one takes the most
     similar predicted one that is still free, if difflib's similarity reaches the threshold.
     """
-    canon = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), tx.normalize_title), lambda x: x != "")))
+    canon = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), tx.eval_canon), lambda x: x != "")))
 
     @F.pandas_udf("int")
     def hits(g: pd.Series, p: pd.Series) -> pd.Series:
@@ -194,6 +194,24 @@ def fuzzy_prf(rows: DataFrame, gold: str, predicted: str, threshold: float = 0.7
     return out.withColumn("fuzzy_f1", F.when(total > 0, 2 * F.col("fuzzy_precision") * F.col("fuzzy_recall") / total).otherwise(0.0)).drop("_g", "_p")
 
 
+def section_eval(rows: DataFrame, gold_start: str, guess_start: str, gold_heads: str, guess_heads: str) -> DataFrame:
+    """``rows`` with delta, exact_match, and precision, recall and F1 of the heading lines; no guess is no match."""
+    delta = F.col(guess_start) - F.col(gold_start)
+    none = F.array().cast("array<int>")
+    g, p = (F.array_distinct(F.coalesce(F.col(c).cast("array<int>"), none)) for c in (gold_heads, guess_heads))
+    hit = F.size(F.array_intersect(g, p))
+    share = lambda n: F.when(F.size(n) > 0, hit / F.size(n).cast("double")).otherwise(0.0)
+    out = rows.withColumns({"delta": delta, "exact_match": F.coalesce(delta == 0, F.lit(False)), "heading_precision": share(p), "heading_recall": share(g)})
+    total = F.col("heading_precision") + F.col("heading_recall")
+    return out.withColumn("heading_f1", F.when(total > 0, 2 * F.col("heading_precision") * F.col("heading_recall") / total).otherwise(0.0))
+
+
+def parsing_eval(rows: DataFrame, start: str, expected_start: str, entries: str, expected_entries: str) -> DataFrame:
+    """One row: cases, those whose start line is right (both may be none), whose number of entries is, and that pass both."""
+    first, count = F.col(start).eqNullSafe(F.col(expected_start)), F.coalesce(entries, F.lit(0)) == F.coalesce(expected_entries, F.lit(0))
+    return rows.agg(F.count("*").alias("cases"), F.count_if(first).alias("starts"), F.count_if(count).alias("counts"), F.count_if(first & count).alias("passed"))
+
+
 def ordered_references(references: DataFrame, articles: DataFrame, key: str = "article_id", position: str = "ref_index") -> DataFrame:
     """References of a set of articles by article and position; blanks for missing texts, -1 for missing numbers."""
     rows = references.join(articles.select(key).distinct(), key, "left_semi")

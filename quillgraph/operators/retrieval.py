@@ -7,6 +7,8 @@ four times the candidate number, whatever the corpus. Ties go by chunk id.
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -222,17 +224,47 @@ def papers_of(rows: DataFrame, chunks_per_paper: int) -> DataFrame:
     return best.join(groups, "article_id").withColumn("score", score).drop("top", "mean")
 
 
-def contextual_retrieve(corpus: Corpus, question: str, query_vector: list[float] | None = None, limit: int = 8, scope: str = "chunks", chunks_per_paper: int = 1, threshold: float | None = None, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+def within(rows: DataFrame, seconds: float) -> DataFrame | None:
+    """``rows`` written within so many seconds, or none: its Spark jobs are cancelled then. Other errors are raised."""
+    context, group, late, done = rows.sparkSession.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def stop() -> None:
+        # Again and again: a job that starts after the first call belongs to the group too.
+        late.set()
+        while not done.wait(0.2):
+            context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "a channel with a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return stage(rows, "within")
+    except Exception:
+        if late.is_set():
+            return None
+        raise
+    finally:
+        done.set()
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def contextual_retrieve(corpus: Corpus, question: str, query_vector: list[float] | None = None, limit: int = 8, scope: str = "chunks", chunks_per_paper: int = 1, threshold: float | None = None, vocabulary: Vocabulary = Vocabulary(), vector_seconds: float | None = None) -> DataFrame:
     """The flagship: candidates of four channels, fused, filtered, re-ranked. Columns include chunk_id, article_id, score.
 
     Where no title or author meets the question, candidates of the author channel come back without the strict filter.
+    With ``vector_seconds`` a vector channel that takes longer is left out, and the lexical ones answer alone.
     """
     papers = scope == "papers"
     k = max(limit * (8 if papers else 5), 80 if papers else 25)
     pool = max(limit * 8, 80) if papers else limit
     plan = plan_query(question, vocabulary)
+    near = vector_query(corpus, query_vector, k)
+    if vector_seconds is not None and query_vector is not None:
+        in_time = within(near, vector_seconds)
+        near = vector_query(corpus, None, k) if in_time is None else in_time
     fused = fuse({
-        "vector": vector_query(corpus, query_vector, k),
+        "vector": near,
         "token": token_query(corpus, plan.tokens, k),
         "author": author_query(corpus, plan.author_terms, k),
         "title": title_query(corpus, plan.tokens, k),

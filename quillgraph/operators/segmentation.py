@@ -5,7 +5,11 @@ A document's lines are ordered by page and line number; windows never cross docu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import re
+from collections.abc import Iterable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
 
@@ -80,3 +84,95 @@ def reference_tail(lines: DataFrame, key: str, last: int = 80, window: int = 12,
     tail = lines.withColumn("back", back).where(F.col("back") <= last).withColumn("lead", lead)
     near = F.sum(F.col("lead").cast("int")).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(0, window - 1))
     return tail.withColumn("near", near).where((F.col("near") >= least) & F.col("lead")).groupBy(key).agg(F.min("line_no").alias("start_line"))
+
+
+def section_windows(lines: DataFrame, key: str, section: str, size: int = 220, overlap: int = 45) -> DataFrame:
+    """(key, section, chunk_index, chunk_text, page_start, page_end): word windows that never cross sections, of 32 words at
+    least; chunks are counted through a document. ``lines`` need page and line_no; a section's lines are held together."""
+    size = max(32, size)
+    overlap = min(max(0, overlap), size - 1)
+    step = size - overlap
+    held = lines.groupBy(key, section).agg(F.array_sort(F.collect_list(F.struct("line_no", "page", "line"))).alias("ls"))
+    words = F.flatten(F.transform("ls", lambda x: F.transform(tx.words(x["line"]), lambda w: F.struct(w.alias("w"), x["page"].alias("p")))))
+    cut = held.select(key, section, F.get("ls.line_no", F.lit(0)).alias("first"), words.alias("ws")).where(F.size("ws") > 0)
+    last = F.when(F.size("ws") <= size, 0).otherwise(F.ceil((F.size("ws") - size) / F.lit(step)).cast("int"))
+    windows = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.struct(
+            i.alias("i"), F.array_join(F.slice("ws.w", i * step + 1, F.lit(size)), " ").alias("chunk_text"),
+            F.get("ws.p", i * step).alias("page_start"), F.get("ws.p", F.least(F.size("ws"), i * step + size) - 1).alias("page_end"),
+        ),
+    )
+    rows = cut.select(key, section, "first", F.inline(windows))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("first", "i")) - 1
+    return rows.withColumn("chunk_index", place).select(key, section, "chunk_index", "chunk_text", "page_start", "page_end")
+
+
+def reference_starts(chunks: DataFrame, key: str, position: str, text: str, heading: str = "(?i)(^|[^A-Za-z])(references cited|references|bibliography|works cited)([^A-Za-z]|$)") -> DataFrame:
+    """(key, start): where a document's references begin: the first chunk with a heading, else the last one with eight
+    numbers of four digits, else the sixth from the end."""
+    t = F.coalesce(text, F.lit(""))
+    numbers = F.regexp_count(t, F.lit(r"\b[0-9]{4}\b"))
+    found = chunks.groupBy(key).agg(
+        F.min(F.when(t.rlike(heading), F.col(position))).alias("head"), F.max(F.when(numbers >= 8, F.col(position))).alias("dense"), F.greatest(F.lit(0), F.count("*") - 6).alias("late"),
+    )
+    return found.select(key, F.coalesce("head", "dense", "late").cast("long").alias("start"))
+
+
+_AUTHOR = re.compile(r"[A-Z][\w'`.-]+(, *[A-Z][\w .,'`&-]+)?( and [A-Z][\w .,'`&-]+)?", re.ASCII)
+_YEAR = re.compile(r"(19|20)[0-9]{2}[a-z]?\b", re.IGNORECASE)
+_NAMED_YEAR = re.compile(r"[A-Z].*\b(19|20)[0-9]{2}[a-z]?\b")
+
+
+def recognised_references(lines: Iterable[str], least: int = 28) -> list[str]:
+    """References in the lines of one recognised bibliography.
+
+    A year opens a reference, alone in its line or after names; an author's line above a year is carried over to each
+    further year that stands alone. Page numbers go; each reference of ``least`` characters or more counts once.
+    """
+    kept = [x for x in (re.sub(r"\s+", " ", line or "").strip() for line in lines) if x and not re.fullmatch("[0-9]{1,3}", x)]
+    out: dict[str, str] = {}
+    parts: list[str] = []
+    author = ""
+
+    def close() -> None:
+        text = " ".join(parts).strip(" .;")
+        if len(text) >= least:
+            out.setdefault(text.lower(), text)
+
+    for line, after in zip(kept, [*kept[1:], ""], strict=False):
+        if _AUTHOR.fullmatch(line) and _YEAR.match(after):
+            author = line
+        elif _YEAR.match(line):
+            close()
+            parts = [author, line] if author else [line]
+        elif _NAMED_YEAR.match(line):
+            close()
+            parts = [line]
+        elif parts:
+            parts.append(line)
+    close()
+    return list(out.values())
+
+
+def split_recognised(docs: DataFrame, key: str, text: str = "text", stops: tuple[str, ...] = ("article continued from",)) -> DataFrame:
+    """(key, ref_index, raw_text): references of recognised texts, from a line ``references`` to one that holds a stop phrase."""
+
+    @F.pandas_udf("array<string>")
+    def split(lines: pd.Series) -> pd.Series:
+        return pd.Series([recognised_references(x) for x in lines])
+
+    every = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    start = F.array_position(F.transform(every, lambda x: F.lower(F.trim(x))), "references").cast("int")
+    tail = docs.select(F.col(key), F.slice(every, start + 1, F.size(every)).alias("tail"), start.alias("start")).where("start > 0")
+    ends = lambda x: F.coalesce(_holds(F.lower(x), stops), F.lit(False))
+    stop = F.array_position(F.transform("tail", ends), True).cast("int")
+    region = F.when(stop > 0, F.slice("tail", F.lit(1), stop - 1)).otherwise(F.col("tail"))
+    return tail.select(key, F.posexplode(split(region)).alias("ref_index", "raw_text"))
+
+
+def _holds(text: Column, phrases: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in phrases:
+        out = out | text.contains(p)
+    return out

@@ -177,6 +177,44 @@ def sidecar_files(spark, sf):
     return at.locate_sidecars(stems, exact.unionByName(near))
 
 
+def body_chunks(spark, sf):
+    """Word windows of every document that don't cross its sections of 25 lines, ten lines a page."""
+    rows = s.lines_of(table(spark, sf, "documents"), "doc_id", per_page=10).withColumn("section", F.floor(F.col("line_no") / 25).cast("int"))
+    return s.section_windows(rows, "doc_id", "section").select("doc_id", "section", "chunk_index", "page_start", "page_end", F.md5("chunk_text").alias("text_md5"))
+
+
+def reference_starts(spark, sf):
+    """Where references may begin among the chunks of each document."""
+    rows = t.chunks(spark, sf).withColumn("text", F.when(F.col("article_id") % 4 == 0, F.concat("chunk_text", F.lit(" References"))).when(F.col("article_id") % 4 == 1, F.concat("chunk_text", F.lit(" 1999 2000 2001 2002 2003 2004 2005 2006"))).otherwise(F.col("chunk_text")))
+    return s.reference_starts(rows, "article_id", "chunk_index", "text")
+
+
+def section_eval(spark, sf):
+    """Guessed heading lines and starts of orders' lines against given ones."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("gold"), F.collect_set((F.col("l_partkey") % 7).cast("int")).alias("guess"), F.min("l_linenumber").cast("int").alias("start"), F.min((F.col("l_suppkey") % 5)).cast("int").alias("at"))
+    rows = d.section_eval(li.withColumn("at", F.when(F.col("at") > 0, F.col("at"))), "start", "at", "gold", "guess")
+    return rows.select("l_orderkey", "delta", "exact_match", *[tx.micro(F.col(f"heading_{x}")).alias(x) for x in ("precision", "recall", "f1")])
+
+
+def parsing_eval(spark, sf):
+    o = table(spark, sf, "orders").select((F.col("o_orderkey") % 4).alias("s"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderkey") % 3).alias("es"), (F.col("o_custkey") % 3).alias("n"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderkey") % 3).alias("en"))
+    return d.parsing_eval(o.withColumn("s", F.when(F.col("s") < 3, F.col("s"))), "s", "es", "n", "en")
+
+
+def reference_forms(spark, sf):
+    """References in the forms that evaluation compares, and whether they are noise."""
+    a = t.articles(spark, sf)
+    raw = F.concat(F.when(F.col("article_id") % 9 == 0, "References ").otherwise("  "), "author", F.lit("  "), "title", F.when(F.col("article_id") % 3 == 0, " DOI: 10.1/X").when(F.col("article_id") % 3 == 1, " https://x.org/a?b").otherwise(""))
+    return a.select("article_id", tx.eval_form(raw).alias("form"), tx.eval_canon(raw).alias("canon"), tx.is_marker(F.substring("title", 1, 1)).alias("marker"), q.is_noise_reference(raw, "(?i)x[.]org").alias("noise"), q.is_reasonable_reference(raw, F.col("title"), 400, 8).alias("reasonable"))
+
+
+def recognised_references(spark, sf):
+    """Each document as a recognised page below a line of references: three words a line, names and years between."""
+    lines = F.regexp_replace(F.col("text"), r"(\S+\s+\S+\s+\S+)\s+", "$1\nSmith, A\n1998 title ")
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("intro\nReferences\n"), lines).alias("text"))
+    return s.split_recognised(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 def vector_overwrite(spark, sf):
     """Labels of a third of all vectors are written anew, with some of unknown ones."""
     v = table(spark, sf, "embeddings").select("vec_id", "label")
@@ -202,6 +240,7 @@ QUERIES = {
     for f in (
         metadata_refresh, reconcile_update, stub_creation, delete_references, repoint_resolves, repoint_cites, move_edges, merge_preview, canonical_choice, page_chunks, sections_of_chunks,
         spaced_headings, title_index_join, preview_summary, citation_details, recognition_summary, filename_fields, note_matches, attachment_files, sidecar_files, vector_overwrite, ordered_references, fuzzy_split_scores,
+        body_chunks, reference_starts, section_eval, parsing_eval, reference_forms, recognised_references,
     )
 }
 _REF = "r AS (SELECT o_orderkey AS reference_id, o_custkey AS article_id, lower(o_orderpriority) || '|' || o_custkey % 50 AS ref_key FROM orders)"
@@ -269,4 +308,23 @@ f AS (SELECT '/b/' || p_name || '-' || p_partkey AS path, p_name AS stem, 1 AS o
 SELECT stem, path FROM (SELECT p.stem, path, row_number() OVER (PARTITION BY p.stem ORDER BY o, p.stem = f.stem DESC, path) AS i FROM p JOIN f ON regexp_replace(lower(f.stem), '[^a-z0-9]+', '', 'g') = k WHERE k <> '') WHERE i = 1""",
     "vector_overwrite": "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label FROM embeddings",
     "ordered_references": "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN l_returnflag ELSE '' END AS raw, CASE WHEN l_partkey % 3 = 0 THEN l_suppkey ELSE -1 END AS year FROM lineitem WHERE l_orderkey % 7 = 0",
+    "body_chunks": rf"""WITH l AS (SELECT doc_id, i // 25 AS section, i, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(line) <> ''),
+w AS (SELECT doc_id, section, i, {t.WORDS.format("line")} AS ws FROM l),
+x AS (SELECT doc_id, section, min(i) AS first, flatten(list(ws ORDER BY i)) AS ws, flatten(list(list_transform(ws, lambda v: i // 10 + 1) ORDER BY i)) AS ps FROM w GROUP BY 1, 2),
+c AS (SELECT *, unnest(range(0, CASE WHEN len(ws) <= 220 THEN 1 ELSE CAST(ceil((len(ws) - 220) / 175.0) AS BIGINT) + 1 END)) AS k FROM x WHERE len(ws) > 0)
+SELECT doc_id, CAST(section AS INTEGER) AS section, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, k) - 1 AS INTEGER) AS chunk_index, CAST(ps[k * 175 + 1] AS INTEGER) AS page_start,
+  CAST(ps[least(len(ws), k * 175 + 220)] AS INTEGER) AS page_end, md5(array_to_string(ws[k * 175 + 1 : k * 175 + 220], ' ')) AS text_md5 FROM c""",
+    "reference_starts": rf"""WITH {t.ARTICLES}, {t.CHUNKS}, x AS (SELECT article_id, chunk_index, chunk_text || CASE article_id % 4 WHEN 0 THEN ' References' WHEN 1 THEN ' 1999 2000 2001 2002 2003 2004 2005 2006' ELSE '' END AS t FROM chunks)
+SELECT article_id, CAST(coalesce(min(chunk_index) FILTER (regexp_matches(t, '(?i)(^|[^A-Za-z])(references cited|references|bibliography|works cited)([^A-Za-z]|$)')),
+  max(chunk_index) FILTER (len(regexp_extract_all(t, '\b[0-9]{{4}}\b')) >= 8), greatest(0, count(*) - 6)) AS BIGINT) AS start FROM x GROUP BY 1""",
+    "section_eval": f"""WITH o AS (SELECT l_orderkey, list_distinct(list(l_linenumber)) AS g, list_distinct(list(l_partkey % 7)) AS p, min(l_linenumber) AS s, min(l_suppkey % 5) AS a FROM lineitem GROUP BY 1),
+h AS (SELECT *, len(list_intersect(g, p)) AS h, CASE WHEN a > 0 THEN CAST(a - s AS INTEGER) END AS delta FROM o), m AS (SELECT *, h / CAST(len(p) AS DOUBLE) AS pr, h / CAST(len(g) AS DOUBLE) AS re FROM h)
+SELECT l_orderkey, delta, coalesce(delta = 0, false) AS exact_match, {_M("pr")} AS precision, {_M("re")} AS recall, {_M("CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END")} AS f1 FROM m""",
+    "parsing_eval": """WITH x AS (SELECT CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey % 4 END AS s, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 3 END AS es, o_custkey % 3 AS n, CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 3 ELSE 0 END AS en FROM orders)
+SELECT count(*) AS cases, count(*) FILTER (s IS NOT DISTINCT FROM es) AS starts, count(*) FILTER (n = en) AS counts, count(*) FILTER (n = en AND s IS NOT DISTINCT FROM es) AS passed FROM x""",
+    "reference_forms": rf"""WITH {t.ARTICLES}, x AS (SELECT article_id, title, CASE WHEN article_id % 9 = 0 THEN 'References ' ELSE '  ' END || author || '  ' || title || CASE article_id % 3 WHEN 0 THEN ' DOI: 10.1/X' WHEN 1 THEN ' https://x.org/a?b' ELSE '' END AS raw FROM articles),
+y AS (SELECT *, trim(regexp_replace(raw, '[ \t\n\r\f\x0b]+', ' ', 'g')) AS sq, trim(regexp_replace(title, '[ \t\n\r\f\x0b]+', ' ', 'g')) AS ti FROM x)
+SELECT article_id, lower(sq) AS form, array_to_string(regexp_extract_all(regexp_replace(regexp_replace(lower(sq), '(^|[^a-z0-9_])doi: *', '\1 ', 'g'), 'https?://[^ ]+', ' ', 'g'), '[a-z0-9]+'), ' ') AS canon,
+  regexp_matches(trim(title[1]), '^(\[[0-9]+\]|[0-9]+[.)]?|[A-Za-z]-[0-9]+)?$') AS marker, length(sq) < 12 OR contains(lower(sq), 'x.org') OR starts_with(lower(sq), 'references') AS noise,
+  length(raw) BETWEEN 20 AND 400 AND length(ti) >= 8 AND NOT regexp_matches(ti, '(?i)https?://|www\.') AS reasonable FROM y""",
 }

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import names as n, quality as q, text as tx
-from quillgraph.operators import corrections as c, datasets as d, index, notes
+from quillgraph.operators import corrections as c, datasets as d, index, notes, retrieval as rt, segmentation as sg
 from quillgraph.sources import attachments as at
 
 
@@ -80,7 +80,7 @@ def test_fuzzy_scores_by_hand(spark):
     got = d.fuzzy_prf(spark.createDataFrame(rows, "g array<string>, p array<string>").coalesce(1), "g", "p").collect()
     assert len(got) == len(rows)
     for r in got:
-        clean = lambda xs: sorted({" ".join("".join(ch if ch.isalnum() else " " for ch in x.lower()).split()) for x in xs or []} - {""})
+        clean = lambda xs: sorted({" ".join("".join(ch if ch.isalnum() else " " for ch in x.lower().replace("doi:", " ")).split()) for x in xs or []} - {""})
         g, p = clean(r.g), clean(r.p)
         hits = greedy(g, p)
         assert r.fuzzy_overlap == hits and r.fuzzy_precision == pytest.approx(hits / len(p) if p else 0) and r.fuzzy_recall == pytest.approx(hits / len(g) if g else 0)
@@ -106,3 +106,41 @@ def test_writers(spark, tmp_path):
     d.write_json_lines(refs, f"file://{tmp_path}/json")
     assert spark.read.json(f"file://{tmp_path}/json").count() == 4
     assert d.exclude_ids(refs, spark.createDataFrame([(1,), (None,)], "article_id int"), "article_id").count() == 2
+
+
+def test_recognised_references():
+    lines = ["9", "Smith, John and Ann Lee", "1999 The growth of towns in the west.", "University of Utah Press", "2001a Another study of the same towns", "Jones, A. 2003 Clay pots and how they were fired", "12", "short", "", None, "2001a another study of the same towns"]
+    got = sg.recognised_references(lines)
+    assert got == ["Smith, John and Ann Lee 1999 The growth of towns in the west. University of Utah Press", "Smith, John and Ann Lee 2001a Another study of the same towns", "Jones, A. 2003 Clay pots and how they were fired short"]
+    assert sg.recognised_references([]) == []
+
+
+def test_recognised_region(spark):
+    text = "Smith 1990 not here, it is before the list\nReferences\nLee, A. 2001 A study of the towns of Utah\nArticle continued from page 3\nKim, B. 2002 A study that is beyond the stop"
+    rows = sg.split_recognised(spark.createDataFrame([(1, text), (2, "none"), (3, None)], "k int, text string"), "k").collect()
+    assert [(r.k, r.ref_index, r.raw_text) for r in rows] == [(1, 0, "Lee, A. 2001 A study of the towns of Utah")]
+
+
+def test_slow_vectors_are_left_out(spark):
+    import time
+
+    articles = spark.createDataFrame([(1, "Utah points", 2001, "Ann Lee", "lee1")], "article_id long, title string, year int, author string, citekey string")
+    chunks = spark.createDataFrame([("1:0", 1, "projectile point typology in utah")], "chunk_id string, article_id long, chunk_text string")
+    vectors = spark.createDataFrame([("1:0", [1.0, 0.0])], "chunk_id string, embedding array<float>")
+
+    def slow(frames):
+        time.sleep(60)
+        yield from frames
+
+    def broken(frames):
+        raise ValueError("no vectors today")
+        yield
+
+    corpus = lambda v: rt.Corpus(articles, chunks, index.postings(chunks, "chunk_id"), v)
+    began = time.monotonic()
+    rows = rt.contextual_retrieve(corpus(vectors.mapInPandas(slow, vectors.schema)), "Utah points", [1.0, 0.0], 2, vector_seconds=3).collect()
+    assert rows and all("vector" not in r.sources for r in rows) and time.monotonic() - began < 50
+    rows = rt.contextual_retrieve(corpus(vectors), "Utah points", [1.0, 0.0], 2, vector_seconds=60).collect()
+    assert any("vector" in r.sources for r in rows)
+    with pytest.raises(Exception, match="(?s).*"):
+        rt.contextual_retrieve(corpus(vectors.mapInPandas(broken, vectors.schema)), "Utah points", [1.0, 0.0], 2, vector_seconds=60).collect()

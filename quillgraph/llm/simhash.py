@@ -232,11 +232,13 @@ def _bucket_links(key: np.ndarray, a: np.ndarray, b: np.ndarray, radius: int, wi
 
 def _search_wide(radius: int, wide: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (key, a, b) sorted by key; a bucket may go on in the next batch."""
-        rest = np.zeros((3, 0), np.int64)
+        """Rows (key, a, b, label) sorted by key; a bucket may go on in the next batch. Rows of one label are linked already."""
+        rest = np.zeros((4, 0), np.int64)
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
             one, other = _bucket_links(rows[0], rows[1].view(np.uint64), rows[2].view(np.uint64), radius, wide)
+            news = (rows[3][one] != rows[3][other]) | (rows[3][one] == 0)
+            one, other = one[news], other[news]
             ends = [rows[1][one], rows[2][one], rows[1][other], rows[2][other]]
             return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], names=["ua", "ub", "va", "vb"])
 
@@ -280,30 +282,46 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e)) for e in ends], names=["ua", "ub", "va", "vb"])
 
 
-def near_links_wide(points: DataFrame, radius: int, parts: int, wide: int, block: int = BLOCK) -> DataFrame:
-    """Distinct ``points(a, b)`` to links (u, v) of structs (a, b) that span every group of near points.
-
-    Two points are near where ``a`` differs in ``radius`` bits at most, and both words together in ``wide``.
-    """
+def _wide_round(points: DataFrame, masks: list[int], radius: int, wide: int, block: int) -> DataFrame:
+    """Links (u, v) found under some masks for ``points(a, b, label)``; none between points of one label, unless it is 0."""
     spark = points.sparkSession
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in part_masks(radius, parts)])
-    keyed = points.select("a", "b", F.posexplode(masks).alias("m", "mask")).select("a", "b", F.xxhash64("m", F.col("a").bitwiseAND(F.col("mask"))).alias("key"))
+    column = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in masks])
+    keyed = points.select("a", "b", "label", F.posexplode(column).alias("m", "mask")).select("a", "b", "label", F.xxhash64("m", F.col("a").bitwiseAND(F.col("mask"))).alias("key"))
     # Buckets that may be beyond a block, by one point in 64. This only weighs work: a bucket that isn't here is one group.
     share = 64
-    some = points.where(F.pmod(F.xxhash64(F.lit("weigh"), "a", "b"), F.lit(share)) == 0).select("a", F.posexplode(masks).alias("m", "mask"))
+    some = points.where(F.pmod(F.xxhash64(F.lit("weigh"), "a", "b"), F.lit(share)) == 0).select("a", F.posexplode(column).alias("m", "mask"))
     heavy = some.groupBy(F.xxhash64("m", F.col("a").bitwiseAND(F.col("mask"))).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > block // share)
     heavy = stage(heavy.select("key", F.ceil(2 * share * F.col("n") / block).cast("int").alias("blocks")), "heavy")
     if not heavy.isEmpty():
         own = F.pmod(F.xxhash64("a", "b"), F.col("blocks")).cast("int")
         # Block i of a heavy bucket goes to each pair of blocks that has it.
         pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(o, own), F.greatest(o, own)))
-        keyed = keyed.join(heavy, "key", "left").select("a", "b", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+        keyed = keyed.join(heavy, "key", "left").select("a", "b", "label", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.select("key", "a", "b").repartition(partitions, "key").sortWithinPartitions("key")
+    ordered = keyed.select("key", "a", "b", "label").repartition(partitions, "key").sortWithinPartitions("key")
     found = stage(ordered.mapInArrow(_search_wide(radius, wide), _ENDS).distinct(), "links")
     # Each mask leaves links of its own within a large group. Tasks of a bounded number of links reduce them to forests.
     found = found.repartition(-(-found.count() // LINKS) or 1).mapInArrow(_forest, _ENDS)
-    return found.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v"))
+    return stage(found.select(F.struct(F.col("ua").alias("a"), F.col("ub").alias("b")).alias("u"), F.struct(F.col("va").alias("a"), F.col("vb").alias("b")).alias("v")), "forest")
+
+
+def near_links_wide(points: DataFrame, radius: int, parts: int, wide: int, block: int = BLOCK, first: int = 4) -> DataFrame:
+    """Distinct ``points(a, b)`` to links (u, v) of structs (a, b) that span every group of near points.
+
+    Two points are near where ``a`` differs in ``radius`` bits at most, and both words together in ``wide``. The first few
+    masks of each part go before all others: they join most of a large group, and what is joined is labelled, so that the
+    other masks don't link it again and again.
+    """
+    masks = part_masks(radius, parts)
+    each = len(masks) // parts
+    early = [m for i, m in enumerate(masks) if i % each < first]
+    late = [m for i, m in enumerate(masks) if i % each >= first]
+    links = _wide_round(points.select("a", "b", F.lit(0).cast("long").alias("label")), early, radius, wide, block)
+    if not late:
+        return links
+    known = stage(connected_components(links).select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), F.xxhash64("component").alias("label")), "labels")
+    labelled = stage(points.join(known, ["a", "b"], "left").select("a", "b", F.coalesce("label", F.lit(0).cast("long")).alias("label")), "labelled")
+    return links.unionByName(_wide_round(labelled, late, radius, wide, block))
 
 
 def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = RADIUS, block: int = BLOCK, parts: int = 1, wide: int | None = None) -> DataFrame:

@@ -30,10 +30,22 @@ def rows_of(df):
     return sorted((r.shard, r.slot, r.doc_id) for r in df.collect())
 
 
-@pytest.mark.parametrize("block,bucket", [(1 << 16, 1 << 14), (37, 3)])
-def test_shards_are_exact_and_slots_without_gaps(spark, sf, block, bucket):
+@pytest.mark.parametrize("good,bad,sample", [(2_000_000_000, 3_000_000_000, 4000), (40, 5_000_000_000, 2_500_000_000), (5_000_000_000, 40, 2_500_000_000), (3_000_000_000, 1_000_000_000, 3_900_000_000)])
+def test_draws_from_more_than_numpy_takes(good, bad, sample):
+    rng = np.random.default_rng(3)
+    x = np.array([s._hypergeometric(rng, good, bad, sample) for _ in range(3000)], float)
+    n = good + bad
+    mean, deviation = sample * good / n, np.sqrt(sample * (good / n) * (bad / n) * (n - sample) / (n - 1))
+    assert abs(x.mean() - mean) < 5 * deviation / np.sqrt(3000) and abs(x.std() / deviation - 1) < 0.07
+    assert x.max() <= min(good, sample) and x.min() >= max(0, sample - bad)
+    huge = s.communication_matrix(np.array([2_000_000_000, 700_000_000]), np.array([1_700_000_000, 1_000_000_000]), 1)
+    assert huge.sum(axis=1).tolist() == [2_000_000_000, 700_000_000] and huge.sum(axis=0).tolist() == [1_700_000_000, 1_000_000_000]
+
+
+@pytest.mark.parametrize("block,bucket,group", [(1 << 16, 1 << 14, 1024), (37, 3, 2)])
+def test_shards_are_exact_and_slots_without_gaps(spark, sf, block, bucket, group):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    got = rows_of(s.shuffle_into_shards(docs, 24, 5, block, bucket))
+    got = rows_of(s.shuffle_into_shards(docs, 24, 5, block, bucket, group))
     by = collections.defaultdict(list)
     for shard, slot, _ in got:
         by[shard].append(slot)
@@ -41,8 +53,8 @@ def test_shards_are_exact_and_slots_without_gaps(spark, sf, block, bucket):
     assert sorted(len(v) for v in by.values()) == sorted(s.shard_sizes(n, 24).tolist())
     assert all(v == list(range(len(v))) for v in by.values())
     assert sorted(k for *_, k in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
-    assert got == rows_of(s.shuffle_into_shards(docs, 24, 5, block, bucket))
-    assert got != rows_of(s.shuffle_into_shards(docs, 24, 6, block, bucket))
+    assert got == rows_of(s.shuffle_into_shards(docs, 24, 5, block, bucket, group))
+    assert got != rows_of(s.shuffle_into_shards(docs, 24, 6, block, bucket, group))
 
 
 def test_split_of_the_scan_changes_nothing(spark):

@@ -225,7 +225,11 @@ def papers_of(rows: DataFrame, chunks_per_paper: int) -> DataFrame:
 
 
 def within(rows: DataFrame, seconds: float) -> DataFrame | None:
-    """``rows`` written within so many seconds, or none: its Spark jobs are cancelled then. Other errors are raised."""
+    """``rows`` written within so many seconds, or none: its Spark jobs are cancelled then. Other errors are raised.
+
+    Tasks aren't interrupted, since that breaks the channels of Python workers that later tasks use; one that is at work ends
+    by itself, and its result is dropped.
+    """
     context, group, late, done = rows.sparkSession.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event(), threading.Event()
 
     def stop() -> None:
@@ -235,7 +239,7 @@ def within(rows: DataFrame, seconds: float) -> DataFrame | None:
             context.cancelJobGroup(group)
 
     timer = threading.Timer(seconds, stop)
-    context.setJobGroup(group, "a channel with a time limit", interruptOnCancel=True)
+    context.setJobGroup(group, "a channel with a time limit", interruptOnCancel=False)
     timer.start()
     try:
         return stage(rows, "within")

@@ -137,7 +137,9 @@ def stale_edge_cleanup(spark, sf):
 
 
 def orphan_cleanup(spark, sf):
-    return g.orphans(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return g.orphans(table(spark, sf, "customer").select("c_custkey"), urgent, "c_custkey")
 
 
 def author_merge(spark, sf):
@@ -275,7 +277,7 @@ SELECT source, target, CAST(score AS DOUBLE) AS score, CASE score WHEN 0.95 THEN
 g AS (SELECT article_id AS dst, lower(regexp_extract(title, '[A-Za-z]+')) AS author, CAST(article_id % 60 AS VARCHAR) AS year FROM articles)
 SELECT DISTINCT a.src, g.dst FROM g JOIN w a ON a.word = g.author JOIN w y ON y.src = a.src AND y.word = g.year WHERE g.author <> '' AND a.src <> g.dst AND NOT EXISTS (SELECT 1 FROM cites c WHERE c.src = a.src AND c.dst = g.dst)""",
     "stale_edge_cleanup": """WITH o AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 100 AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'reference_title_match' ELSE 'in_text_author_year' END AS method FROM orders) SELECT src, dst, method FROM o WHERE method LIKE 'reference_%' AND dst % 3 <> 0""",
-    "orphan_cleanup": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "orphan_cleanup": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "author_merge": "SELECT CASE WHEN l_suppkey > 10 AND l_suppkey IN (SELECT s_suppkey FROM supplier) THEN l_suppkey % 10 + 1 ELSE l_suppkey END AS l_suppkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2",
     "article_merge": f"""WITH {t.ARTICLES}, a AS (SELECT article_id, CASE WHEN article_id % 6 <> 0 THEN author END AS author, CASE WHEN article_id % 4 <> 0 THEN citekey ELSE '' END AS citekey, article_id - article_id % 2 AS k FROM articles)
 SELECT k AS article_id, arg_min(author, article_id) FILTER (author <> '') AS author, arg_min(citekey, article_id) FILTER (citekey <> '') AS citekey FROM a GROUP BY 1""",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import chroma, decontaminate, licences, pii, quality, segmentations, sharding, simhash, substrings, token_counts, warc
+from quillgraph.llm import chroma, clusters, decontaminate, licences, merkle, pii, quality, segmentations, sharding, simhash, substrings, token_counts, warc
 
-MODULES = (simhash, substrings, pii, quality, decontaminate, segmentations, sharding, warc, licences, chroma, token_counts)
+MODULES = (simhash, substrings, pii, quality, decontaminate, segmentations, sharding, warc, licences, chroma, merkle, clusters, token_counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 #: Headings of reference sections.
-REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature cited", "references cited", "cited references", "reference list", "notes and references")
+REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature cited", "references cited", "cited references", "reference list", "sources cited")
 #: Headings of front and back matter.
 FRONT_HEADINGS = ("title page", "contents", "table of contents", "acknowledgment", "acknowledgments", "acknowledgement", "acknowledgements", "list of tables", "list of figures", "copyright", "figure", "figures", "table", "tables")
 BACK_HEADINGS = ("appendix", "appendixes", "list of tables", "list of figures", "table", "tables", "figure", "figures")

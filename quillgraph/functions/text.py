@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -124,13 +125,16 @@ def looks_like_references(text: Column) -> Column:
     return (t != "") & (heading | (dois >= 2) | (years >= 5))
 
 
-def html_text(html: Column) -> Column:
-    """Line ends for breaks and closed blocks, no tags, the five basic entities, no blank at a line's end."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), "(?i)<br[ /]*>|</(p|div|li|h[1-6]|tr)>", "\n")
-    t = F.regexp_replace(t, "<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.trim(F.regexp_replace(t, "[ \\t]+\n", "\n"))
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape)
+
+
+def html_text(source: Column) -> Column:
+    """Line ends for breaks and closed blocks, no tags, all entities as their characters, no white space at a line's end."""
+    t = F.regexp_replace(F.coalesce(source, F.lit("")), "(?i)<br[ /]*>|</(p|div|li|h[1-6]|tr)>", "\n")
+    t = _unescaped(F.regexp_replace(t, "<[^>]*>", ""))
+    return F.trim(F.regexp_replace(t, "[ \\t\u00a0]+\n", "\n"))
 
 
 def sentences(text: Column) -> Column:

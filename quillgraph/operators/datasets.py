@@ -130,13 +130,13 @@ def join_by_title(citations: DataFrame, catalogue: DataFrame, title: str = "titl
     return joined.withColumn("origin", F.when(F.col("record").isNotNull(), "catalogue_title").otherwise("heuristic_citation"))
 
 
-def preview_summary(rows: DataFrame, most: int) -> DataFrame:
-    """One row of counts of a preview: resolved, shown, truncated, to be ingested, existing, with metadata."""
-    shown = F.col("place") <= most
-    return rows.agg(
-        F.count("*").alias("total_resolved"), F.count_if(shown).alias("total_previewed"), (F.count("*") > most).alias("truncated"),
-        F.count_if(shown & F.col("will_ingest")).alias("will_ingest"), F.count_if(shown & F.col("existing")).alias("existing"), F.count_if(shown & F.col("has_metadata")).alias("has_metadata"),
-    )
+def preview_summary(rows: DataFrame, most: int, *order: Column) -> DataFrame:
+    """One row of counts of a preview, the first ``most`` rows in order: resolved, shown, truncated, to be ingested, existing,
+    with metadata. Tasks keep ``most`` rows each; nothing ranks them all."""
+    first = rows.select("will_ingest", "existing", "has_metadata", *[c.alias(f"_o{i}") for i, c in enumerate(order)]).orderBy(*[f"_o{i}" for i in range(len(order))]).limit(most)
+    shown = first.agg(F.count("*").alias("total_previewed"), *[F.count_if(c).alias(c) for c in ("will_ingest", "existing", "has_metadata")])
+    total = rows.agg(F.count("*").alias("total_resolved"), (F.count("*") > most).alias("truncated"))
+    return total.crossJoin(F.broadcast(shown))  # one row each
 
 
 def spaced_out(rows: DataFrame, key: str, position: str, gap: int = 8) -> DataFrame:
@@ -161,16 +161,21 @@ def exclude_ids(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     return rows.join(excluded.select(key).distinct(), key, "left_anti").select(*rows.columns)
 
 
+def similarity(a: str, b: str) -> float:
+    """The larger of difflib's ratio and the share of words that two canonical references have in common."""
+    if not a or not b:
+        return 0.0
+    mine, other = set(a.split()), set(b.split())
+    return max(SequenceMatcher(None, a, b).ratio(), len(mine & other) / len(mine | other))
+
+
 def _greedy_hits(gold: list[str], predicted: list[str], threshold: float) -> int:
-    used: set[int] = set()
-    hits = 0
+    free, hits = list(predicted), 0
     for g in gold:
-        best, score = -1, 0.0
-        for i, p in enumerate(predicted):
-            if i not in used and (s := SequenceMatcher(None, g, p).ratio()) > score:
-                best, score = i, s
-        if best >= 0 and score >= threshold:
-            used.add(best)
+        scores = [similarity(g, p) for p in free]
+        best = max(scores, default=0.0)
+        if best > 0 and best >= threshold:
+            free.pop(scores.index(best))
             hits += 1
     return hits
 
@@ -178,22 +183,29 @@ def _greedy_hits(gold: list[str], predicted: list[str], threshold: float) -> int
 def fuzzy_prf(rows: DataFrame, gold: str, predicted: str, threshold: float = 0.72) -> DataFrame:
     """``rows`` with fuzzy_overlap, fuzzy_precision, fuzzy_recall and fuzzy_f1 of two arrays of references.
 
-    Texts are compared in canonical form (``eval_canon``), each form once and in order; every gold one takes the most
-    similar predicted one that is still free, if difflib's similarity reaches the threshold.
+    References count once each in lower case with white space squeezed, and are compared in canonical form (``eval_canon``),
+    in order of the former; every gold one takes the most similar predicted one that is still free, if ``similarity``
+    reaches the threshold.
     """
-    canon = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), tx.eval_canon), lambda x: x != "")))
+    forms = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), tx.eval_form), lambda x: x != "")))
+    canon = lambda c: F.filter(F.transform(c, tx.eval_canon), lambda x: x != "")
 
     @F.pandas_udf("int")
     def hits(g: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series([_greedy_hits(list(a), list(b), threshold) for a, b in zip(g, p, strict=True)], dtype="int32")
 
-    counted = rows.withColumns({"_g": canon(gold), "_p": canon(predicted)}).withColumn("fuzzy_overlap", hits("_g", "_p"))
+    counted = rows.withColumns({"_g": forms(gold), "_p": forms(predicted)}).withColumn("fuzzy_overlap", hits(canon("_g"), canon("_p")))
     share = lambda n: F.when(F.size(n) > 0, F.col("fuzzy_overlap") / F.size(n).cast("double")).otherwise(0.0)
     out = counted.withColumns({"fuzzy_precision": share("_p"), "fuzzy_recall": share("_g")})
     total = F.col("fuzzy_precision") + F.col("fuzzy_recall")
     return out.withColumn("fuzzy_f1", F.when(total > 0, 2 * F.col("fuzzy_precision") * F.col("fuzzy_recall") / total).otherwise(0.0)).drop("_g", "_p")
 
 
+def macro_scores(rows: DataFrame, *scores: str) -> DataFrame:
+    """One row: n and the mean of each score over all rows, of no rows 0."""
+    return rows.agg(F.count("*").alias("n"), *[F.coalesce(F.avg(s), F.lit(0.0)).alias(f"macro_{s}") for s in scores])
+
+
 def section_eval(rows: DataFrame, gold_start: str, guess_start: str, gold_heads: str, guess_heads: str) -> DataFrame:
     """``rows`` with delta, exact_match, and precision, recall and F1 of the heading lines; no guess is no match."""
     delta = F.col(guess_start) - F.col(gold_start)

@@ -7,10 +7,10 @@ four times the candidate number, whatever the corpus. Ties go by chunk id.
 from __future__ import annotations
 
 import re
-import threading
 import uuid
 from dataclasses import dataclass
 
+from pyspark import InheritableThread
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
@@ -225,32 +225,31 @@ def papers_of(rows: DataFrame, chunks_per_paper: int) -> DataFrame:
 
 
 def within(rows: DataFrame, seconds: float) -> DataFrame | None:
-    """``rows`` written within so many seconds, or none: its Spark jobs are cancelled then. Other errors are raised.
+    """``rows`` written within so many seconds, or none. Other errors are raised.
 
-    Tasks aren't interrupted, since that breaks the channels of Python workers that later tasks use; one that is at work ends
-    by itself, and its result is dropped.
+    The work has a thread and a job tag of its own, so the caller's job group, tags and other properties stay as they are.
+    What takes longer is left behind: its jobs are cancelled by their tag if no part of the plan runs in Python. Python
+    workers are shared, and a cancelled task can leave one that the next query fails on; such a plan ends by itself, unread.
     """
-    context, group, late, done = rows.sparkSession.sparkContext, f"within-{uuid.uuid4().hex}", threading.Event(), threading.Event()
-
-    def stop() -> None:
-        # Again and again: a job that starts after the first call belongs to the group too.
-        late.set()
-        while not done.wait(0.2):
-            context.cancelJobGroup(group)
-
-    timer = threading.Timer(seconds, stop)
-    context.setJobGroup(group, "a channel with a time limit", interruptOnCancel=False)
-    timer.start()
-    try:
-        return stage(rows, "within")
-    except Exception:
-        if late.is_set():
-            return None
-        raise
-    finally:
-        done.set()
-        timer.cancel()
-        context.setLocalProperty("spark.jobGroup.id", None)
+    context, tag, box = rows.sparkSession.sparkContext, f"within-{uuid.uuid4().hex}", {}
+
+    def work() -> None:
+        context.addJobTag(tag)
+        try:
+            box["rows"] = stage(rows, "within")
+        except Exception as error:
+            box["error"] = error
+
+    thread = InheritableThread(target=work, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        if not re.search("Python|Pandas|Arrow", rows._jdf.queryExecution().optimizedPlan().toString()):
+            context.cancelJobsWithTag(tag)
+        return None
+    if "error" in box:
+        raise box["error"]
+    return box["rows"]
 
 
 def contextual_retrieve(corpus: Corpus, question: str, query_vector: list[float] | None = None, limit: int = 8, scope: str = "chunks", chunks_per_paper: int = 1, threshold: float | None = None, vocabulary: Vocabulary = Vocabulary(), vector_seconds: float | None = None) -> DataFrame:

@@ -5,10 +5,6 @@ A document's lines are ordered by page and line number; windows never cross docu
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
@@ -119,56 +115,46 @@ def reference_starts(chunks: DataFrame, key: str, position: str, text: str, head
     return found.select(key, F.coalesce("head", "dense", "late").cast("long").alias("start"))
 
 
-_AUTHOR = re.compile(r"[A-Z][\w'`.-]+(, *[A-Z][\w .,'`&-]+)?( and [A-Z][\w .,'`&-]+)?", re.ASCII)
-_YEAR = re.compile(r"(19|20)[0-9]{2}[a-z]?\b", re.IGNORECASE)
-_NAMED_YEAR = re.compile(r"[A-Z].*\b(19|20)[0-9]{2}[a-z]?\b")
+#: A line of names alone, a line that a year begins, and one of names with a year.
+AUTHOR_LINE = r"^[A-Z][A-Za-z'`.-]+(?:,\s*[A-Z][A-Za-z .,'`&-]+)?(?:\s+and\s+[A-Z][A-Za-z .,'`&-]+)?$"
+YEAR_LINE = r"^(?:19|20)[0-9]{2}[A-Za-z]?\b"
+NAMED_YEAR_LINE = r"^[A-Z].*\b(?:19|20)[0-9]{2}[A-Za-z]?\b"
 
 
-def recognised_references(lines: Iterable[str], least: int = 28) -> list[str]:
-    """References in the lines of one recognised bibliography.
+def recognised_references(lines: DataFrame, key: str, least: int = 28) -> DataFrame:
+    """(key, ref_index, raw_text): references in the lines(key, line_no, line) of recognised bibliographies.
 
-    A year opens a reference, alone in its line or after names; an author's line above a year is carried over to each
-    further year that stands alone. Page numbers go; each reference of ``least`` characters or more counts once.
+    Lines are classed by themselves and the line below: names above a year are an author, who stands for each further year
+    that begins a line until the next author; a year, or names with one, opens a reference, and other lines go on with it.
+    Blank lines and numbers of pages go first. References of ``least`` characters or more count once each, in any case.
     """
-    kept = [x for x in (re.sub(r"\s+", " ", line or "").strip() for line in lines) if x and not re.fullmatch("[0-9]{1,3}", x)]
-    out: dict[str, str] = {}
-    parts: list[str] = []
-    author = ""
-
-    def close() -> None:
-        text = " ".join(parts).strip(" .;")
-        if len(text) >= least:
-            out.setdefault(text.lower(), text)
-
-    for line, after in zip(kept, [*kept[1:], ""], strict=False):
-        if _AUTHOR.fullmatch(line) and _YEAR.match(after):
-            author = line
-        elif _YEAR.match(line):
-            close()
-            parts = [author, line] if author else [line]
-        elif _NAMED_YEAR.match(line):
-            close()
-            parts = [line]
-        elif parts:
-            parts.append(line)
-    close()
-    return list(out.values())
-
-
-def split_recognised(docs: DataFrame, key: str, text: str = "text", stops: tuple[str, ...] = ("article continued from",)) -> DataFrame:
-    """(key, ref_index, raw_text): references of recognised texts, from a line ``references`` to one that holds a stop phrase."""
-
-    @F.pandas_udf("array<string>")
-    def split(lines: pd.Series) -> pd.Series:
-        return pd.Series([recognised_references(x) for x in lines])
-
+    order = Window.partitionBy(key).orderBy("line_no")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    clean = lines.select(key, "line_no", tx.squeeze(F.coalesce("line", F.lit(""))).alias("line")).where("line <> ''").where(~F.col("line").rlike("^[0-9]{1,3}$"))
+    below = F.coalesce(F.lead("line").over(order), F.lit(""))
+    kind = (
+        F.when(F.col("line").rlike(AUTHOR_LINE) & below.rlike(YEAR_LINE), "author")
+        .when(F.col("line").rlike(YEAR_LINE), "year").when(F.col("line").rlike(NAMED_YEAR_LINE), "named").otherwise("text")
+    )
+    rows = clean.withColumn("kind", kind)
+    rows = rows.withColumns({"author": F.last(F.when(F.col("kind") == "author", F.col("line")), ignorenulls=True).over(upto), "entry": F.count_if(F.col("kind").isin("year", "named")).over(upto)})
+    text = F.when(F.col("kind") == "year", F.concat_ws(" ", "author", "line")).otherwise(F.col("line"))
+    held = rows.where("kind <> 'author' and entry > 0").groupBy(key, "entry").agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("line")))).alias("ls"))
+    joined = held.select(key, "entry", F.regexp_replace(F.array_join("ls.line", " "), "^[ .;]+|[ .;]+$", "").alias("raw_text")).where(F.length("raw_text") >= least)
+    once = joined.groupBy(key, F.lower("raw_text").alias("_low")).agg(F.min_by("raw_text", "entry").alias("raw_text"), F.min("entry").alias("entry"))
+    return once.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("entry")) - 1).alias("ref_index"), "raw_text")
+
+
+def split_recognised(docs: DataFrame, key: str, text: str = "text", stops: tuple[str, ...] = ("article continued from",), least: int = 28) -> DataFrame:
+    """(key, ref_index, raw_text): references of recognised texts, from below a line ``references`` to one that holds a stop
+    phrase. Texts without such a line have none."""
     every = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     start = F.array_position(F.transform(every, lambda x: F.lower(F.trim(x))), "references").cast("int")
     tail = docs.select(F.col(key), F.slice(every, start + 1, F.size(every)).alias("tail"), start.alias("start")).where("start > 0")
     ends = lambda x: F.coalesce(_holds(F.lower(x), stops), F.lit(False))
     stop = F.array_position(F.transform("tail", ends), True).cast("int")
     region = F.when(stop > 0, F.slice("tail", F.lit(1), stop - 1)).otherwise(F.col("tail"))
-    return tail.select(key, F.posexplode(split(region)).alias("ref_index", "raw_text"))
+    return recognised_references(tail.select(key, F.posexplode(region).alias("line_no", "line")), key, least)
 
 
 def _holds(text: Column, phrases: tuple[str, ...]) -> Column:

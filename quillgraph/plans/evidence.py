@@ -166,8 +166,9 @@ UNION ALL SELECT article_id, array_to_string(regexp_extract_all(lower(title), '[
     "normalized_keys": f"""WITH {t.ARTICLES}, n AS (SELECT *, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS tn, array_to_string(regexp_extract_all(strip_accents(lower(title)), '[a-z0-9]+'), ' ') AS tf FROM articles)
 SELECT article_id, tn AS title_norm, CASE WHEN tf <> '' THEN tf || '|' || year END AS title_year, '10.1234/' || lower(citekey) AS doi, citekey AS stem, regexp_replace(lower(citekey), '[^a-z0-9]+', '', 'g') AS look_up FROM n""",
     "reference_chunks": f"WITH {t.ARTICLES}, {t.CHUNKS} SELECT chunk_id FROM (SELECT chunk_id, trim(lower(chunk_text)) AS t FROM chunks) WHERE {_REF}",
-    "html_note_text": r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<br[ /]*>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t]+\n', chr(10), 'g'))) AS text_md5 FROM pages""",
+    "html_note_text": r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<br[ /]*>|</(p|div|li|h[1-6]|tr)>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM pages)
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', chr(160)),
+  '&amp;?', '&', 'g'), '[ \t\xa0]+\n', chr(10), 'g'))) AS text_md5 FROM p""",
     "years_and_dois": "SELECT doc_id, coalesce(TRY_CAST(regexp_extract(text, '(^|[^0-9A-Za-z_])((19|20)[0-9]{2})([^0-9A-Za-z_]|$)', 2) AS INTEGER), 0) AS year, regexp_replace('10.1000/' || source || ';', '[.;,]+$', '') AS doi FROM documents",
     "header_footer_strip": f"""WITH {_LINES(8, "text")},
 a AS (SELECT *, lower(trim(regexp_replace(line, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g'))) AS norm, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS up, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no DESC) AS down FROM lines),

@@ -115,8 +115,8 @@ def title_index_join(spark, sf):
 
 
 def preview_summary(spark, sf):
-    rows = table(spark, sf, "documents").select(F.row_number().over(Window.orderBy("doc_id")).alias("place"), (F.col("n_chars") > 500).alias("will_ingest"), (F.col("doc_id") % 2 == 0).alias("existing"), (F.col("lang") == "en").alias("has_metadata"))
-    return d.preview_summary(rows, 150)
+    rows = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") > 500).alias("will_ingest"), (F.col("doc_id") % 2 == 0).alias("existing"), (F.col("lang") == "en").alias("has_metadata"))
+    return d.preview_summary(rows, 150, F.col("doc_id"))
 
 
 def citation_details(spark, sf):
@@ -212,7 +212,7 @@ def recognised_references(spark, sf):
     """Each document as a recognised page below a line of references: three words a line, names and years between."""
     lines = F.regexp_replace(F.col("text"), r"(\S+\s+\S+\s+\S+)\s+", "$1\nSmith, A\n1998 title ")
     docs = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("intro\nReferences\n"), lines).alias("text"))
-    return s.split_recognised(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return s.split_recognised(docs, "doc_id").select("doc_id", "ref_index", F.md5("raw_text").alias("text_md5"))
 
 
 def vector_overwrite(spark, sf):
@@ -228,6 +228,14 @@ def ordered_references(spark, sf):
     return d.ordered_references(li, table(spark, sf, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "l_linenumber")
 
 
+def macro_split_scores(spark, sf):
+    """Means of the scores of all turns' sentences against those of the turn before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, sf, "conversations").select(*[F.transform(tx.sentences(c), tx.eval_form).alias(n) for n, c in (("gold", F.col("text")), ("guess", F.lag("text").over(w)))])
+    means = d.macro_scores(d.prf(rows, "gold", "guess"), "precision", "recall", "f1")
+    return means.select("n", *[tx.micro(F.round(F.col(f"macro_{x}"), 9)).alias(f"macro_{x}") for x in ("precision", "recall", "f1")])
+
+
 def fuzzy_split_scores(spark, sf):
     """Sentences of each turn against those of the turn before it, each matched once by similarity."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -239,14 +247,32 @@ QUERIES = {
     f.__name__: f
     for f in (
         metadata_refresh, reconcile_update, stub_creation, delete_references, repoint_resolves, repoint_cites, move_edges, merge_preview, canonical_choice, page_chunks, sections_of_chunks,
-        spaced_headings, title_index_join, preview_summary, citation_details, recognition_summary, filename_fields, note_matches, attachment_files, sidecar_files, vector_overwrite, ordered_references, fuzzy_split_scores,
+        spaced_headings, title_index_join, preview_summary, citation_details, recognition_summary, filename_fields, note_matches, attachment_files, sidecar_files, vector_overwrite, ordered_references, fuzzy_split_scores, macro_split_scores,
         body_chunks, reference_starts, section_eval, parsing_eval, reference_forms, recognised_references,
     )
 }
 _REF = "r AS (SELECT o_orderkey AS reference_id, o_custkey AS article_id, lower(o_orderpriority) || '|' || o_custkey % 50 AS ref_key FROM orders)"
 _AIMS = f"""{_REF}, a AS (SELECT r.*, s_suppkey AS target_id FROM r JOIN (SELECT unnest(range(0, 40)) AS id) i ON r.ref_key = '2-high|' || id JOIN supplier ON lower(s_name) = 'supplier#' || lpad(CAST(id AS VARCHAR), 9, '0'))"""
 _NORM = "array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' ')".format
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace(trim(coalesce({0}, '')), '([.!?])[ \\t\\n\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')".format
+_FORMS = "list_distinct(list_transform({0}, lambda s: lower(trim(regexp_replace(s, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')))))".format
 SQL = {
+    "macro_split_scores": f"""WITH x AS (SELECT conv_id, turn, {_SENTENCES("text")} AS g, {_SENTENCES("lag(text) OVER (PARTITION BY conv_id ORDER BY turn)")} AS p FROM conversations),
+y AS (SELECT {_FORMS("g")} AS g, {_FORMS("p")} AS p FROM x), z AS (SELECT len(g) AS g, len(p) AS p, len(list_intersect(g, p)) AS h FROM y),
+w AS (SELECT CASE WHEN g + p = 0 THEN 1.0 WHEN p = 0 THEN 0.0 ELSE CAST(h AS DOUBLE) / p END AS precision, CASE WHEN g + p = 0 THEN 1.0 WHEN g = 0 THEN 0.0 ELSE CAST(h AS DOUBLE) / g END AS recall FROM z),
+v AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM w)
+SELECT count(*) AS n, {", ".join(_M(f"round(avg({c}), 9)") + f" AS macro_{c}" for c in ("precision", "recall", "f1"))} FROM v""",
+    "recognised_references": r"""WITH d AS (SELECT doc_id, string_split('intro' || chr(10) || 'References' || chr(10) || regexp_replace(text, '(\S+\s+\S+\s+\S+)\s+', '\1' || chr(10) || 'Smith, A' || chr(10) || '1998 title ', 'g'), chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: lower(trim(x))), 'references') AS a, list_position(list_transform(ls, lambda x: contains(lower(x), 'article continued from')), true) AS z FROM d),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i, a, z FROM e),
+c AS (SELECT doc_id, i, trim(regexp_replace(line, '[ \t\n\r\f\x0b]+', ' ', 'g'), ' ') AS line FROM l WHERE i >= a AND (z IS NULL OR z <= a OR i < z - 1)),
+k AS (SELECT *, regexp_matches(line, '^(?:19|20)[0-9]{2}[A-Za-z]?\b') AS y, regexp_matches(line, '^[A-Z].*\b(?:19|20)[0-9]{2}[A-Za-z]?\b') AS n, lead(regexp_matches(line, '^(?:19|20)[0-9]{2}[A-Za-z]?\b'), 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS yb
+  FROM c WHERE line <> '' AND NOT regexp_full_match(line, '[0-9]{1,3}')),
+g AS (SELECT *, yb AND regexp_matches(line, '^[A-Z][A-Za-z''`.-]+(?:,\s*[A-Z][A-Za-z .,''`&-]+)?(?:\s+and\s+[A-Z][A-Za-z .,''`&-]+)?$') AS au FROM k),
+w AS (SELECT *, last_value(CASE WHEN au THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS author, sum(CASE WHEN NOT au AND (y OR n) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS entry FROM g),
+t AS (SELECT doc_id, entry, regexp_replace(string_agg(CASE WHEN y THEN coalesce(author || ' ', '') || line ELSE line END, ' ' ORDER BY i), '^[ .;]+|[ .;]+$', '', 'g') AS raw FROM w WHERE NOT au AND entry > 0 GROUP BY 1, 2),
+u AS (SELECT doc_id, arg_min(raw, entry) AS raw, min(entry) AS entry FROM t WHERE length(raw) >= 28 GROUP BY doc_id, lower(raw))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY entry) - 1 AS INTEGER) AS ref_index, md5(raw) AS text_md5 FROM u""",
     "metadata_refresh": """SELECT p_partkey AS article_id, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 4 <> 0 THEN upper(p_name) ELSE p_name END AS title, p_size AS year,
   CASE WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 2 = 0 THEN p_brand END AS doi FROM part""",
     "reconcile_update": """WITH o AS (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY 1)

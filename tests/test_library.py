@@ -63,10 +63,15 @@ def test_embedding_hook_and_overwrite(spark):
     assert {r.chunk_id: list(r.embedding)[0] for r in index.overwrite_vectors(stored, fresh).collect()} == {"c1": 1.0, "zz": 8.0}
 
 
+def alike(a, b):
+    x, y = set(a.split()), set(b.split())
+    return max(SequenceMatcher(None, a, b).ratio(), len(x & y) / len(x | y))
+
+
 def greedy(gold, predicted):
     used, hits = set(), 0
     for g in gold:
-        scored = [(SequenceMatcher(None, g, p).ratio(), -i) for i, p in enumerate(predicted) if i not in used]
+        scored = [(alike(g, p), -i) for i, p in enumerate(predicted) if i not in used]
         if scored and max(scored)[0] >= 0.72:
             used.add(-max(scored)[1])
             hits += 1
@@ -76,14 +81,20 @@ def greedy(gold, predicted):
 def test_fuzzy_scores_by_hand(spark):
     rng = random.Random(1)
     words = ["growth", "of", "towns", "in", "utah", "clay", "pots", "maps"]
-    rows = [([" ".join(rng.choice(words) for _ in range(4)) for _ in range(rng.randint(0, 5))], [" ".join(rng.choice(words) for _ in range(4)) for _ in range(rng.randint(0, 5))]) for _ in range(60)] + [(None, ["a"]), (["Smith, J. (2001)"], ["smith j 2001", "x"])]
+    rows = [([" ".join(rng.choice(words) for _ in range(4)) for _ in range(rng.randint(0, 5))], [" ".join(rng.choice(words) for _ in range(4)) for _ in range(rng.randint(0, 5))]) for _ in range(60)]
+    rows += [(None, ["a"]), (["Smith, J. (2001)"], ["smith j 2001", "x"]), (["kidder pottery growth utah"], ["utah growth pottery kidder"]), (["A b", "a  B", "a-b"], ["a b"])]
     got = d.fuzzy_prf(spark.createDataFrame(rows, "g array<string>, p array<string>").coalesce(1), "g", "p").collect()
     assert len(got) == len(rows)
     for r in got:
-        clean = lambda xs: sorted({" ".join("".join(ch if ch.isalnum() else " " for ch in x.lower().replace("doi:", " ")).split()) for x in xs or []} - {""})
-        g, p = clean(r.g), clean(r.p)
-        hits = greedy(g, p)
+        forms = lambda xs: sorted({" ".join(x.lower().split()) for x in xs or []} - {""})
+        canon = lambda xs: [c for x in xs if (c := " ".join("".join(ch if ch.isalnum() else " " for ch in x.replace("doi:", " ")).split()))]
+        g, p = forms(r.g), forms(r.p)
+        hits = greedy(canon(g), canon(p))
         assert r.fuzzy_overlap == hits and r.fuzzy_precision == pytest.approx(hits / len(p) if p else 0) and r.fuzzy_recall == pytest.approx(hits / len(g) if g else 0)
+    assert [(r.fuzzy_overlap, r.fuzzy_f1) for r in got[-2:]] == [(1, 1.0), (1, pytest.approx(2 / 3))]
+    means = d.macro_scores(spark.createDataFrame(got[-2:]), "fuzzy_precision", "fuzzy_recall", "fuzzy_f1").first()
+    assert (means.n, means.macro_fuzzy_precision, means.macro_fuzzy_recall) == (2, 1.0, 0.75)
+    assert tuple(d.macro_scores(spark.createDataFrame([], "f double"), "f").first()) == (0, 0.0)
 
 
 def test_small_functions(spark):
@@ -108,11 +119,25 @@ def test_writers(spark, tmp_path):
     assert d.exclude_ids(refs, spark.createDataFrame([(1,), (None,)], "article_id int"), "article_id").count() == 2
 
 
-def test_recognised_references():
-    lines = ["9", "Smith, John and Ann Lee", "1999 The growth of towns in the west.", "University of Utah Press", "2001a Another study of the same towns", "Jones, A. 2003 Clay pots and how they were fired", "12", "short", "", None, "2001a another study of the same towns"]
-    got = sg.recognised_references(lines)
-    assert got == ["Smith, John and Ann Lee 1999 The growth of towns in the west. University of Utah Press", "Smith, John and Ann Lee 2001a Another study of the same towns", "Jones, A. 2003 Clay pots and how they were fired short"]
-    assert sg.recognised_references([]) == []
+def recognised(spark, *texts):
+    rows = sg.recognised_references(spark.createDataFrame([(k, i, x) for k, lines in enumerate(texts) for i, x in enumerate(lines)], "k int, line_no int, line string").repartition(3), "k").collect()
+    found = [[] for _ in texts]
+    for r in sorted(rows, key=lambda r: (r.k, r.ref_index)):
+        found[r.k].append(r.raw_text)
+    return found
+
+
+def test_recognised_references(spark):
+    first = ["9", "Smith, John and Ann Lee", "1999 The growth of towns in the west.", "University of Utah Press", "2001a Another study of the same towns", "Jones, A. 2003 Clay pots and how they were fired", "12", "short", "", None, "2001a another study of the same towns"]
+    # A line with digits isn't one of names, even above a year.
+    second = ["Smith, John. 1999 Growth of towns", "2001 Another study of the same towns in Utah"]
+    third = ["lost line", "Lee, Ann", "no year below", "Kim, Bo", "1980 A long study of towns; ", "Lee, Ann", "1990 too short"]
+    assert recognised(spark, first, second, third, []) == [
+        ["Smith, John and Ann Lee 1999 The growth of towns in the west. University of Utah Press", "Smith, John and Ann Lee 2001a Another study of the same towns", "Jones, A. 2003 Clay pots and how they were fired short"],
+        ["Smith, John. 1999 Growth of towns", "2001 Another study of the same towns in Utah"],
+        ["Kim, Bo 1980 A long study of towns"],
+        [],
+    ]
 
 
 def test_recognised_region(spark):
@@ -144,3 +169,31 @@ def test_slow_vectors_are_left_out(spark):
     assert any("vector" in r.sources for r in rows)
     with pytest.raises(Exception, match="(?s).*"):
         rt.contextual_retrieve(corpus(vectors.mapInPandas(broken, vectors.schema)), "Utah points", [1.0, 0.0], 2, vector_seconds=60).collect()
+
+
+def test_time_limit_leaves_the_callers_properties_and_workers(spark):
+    import time
+
+    context = spark.sparkContext
+    context.setJobGroup("mine", "a group of the caller", interruptOnCancel=False)
+    context.addJobTag("own-tag")
+    try:
+        rows = spark.range(8).repartition(8)
+
+        def slow(frames):
+            time.sleep(3)
+            yield from frames
+
+        for _ in range(10):
+            assert rt.within(rows.mapInPandas(slow, "id long"), 0.3) is None
+            # Python workers that are left behind don't fail the stages after them.
+            assert rows.mapInPandas(lambda frames: frames, "id long").count() == 8
+        waits = rows.select(F.expr("java_method('java.lang.Thread', 'sleep', 2000L)"))
+        began = time.monotonic()
+        assert rt.within(waits, 0.3) is None and time.monotonic() - began < 2
+        assert rt.within(rows, 60).count() == 8
+        assert context.getLocalProperty("spark.jobGroup.id") == "mine" and set(context.getJobTags()) == {"own-tag"}
+    finally:
+        context.clearJobTags()
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)

@@ -20,6 +20,7 @@ def test_text_functions(spark):
     assert one(spark, tx.sentences, "One. Two!  Three? four") == ["One.", "Two!", "Three?", "four"] and one(spark, tx.words, None) == []
     assert one(spark, tx.first_year, "x1999 in 2004b, 2011.") == 2011 and one(spark, tx.first_doi, "doi:10.1234/ab.c.,") == "10.1234/ab.c"
     assert one(spark, tx.html_text, "<p>a &lt;b&gt; </p>c<br/>d") == "a <b>\nc\nd"
+    assert one(spark, tx.html_text, "caf&#233; &eacute;&ndash;&#x27;&hellip;&amp;amp;&nbsp;<br>&unknown; &copy") == "café é–'…&amp;\n&unknown; ©"
     assert one(spark, tx.looks_like_references, "References\n1") and one(spark, tx.looks_like_references, "doi x doi y") and not one(spark, tx.looks_like_references, "plain")
 
 

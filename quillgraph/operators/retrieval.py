@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import InheritableThread
@@ -18,9 +19,11 @@ from quillgraph.functions.vocabulary import INTENT_STOPWORDS, STOPWORDS, Vocabul
 from quillgraph.operators.graph import first_distinct
 from quillgraph.operators.index import bm25, cosine_top
 from quillgraph.operators.store import Store
-from quillgraph.session import stage
+from quillgraph.session import side_by_side, stage
 
 CHANNELS = ("vector", "token", "author", "title")
+#: Rows of candidates that a plan holds itself.
+HELD = 2000
 
 
 @dataclass(frozen=True)
@@ -76,7 +79,17 @@ class Corpus:
     def stored(store: Store) -> Corpus:
         """The corpus of an index that ``store.build_index`` wrote."""
         vectors = store.table("vectors") if store.has_vectors else None
-        return Corpus(store.table("articles").drop("bucket"), store.table("chunks").drop("bucket"), store.table("tokens").drop("bucket"), vectors, None, store)
+        return Corpus(store.table("articles"), store.table("chunks"), store.table("tokens"), vectors, None, store)
+
+
+def held(rows: DataFrame, most: int, name: str = "held") -> DataFrame:
+    """A set of ``most`` rows at most, computed now: kept in the plan if that is few, else as a table."""
+    return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema) if most <= HELD else stage(rows, name)
+
+
+def _together(corpus: Corpus, channels: dict[str, Callable[[], DataFrame]], most: int) -> dict[str, DataFrame]:
+    """Each channel's rows; their jobs run side by side."""
+    return side_by_side(corpus.chunks.sparkSession, {name: lambda make=make, name=name: held(make(), most, name) for name, make in channels.items()})
 
 
 def token_query(corpus: Corpus, tokens, limit: int) -> DataFrame:
@@ -92,16 +105,19 @@ def vector_query(corpus: Corpus, query: list[float] | None, limit: int) -> DataF
     """(chunk_id, score) by cosine; none where there are no vectors or no query vector."""
     if corpus.vectors is None or query is None:
         return corpus.chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    if corpus.store:
+        return corpus.store.nearest(query, limit)
     return cosine_top(corpus.vectors, "chunk_id", "embedding", query, limit)
 
 
 def _first_chunks(corpus: Corpus, scored: DataFrame, limit: int) -> DataFrame:
     """Chunks of the best articles: score falling, then the later year, then chunk id."""
     # Beyond ``limit`` articles none of their chunks can be among the first ``limit``.
-    top = scored.join(corpus.articles.select("article_id", "year"), "article_id").orderBy(F.desc("score"), F.desc("year"), "article_id").limit(limit)
+    dated = scored if "year" in scored.columns else scored.join(corpus.articles.select("article_id", "year"), "article_id")
+    top = dated.orderBy(F.desc("score"), F.desc("year"), "article_id").limit(limit)
     order = (F.desc("score"), F.desc("year"), F.asc("chunk_id"))
     if corpus.store:
-        return corpus.store.first_chunks(stage(top, "top-articles")).orderBy(*order).limit(limit).select("chunk_id", "score")
+        return corpus.store.first_chunks(held(top, limit, "top-articles")).orderBy(*order).limit(limit).select("chunk_id", "score")
     return corpus.chunks.select("chunk_id", "article_id").join(F.broadcast(top), "article_id").orderBy(*order).limit(limit).select("chunk_id", "score")
 
 
@@ -120,10 +136,10 @@ def title_query(corpus: Corpus, terms, limit: int) -> DataFrame:
     return _first_chunks(corpus, scored, limit)
 
 
-def enrich(corpus: Corpus, hits: DataFrame) -> DataFrame:
-    """Adds text, article and citation neighbours to a bounded set of hits."""
+def enrich(corpus: Corpus, hits: DataFrame, most: int = HELD) -> DataFrame:
+    """Adds text, article and citation neighbours to a set of ``most`` hits at most."""
     if corpus.store:
-        return corpus.store.enrich(hits, stage)
+        return corpus.store.enrich(hits, lambda rows, name: held(rows, most, name))
     small = F.broadcast(hits)
     rows = corpus.chunks.join(small, "chunk_id").join(corpus.articles, "article_id")
     if corpus.cites is None:
@@ -262,18 +278,22 @@ def contextual_retrieve(corpus: Corpus, question: str, query_vector: list[float]
     k = max(limit * (8 if papers else 5), 80 if papers else 25)
     pool = max(limit * 8, 80) if papers else limit
     plan = plan_query(question, vocabulary)
-    near = vector_query(corpus, query_vector, k)
-    if vector_seconds is not None and query_vector is not None:
-        in_time = within(near, vector_seconds)
-        near = vector_query(corpus, None, k) if in_time is None else in_time
-    fused = fuse({
+
+    def near() -> DataFrame:
+        if vector_seconds is None or query_vector is None:
+            return vector_query(corpus, query_vector, k)
+        in_time = within(vector_query(corpus, query_vector, k), vector_seconds)
+        return vector_query(corpus, None, k) if in_time is None else in_time
+
+    found = _together(corpus, {
         "vector": near,
-        "token": token_query(corpus, plan.tokens, k),
-        "author": author_query(corpus, plan.author_terms, k),
-        "title": title_query(corpus, plan.tokens, k),
-    }).withColumnsRenamed({"author": "author_score", "title": "title_score"})
-    # Four times k rows at most, read by each branch below: written once, so that no branch scans the corpus again.
-    rows = stage(enrich(corpus, fused), "candidates")
+        "token": lambda: token_query(corpus, plan.tokens, k),
+        "author": lambda: author_query(corpus, plan.author_terms, k),
+        "title": lambda: title_query(corpus, plan.tokens, k),
+    }, k)
+    fused = fuse(found).withColumnsRenamed({"author": "author_score", "title": "title_score"})
+    # Four times k rows at most, read by each branch below: made once, so that no branch scans the corpus again.
+    rows = held(enrich(corpus, fused, 4 * k), 4 * k, "candidates")
     best = lambda frame: rerank(frame, plan).orderBy(F.desc("score"), "chunk_id").limit(pool)
     primary = best(strict_filter(rows, plan, vocabulary))
     if plan.strict:
@@ -289,7 +309,7 @@ def contextual_retrieve(corpus: Corpus, question: str, query_vector: list[float]
 def graphrag_retrieve(corpus: Corpus, question: str, query_vector: list[float] | None = None, limit: int = 20, scope: str = "papers", chunks_per_paper: int = 8, threshold: float | None = None) -> DataFrame:
     """Three channels, each its top ``limit``; the greatest of the raw scores counts. A threshold may leave no row."""
     terms = question.split()
-    parts = {"vector": vector_query(corpus, query_vector, limit), "fulltext": title_query(corpus, terms, limit), "hybrid": token_query(corpus, terms, limit)}
+    parts = _together(corpus, {"vector": lambda: vector_query(corpus, query_vector, limit), "fulltext": lambda: title_query(corpus, terms, limit), "hybrid": lambda: token_query(corpus, terms, limit)}, limit)
     every = None
     for i, (name, part) in enumerate(parts.items()):
         part = part.select("chunk_id", "score", F.struct(F.lit(i).alias("i"), F.lit(name).alias("name")).alias("source"))
@@ -297,7 +317,7 @@ def graphrag_retrieve(corpus: Corpus, question: str, query_vector: list[float] |
     fused = every.groupBy("chunk_id").agg(F.max("score").alias("score"), F.transform(F.array_sort(F.collect_set("source")), lambda x: x["name"]).alias("sources"))
     if threshold is not None:
         fused = fused.where(F.col("score") >= threshold)
-    rows = enrich(corpus, fused)
+    rows = enrich(corpus, fused, 3 * limit)
     if scope == "papers":
         w = Window.partitionBy("article_id").orderBy(F.desc("score"), "chunk_id")
         ranked = rows.withColumn("place", F.row_number().over(w))

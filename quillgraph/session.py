@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def build_session(app: str = "quillgraph", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with AQE on, UTC times and Arrow transfer; cluster settings stay as they are."""
@@ -56,6 +62,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def side_by_side(spark: SparkSession, calls: Mapping[str, Callable[[], T]]) -> dict[str, T]:
+    """What each call returns; their Spark jobs run at the same time, with the caller's properties. The first error is raised
+    when all have ended."""
+    with ThreadPoolExecutor(max(1, len(calls))) as pool:
+        found = {name: pool.submit(inheritable_thread_target(spark)(call)) for name, call in calls.items()}
+    return {name: f.result() for name, f in found.items()}
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

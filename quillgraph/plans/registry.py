@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import documents, evidence, exports, graph, library, more, retrieval, stream
+from quillgraph.plans import documents, evidence, exports, graph, library, more, retrieval, stored, stream
 
-MODULES = (retrieval, evidence, graph, stream, documents, more, exports, library)
+MODULES = (retrieval, evidence, graph, stream, documents, more, exports, library, stored)
 
 
 def queries() -> dict:

@@ -40,10 +40,23 @@ def cites(spark: SparkSession, sf: str) -> DataFrame:
 _STORES: dict[tuple[str, str], Store] = {}
 
 
+#: Fields that a substring search of the catalogue looks into.
+SEARCHED = ("title", "doi", "journal", "publisher", "persistent_id", "item_key", "attachment_key", "author")
+
+
+def catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """The articles with the fields of a catalogue, without their text."""
+    k = F.col("article_id").cast("string")
+    return articles(spark, sf).drop("text").withColumns({
+        "doi": F.concat(F.lit("10.1000/"), F.lower("citekey")), "journal": F.concat(F.lit("Journal of "), "author"), "publisher": F.concat(F.lit("Press "), (F.col("article_id") % 17).cast("string")),
+        "persistent_id": F.concat(F.lit("1:K"), k), "item_key": F.concat(F.lit("K"), k), "attachment_key": F.concat(F.lit("A"), k),
+    })
+
+
 def build_store(spark: SparkSession, sf: str) -> Store:
     """The index over one set of tables, written to the shared folder."""
     vectors = table(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(":0")).alias("chunk_id"), "embedding")
-    return build_index(articles(spark, sf).drop("text"), chunks(spark, sf), fresh_path(spark, "index"), vectors, cites(spark, sf))
+    return build_index(catalogue(spark, sf), chunks(spark, sf), fresh_path(spark, "index"), vectors, cites(spark, sf), search=SEARCHED)
 
 
 def corpus(spark: SparkSession, sf: str) -> Corpus:

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from quillgraph.llm._words import NOT_ALNUM, mix, word_hashes, words
@@ -33,8 +34,7 @@ MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 LEAST_WORDS = 5
 BLOCK_WORDS = 1 << 18
 _FILTER = 22
-MATCHES = "array<struct<item_id:long,first_word:int,last_word:int,equal:int,compared:int>>"
-_MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("first_word", pa.int32()), ("last_word", pa.int32()), ("equal", pa.int32()), ("compared", pa.int32())]))
+MATCHES = "array<struct<item_id:{},first_word:int,last_word:int,equal:int,compared:int>>"
 
 
 def _seeds(codes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
@@ -125,7 +125,7 @@ def search(column: pa.Array, index: Index, stretch: int = STRETCH, similarity: f
                 begin = lo + shift + x - int(w.first[r])
                 found[r].append({"item_id": index.items[item], "first_word": begin, "last_word": begin + y - x, "equal": int(equal[x : y + 1].sum()), "compared": y - x + 1})
         for matches in found:
-            matches.sort(key=lambda m: (m["item_id"] is None, m["item_id"] or 0, m["first_word"], m["last_word"]))
+            matches.sort(key=lambda m: (m["item_id"] is None, () if m["item_id"] is None else (m["item_id"],), m["first_word"], m["last_word"]))
             yield matches
 
 
@@ -139,8 +139,8 @@ def find_benchmark_passages(
 ) -> DataFrame:
     """``docs`` with ``matches``, an array of (item_id, first_word, last_word, equal, compared); word places count from 0.
 
-    Null and blank texts have an empty array, null items are not searched, an item id may be null or repeated. Repeated rows
-    have equal results. A column named ``matches`` is replaced, all others stay. Empty tables, of either side, are no error.
+    Null and blank texts have an empty array, null items are not searched, an item id may be null, repeated, a number or a text.
+    Repeated rows have equal results. A column named ``matches`` is replaced, all others stay. Empty tables, of either side, are no error.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c != "matches"]
@@ -151,7 +151,9 @@ def find_benchmark_passages(
     def named(frame: DataFrame, matches: Column) -> DataFrame:
         return frame.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], matches.alias("matches"))
 
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
+    items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t is not null")
+    kind = MATCHES.format(items.schema["i"].dataType.simpleString())
+    arrow = to_arrow_type(_parse_datatype_string(kind))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     # A word takes two characters with its gap.
     blocks = max(1, -(-total // (2 * block_words)))
@@ -164,16 +166,16 @@ def find_benchmark_passages(
 
         def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(search(b.column(at), shared.value, stretch, similarity)), _MATCHES)], names=[*b.schema.names, "matches"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(search(b.column(at), shared.value, stretch, similarity)), arrow)], names=[*b.schema.names, "matches"])
 
-        return named(source.mapInArrow(mark, StructType([*source.schema.fields, StructField("matches", _parse_datatype_string(MATCHES))])), F.col("matches"))
+        return named(source.mapInArrow(mark, StructType([*source.schema.fields, StructField("matches", _parse_datatype_string(kind))])), F.col("matches"))
 
     def hits_of(shared):
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found = [(*_key(t.as_py()), m) for t, m in zip(b.column(0), search(b.column(0), shared.value, stretch, similarity), strict=True) if m]
                 columns = zip(*found, strict=True) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _MATCHES), strict=True)], names=["k1", "k2", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), arrow), strict=True)], names=["k1", "k2", "m"])
 
         return hits
 
@@ -186,11 +188,11 @@ def find_benchmark_passages(
     dealt = stage(items.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), "items")
     for block in range(blocks):
         shared = index_of(dealt.where(F.col("block") == block))
-        parts.append(stage(source.select(f"c{at}").mapInArrow(hits_of(shared), f"k1 long, k2 long, m {MATCHES}").distinct(), "hits"))
+        parts.append(stage(source.select(f"c{at}").mapInArrow(hits_of(shared), f"k1 long, k2 long, m {kind}").distinct(), "hits"))
         shared.destroy()
     every = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
     keyed = source.mapInArrow(keys, StructType([*source.schema.fields, *(StructField(k, _parse_datatype_string("long")) for k in ("k1", "k2"))]))
-    return named(keyed.join(stage(every, "matches"), ["k1", "k2"], "left"), F.coalesce("m", F.array().cast(MATCHES)))
+    return named(keyed.join(stage(every, "matches"), ["k1", "k2"], "left"), F.coalesce("m", F.array().cast(kind)))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

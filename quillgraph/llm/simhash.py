@@ -167,8 +167,10 @@ def near_links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     spark = points.sparkSession
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in covering_masks(radius)])
     keyed = points.select("fp", F.posexplode(masks).alias("m", "mask")).select("fp", "m", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    shared = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(shared, ["m", "key"]).select("fp", "m", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # A hash as a further join key: both sides get exchanges of their own, so that a key of very many fingerprints can be split.
+    hashed = F.xxhash64("m", "key").alias("h")
+    shared = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where("n > 1").select("*", hashed)
+    met = keyed.select("*", hashed).join(shared, ["m", "key", "h"]).select("fp", "m", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # Block b of a large bucket goes to each pair of blocks that has it; with one block that is (0, 0).
     dealt = met.withColumn("b", own).select(

@@ -94,3 +94,11 @@ def test_odd_rows(spark):
         assert by == [(0, 3), (1, 0), (1, 0), (2, 0), (4, 3), (5, 3), (5, 3)]
         assert d.find_benchmark_passages(docs.limit(0), bench, block_words=block_words).count() == 0
     assert d.find_benchmark_passages(docs, bench.limit(0)).where("size(matches) > 0").count() == 0
+
+
+@pytest.mark.parametrize("block_words", [1 << 18, 8])
+def test_ids_of_any_type(spark, block_words):
+    item = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([("b-1", item), ("", item), (None, item)], "item_id string, text string")
+    rows = d.find_benchmark_passages(spark.createDataFrame([(1, item), (2, "clean")], "doc_id long, text string"), bench, block_words=block_words).collect()
+    assert {r.doc_id: [m.item_id for m in r.matches] for r in rows} == {1: ["", "b-1", None], 2: []}

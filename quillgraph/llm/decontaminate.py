@@ -190,7 +190,9 @@ def find_benchmark_passages(
         shared = index_of(dealt.where(F.col("block") == block))
         parts.append(stage(source.select(f"c{at}").mapInArrow(hits_of(shared), f"k1 long, k2 long, m {kind}").distinct(), "hits"))
         shared.destroy()
-    every = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("m"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("k1", "k2").agg(F.flatten(F.collect_list("m")).alias("m"))
+    # Null ids last, as within a block.
+    every = every.withColumn("m", F.transform(F.array_sort(F.transform("m", lambda x: F.struct(x["item_id"].isNull().alias("none"), x.alias("x")))), lambda s: s["x"]))
     keyed = source.mapInArrow(keys, StructType([*source.schema.fields, *(StructField(k, _parse_datatype_string("long")) for k in ("k1", "k2"))]))
     return named(keyed.join(stage(every, "matches"), ["k1", "k2"], "left"), F.coalesce("m", F.array().cast(kind)))
 

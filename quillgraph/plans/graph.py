@@ -125,8 +125,9 @@ def prior_work_links(spark, sf):
 
 
 def in_text_links(spark, sf):
-    """Texts that hold a word used as author and a number used as year."""
-    targets = t.articles(spark, sf).select("article_id", F.lower(F.regexp_extract("title", "[A-Za-z]+", 0)).alias("author"), (F.col("article_id") % 60).cast("int").alias("year"))
+    """Texts that hold an author, of one or two words, and a number that stands for a year anywhere in them."""
+    first = F.lower(F.when(F.col("article_id") % 2 == 0, F.regexp_extract("title", "[A-Za-z]+", 0)).otherwise(F.regexp_extract("title", "[A-Za-z]+ [A-Za-z]+", 0)))
+    targets = t.articles(spark, sf).select("article_id", first.alias("author"), (100 + F.col("article_id") % 900).cast("int").alias("year"))
     return r.in_text_links(t.chunks(spark, sf), targets, t.cites(spark, sf))
 
 
@@ -273,9 +274,12 @@ a AS (SELECT name, works, regexp_extract_all(lower(name), '[a-z0-9]+') AS ts FRO
 q AS (SELECT *, CASE WHEN d = 1 AND t2[-1] = t1[1] THEN 0.95 WHEN d = 1 AND t2[1] = t1[1] THEN 0.60 WHEN d > 1 AND t1[-1] = t2[-1] THEN 0.88 END AS score FROM p)
 SELECT source, target, CAST(score AS DOUBLE) AS score, CASE score WHEN 0.95 THEN 'surname_only' WHEN 0.60 THEN 'first_name_only' ELSE 'subset_same_surname' END AS reason FROM q WHERE score IS NOT NULL""",
     "prior_work_links": f"WITH {t.ARTICLES}, {t.CITES} SELECT s.article_id AS src, d.article_id AS dst FROM articles s JOIN articles d ON s.author = d.author AND s.year > d.year WHERE NOT EXISTS (SELECT 1 FROM cites c WHERE c.src = s.article_id AND c.dst = d.article_id)",
-    "in_text_links": f"""WITH {t.ARTICLES}, {t.CITES}, w AS (SELECT DISTINCT article_id AS src, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM articles),
-g AS (SELECT article_id AS dst, lower(regexp_extract(title, '[A-Za-z]+')) AS author, CAST(article_id % 60 AS VARCHAR) AS year FROM articles)
-SELECT DISTINCT a.src, g.dst FROM g JOIN w a ON a.word = g.author JOIN w y ON y.src = a.src AND y.word = g.year WHERE g.author <> '' AND a.src <> g.dst AND NOT EXISTS (SELECT 1 FROM cites c WHERE c.src = a.src AND c.dst = g.dst)""",
+    "in_text_links": f"""WITH {t.ARTICLES}, {t.CHUNKS}, {t.CITES},
+g AS (SELECT article_id AS dst, lower(CASE WHEN article_id % 2 = 0 THEN regexp_extract(title, '[A-Za-z]+') ELSE regexp_extract(title, '[A-Za-z]+ [A-Za-z]+') END) AS author, CAST(100 + article_id % 900 AS VARCHAR) AS year FROM articles),
+l AS (SELECT article_id AS src, lower(chunk_text) AS t FROM chunks),
+y AS (SELECT DISTINCT src, year FROM l JOIN (SELECT DISTINCT year FROM g) ON contains(t, year)),
+a AS (SELECT DISTINCT src, author FROM l JOIN (SELECT DISTINCT author FROM g WHERE author <> '') ON contains(t, author) WHERE src IN (SELECT src FROM y))
+SELECT DISTINCT a.src, g.dst FROM a JOIN y USING (src) JOIN g ON g.author = a.author AND g.year = y.year WHERE a.src <> g.dst AND NOT EXISTS (SELECT 1 FROM cites c WHERE c.src = a.src AND c.dst = g.dst)""",
     "stale_edge_cleanup": """WITH o AS (SELECT DISTINCT o_custkey AS src, o_orderkey % 100 AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'reference_title_match' ELSE 'in_text_author_year' END AS method FROM orders) SELECT src, dst, method FROM o WHERE method LIKE 'reference_%' AND dst % 3 <> 0""",
     "orphan_cleanup": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "author_merge": "SELECT CASE WHEN l_suppkey > 10 AND l_suppkey IN (SELECT s_suppkey FROM supplier) THEN l_suppkey % 10 + 1 ELSE l_suppkey END AS l_suppkey, l_partkey, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2",

@@ -78,3 +78,30 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any of Spark's file systems; none where there is no such folder."""
+    at, files = _files(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, files = _files(spark, path)
+    files.delete(at, True)
+
+
+def publish(spark: SparkSession, folder: str, name: str, text: str) -> None:
+    """A small file that is there whole or not at all: written under another name and moved. One that is there is an error."""
+    at, files = _files(spark, f"{folder}/_{name}")
+    out = files.create(at, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    target, _ = _files(spark, f"{folder}/{name}")
+    if files.exists(target) or not files.rename(at, target):
+        raise RuntimeError(f"another writer has published {name} in {folder}")

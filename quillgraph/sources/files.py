@@ -1,47 +1,35 @@
-"""Readers of document files: listings, header checks, archives, page text."""
+"""Readers of document files: listings, header checks, page text."""
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
-from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.sources.archives import opened
 
 
 def list_files(spark: SparkSession, path: str, suffix: str = "pdf") -> DataFrame:
-    """(path, length, modified, stem, readable) of the files below a folder; ``readable``: a PDF by its first bytes."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(path)
-    return found.select("path", "length", F.col("modificationTime").alias("modified"), tx.path_stem(F.col("path")).alias("stem"), (F.substring("content", 1, 4) == F.lit(b"%PDF")).alias("readable"))
-
-
-def safe_member(name: str) -> str | None:
-    """An archive member's path without roots, drives and steps upwards; none where nothing is left."""
-    parts = [p for p in PurePosixPath(name.replace("\\", "/")).parts if p not in ("", "/", ".", "..") and not p.endswith(":")]
-    return "/".join(parts) or None
-
-
-def read_archive_members(spark: SparkSession, path: str, suffix: str = ".pdf") -> DataFrame:
-    """(archive, member, content) of the members with a suffix, one at a time; a damaged archive gives none."""
-    archives = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-
-    def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for archive, content in zip(f["path"], f["content"], strict=True):
-                try:
-                    z = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for info in z.infolist():
-                    name = safe_member(info.filename)
-                    if name and not info.is_dir() and name.lower().endswith(suffix):
-                        yield pd.DataFrame({"archive": [archive], "member": [name], "content": [z.read(info)]})
-
-    return archives.select("path", "content").mapInPandas(members, "archive string, member string, content binary")
+    """(path, length, modified, stem, readable) of the files below a folder; ``readable``: a PDF by its first bytes, the only
+    ones that are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+
+    def sniff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([_starts(x, b"%PDF") for x in b.column(0).to_pylist()])], names=[*b.schema.names, "readable"])
+
+    seen = found.mapInArrow(sniff, "path string, length long, modified timestamp, readable boolean")
+    return seen.select("path", "length", "modified", tx.path_stem(F.col("path")).alias("stem"), "readable")
+
+
+def _starts(path: str, head: bytes) -> bool:
+    try:
+        with opened(path) as f:
+            return f.read(len(head)) == head
+    except OSError:
+        return False
 
 
 def read_plain_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quillgraph.operators.datasets import prf
-from quillgraph.sources import bibliography as b, files as f
+from quillgraph.sources import archives as ar, bibliography as b, files as f
 
 
 def test_catalogue_export(spark, tmp_path):
@@ -57,8 +57,9 @@ def test_files(spark, tmp_path):
         z.writestr("d.txt", b"2")
     (tmp_path / "z.zip").write_bytes(data.getvalue())
     (tmp_path / "bad.zip").write_bytes(b"no")
-    assert [(r.member, bytes(r.content)) for r in f.read_archive_members(spark, str(tmp_path)).collect()] == [("up/c.pdf", b"1")]
-    assert f.safe_member("C:\\x\\..\\y.pdf") == "x/y.pdf" and f.safe_member("../") is None
+    got = {r.member: (r.content and bytes(r.content), r.issue) for r in ar.read_archive_members(spark, str(tmp_path)).collect()}
+    assert got["up/c.pdf"] == (b"1", None) and len(got) == 2 and got[None][1].startswith("archive_unreadable: ")
+    assert ar.safe_member("C:\\x\\..\\y.pdf") == "x/y.pdf" and ar.safe_member("../") is None
     (tmp_path / "o.txt").write_text(" one \r\n\n two\n")
     lines = f.read_plain_lines(spark, str(tmp_path / "o.txt")).orderBy("line_no").collect()
     assert [(r.stem, r.page, r.line) for r in lines] == [("o", 1, "one"), ("o", 1, "two")]

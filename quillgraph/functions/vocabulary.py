@@ -15,6 +15,10 @@ ANSWER_STOPWORDS = (
     "that", "the", "their", "them", "these", "this", "to", "was", "were", "what", "when", "where", "which", "who", "why", "with",
 )
 KEYWORD_STOPWORDS = ("study", "results", "discussion", "introduction", "conclusion", "conclusions", "paper", "method", "methods", "analysis", "data", "article", "research", "using", "used", "model")
+QUESTION_WORDS = (
+    "what", "which", "when", "where", "who", "whom", "whose", "why", "how", "did", "does", "do", "the", "a", "an", "in", "on", "for", "of", "to", "about", "argue", "says", "say",
+)
+REWRITE_GENERIC = ("archaeology", "archaeological", "article", "evidence", "paper", "papers", "research", "study", "studies", "summary", "overview", "method", "methods")
 REFERENCE_HEADINGS = ("references", "bibliography", "works cited", "literature cited")
 DOMAIN_TERMS = (
     "hohokam", "anasazi", "mogollon", "fremont", "arizona", "utah", "sonoran", "southwestern", "projectile", "point", "points",

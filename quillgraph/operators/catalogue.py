@@ -34,16 +34,21 @@ def choose_files(files: DataFrame, stored: DataFrame, ident: str, group: str, us
     return fresh.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(ident))).where(F.col("_i") <= most).drop("_i").select(*files.columns)
 
 
-def keywords(articles: DataFrame, ident: str, title: str, text: str, limit: int = 32) -> DataFrame:
-    """(ident, value, score, origin): the title as a seed of .95 and the text's most frequent words, .2 to .9, one less than
-    ``limit`` of them."""
+def keywords(articles: DataFrame, ident: str, seeds: Sequence[str], text: str, limit: int = 32) -> DataFrame:
+    """(ident, value, score, origin): ``limit`` keywords at most, 8 to 80 whatever is asked for: the ``seeds``, such as title,
+    journal and publisher, normalised and each once, with .95, and then the text's most frequent words, .2 to .9, that are no
+    seed themselves; ties by the word."""
+    limit = max(8, min(limit, 80))
+    norms = F.array_distinct(F.filter(F.array(*[F.coalesce(tx.normalize_title(F.col(c)), F.lit("")) for c in seeds]), lambda x: x != ""))
+    given = articles.select(ident, F.slice(norms, 1, limit).alias("_seeds"))
     words = articles.select(ident, F.explode(tx.body_words(F.col(text))).alias("value")).where(tx.is_body_token(F.col("value")) & (F.length("value") >= 4) & ~F.col("value").isin(*KEYWORD_STOPWORDS))
     counts = words.groupBy(ident, "value").agg(F.count("*").alias("n"))
     w = Window.partitionBy(ident)
-    top = counts.withColumns({"_place": F.row_number().over(w.orderBy(F.desc("n"), "value")), "_most": F.max("n").over(w)}).where(F.col("_place") <= limit - 1)
+    # Words that are seeds count for the greatest number, but take no place.
+    ranked = counts.withColumn("_most", F.max("n").over(w)).join(given, ident).where(~F.array_contains("_seeds", F.col("value")))
+    top = ranked.withColumn("_place", F.row_number().over(w.orderBy(F.desc("n"), "value"))).where(F.col("_place") <= limit - F.size("_seeds"))
     body = top.select(ident, "value", F.least(F.lit(0.9), 0.2 + F.col("n") / F.col("_most").cast("double")).alias("score"), F.lit("heuristic_tokens").alias("origin"))
-    seeds = articles.select(ident, tx.normalize_title(F.col(title)).alias("value"), F.lit(0.95).alias("score"), F.lit("metadata_seed").alias("origin")).where("value <> ''")
-    return seeds.unionByName(body)
+    return given.select(ident, F.explode("_seeds").alias("value"), F.lit(0.95).alias("score"), F.lit("metadata_seed").alias("origin")).unionByName(body)
 
 
 def cap_headings(lines: DataFrame, key: str, position: str = "line_no", most: int = 160) -> DataFrame:

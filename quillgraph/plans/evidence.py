@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quillgraph.functions import quality as q, text as tx, vocabulary as v
-from quillgraph.operators import catalogue as cat, evidence as e, segmentation as s
-from quillgraph.operators.index import postings
+from quillgraph.operators import asking as a, catalogue as cat, evidence as e, segmentation as s
 from quillgraph.plans import tables as t
 
 _M = t.MICRO.format
@@ -14,15 +13,20 @@ _HAVE = "list_distinct(regexp_extract_all(lower({0}), '[a-z][a-z0-9''-]*'))".for
 _ASTOP = ", ".join(f"'{w}'" for w in v.ANSWER_STOPWORDS)
 _INTENT = ", ".join(f"'{w}'" for w in v.INTENT_STOPWORDS)
 _FACET = ", ".join(f"'{w}'" for w in v.FACET_STOPWORDS)
+_QUESTION = ", ".join(f"'{w}'" for w in v.QUESTION_WORDS)
+_GENERIC = ", ".join(f"'{w}'" for w in v.REWRITE_GENERIC)
 _KSTOP = ", ".join(f"'{w}'" for w in v.KEYWORD_STOPWORDS)
 WORDS = v.Vocabulary(families={"culture": ("the", "and"), "place": ("thing", "ention"), "artifact": ("that", "then")})
 
+_ALLFAM = ", ".join(f"'{w}'" for ws in WORDS.families.values() for w in ws)
+
 
 def _claims(spark, sf):
     """Each benchmark item against the ten chunks, of all documents, that hold its words most often."""
     chunks = t.chunks(spark, sf)
     b = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-    near = e.claim_candidates(b, postings(chunks, "chunk_id"), 10)
+    # The index has the postings: no text is tokenised again.
+    near = e.claim_candidates(b, t.corpus(spark, sf).store.table("tokens"), 10)
     texts = chunks.join(t.articles(spark, sf).select("article_id", "title", "year"), "article_id")
     return b.join(near, "claim_id").join(texts, "chunk_id")
 
@@ -60,11 +64,33 @@ def quality_metrics(spark, sf):
 
 
 def keyword_extract(spark, sf):
-    """Seeds (the title) and the most frequent body tokens of each article."""
-    rows = cat.keywords(t.articles(spark, sf), "article_id", "title", "text")
+    """Seeds (title, journal, publisher) and the most frequent body tokens of each article."""
+    rows = t.articles(spark, sf).withColumns({"journal": F.concat(F.lit("The "), "author"), "publisher": F.when(F.col("article_id") % 2 == 0, F.split("title", " ")[0]).otherwise(F.concat("title", F.lit("!")))})
+    rows = cat.keywords(rows, "article_id", ("title", "journal", "publisher"), "text")
     return rows.select("article_id", "value", tx.micro(F.col("score")).alias("score"), "origin")
 
 
+def _asked(spark, sf):
+    """The first turn of each conversation as its question, and the assistant's turns of two in three as what was found."""
+    c = t.table(spark, sf, "conversations")
+    first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.min("turn").alias("first"))
+    found = c.join(first, "conv_id").where("turn > first and role = 'assistant' and conv_id % 3 <> 0").select("conv_id", F.col("turn").alias("position"), "text", F.col("role").alias("authors"))
+    return first.select("conv_id", "question"), found
+
+
+def grounded_answers(spark, sf):
+    """What becomes of each conversation's question: nothing found, nothing relevant, or the evidence that passes."""
+    rows = a.ground_answers(*_asked(spark, sf), "conv_id", vocabulary=WORDS)
+    return rows.select("conv_id", "status", "fallback_reason", F.array_join("used", ",").alias("used"), F.array_join("excluded", ",").alias("excluded"), F.md5(F.array_join("snippets", "|")).alias("snippets_md5"))
+
+
+def rewritten_questions(spark, sf):
+    """Every user's turn as a search query, with expansions of two words."""
+    c = t.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(F.initcap(F.substring_index("text", " ", 1)), F.lit(" "), "text", F.lit(" 1999")).alias("question"))
+    rows = a.rewrite_questions(c, vocabulary=WORDS, expansions={"the": ("typology", "lithic", "the"), "thing": ("ceramic", "wares")})
+    return rows.select("conv_id", "turn", "directive", "compact_query", "sane", F.md5("search_query").alias("search_md5"))
+
+
 def normalized_keys(spark, sf):
     """Titles, DOIs, paths and look-up keys in canonical form."""
     a = t.articles(spark, sf)
@@ -119,7 +145,7 @@ _TURNS = """turns AS (SELECT conv_id, turn, text AS question, answer FROM (
 _FAM = [f"list_intersect(asked, [{', '.join(repr(w) for w in ws)}])" for ws in WORDS.families.values()]
 _REF = "(t <> '' AND (starts_with(t, 'references') OR starts_with(t, 'bibliography') OR starts_with(t, 'works cited') OR starts_with(t, 'literature cited') OR len(regexp_extract_all(t, 'doi')) >= 2 OR len(list_filter(regexp_extract_all(t, '[0-9a-z_]+'), lambda w: regexp_full_match(w, '(19|20)[0-9]{2}'))) >= 5))"
 _AUDIT = f"list_filter({{0}}, lambda t: length(t) > 2 AND t NOT IN ({', '.join(repr(w) for w in v.STOPWORDS)}))"
-QUERIES = {f.__name__: f for f in (claim_match, relevance_gate, answer_audit, text_quality_report, quality_metrics, keyword_extract, normalized_keys, reference_chunks, html_note_text, years_and_dois, header_footer_strip, reference_split, citation_quality, markdown_sections)}
+QUERIES = {f.__name__: f for f in (grounded_answers, rewritten_questions, claim_match, relevance_gate, answer_audit, text_quality_report, quality_metrics, keyword_extract, normalized_keys, reference_chunks, html_note_text, years_and_dois, header_footer_strip, reference_split, citation_quality, markdown_sections)}
 _TQ = r"""tq AS (SELECT doc_id, CAST(length(x) AS INTEGER) AS char_count, CAST(length(regexp_replace(x, '[^\p{L}]', '', 'g')) AS INTEGER) AS alpha_count,
     CAST(len(regexp_extract_all(x, '[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffd}]')) AS INTEGER) AS suspect_count, CAST(len(regexp_extract_all(x, '[A-Za-z][A-Za-z0-9''-]*')) AS INTEGER) AS token_count
   FROM (SELECT doc_id, trim(text) AS x FROM documents)),
@@ -160,9 +186,37 @@ SELECT conv_id, turn, CAST(n - bad AS INTEGER) AS supported, CAST(bad AS INTEGER
     "quality_metrics": f"WITH {_TQ} SELECT quality, count(*) AS n, count(*) FILTER (rs <> '') AS malformed, CAST(sum(token_count) AS BIGINT) AS tokens FROM tr JOIN labels USING (doc_id) GROUP BY 1",
     "keyword_extract": f"""WITH {t.ARTICLES},
 c AS (SELECT article_id, value, count(*) AS n FROM (SELECT article_id, unnest({t.sql_tokens("text")}) AS value FROM articles) WHERE length(value) >= 4 AND value NOT IN ({_KSTOP}) GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, value) AS place, max(n) OVER (PARTITION BY article_id) AS most FROM c)
-SELECT article_id, value, {_M("least(0.9, 0.2 + n / CAST(most AS DOUBLE))")} AS score, 'heuristic_tokens' AS origin FROM p WHERE place <= 31
-UNION ALL SELECT article_id, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS v, 950000, 'metadata_seed' FROM articles WHERE array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') <> ''""",
+s AS (SELECT article_id, list_filter(list_distinct(list_transform([title, 'The ' || author, CASE WHEN article_id % 2 = 0 THEN string_split(title, ' ')[1] ELSE title || '!' END], lambda x: array_to_string(regexp_extract_all(lower(x), '[a-z0-9]+'), ' '))), lambda x: x <> '') AS seeds FROM articles),
+m AS (SELECT *, max(n) OVER (PARTITION BY article_id) AS most FROM c),
+p AS (SELECT m.*, len(seeds) AS k, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, value) AS place FROM m JOIN s USING (article_id) WHERE NOT list_contains(seeds, value))
+SELECT article_id, value, {_M("least(0.9, 0.2 + n / CAST(most AS DOUBLE))")} AS score, 'heuristic_tokens' AS origin FROM p WHERE place <= 32 - k
+UNION ALL SELECT article_id, unnest(seeds), 950000, 'metadata_seed' FROM s""",
+    "grounded_answers": f"""WITH f AS (SELECT conv_id, arg_min(text, turn) AS question, min(turn) AS first FROM conversations GROUP BY 1),
+turns AS (SELECT c.conv_id, c.turn, question, c.text, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS i, 'assistant ' || c.text AS answer FROM conversations c JOIN f USING (conv_id) WHERE c.turn > first AND role = 'assistant' AND c.conv_id % 3 <> 0),
+k AS (SELECT conv_id, i, text, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9][a-z0-9-]+'), lambda t: length(t) >= 3 AND t NOT IN ({_ASTOP}))) AS asked,
+  list_distinct(list_filter(regexp_extract_all(lower(answer), '[a-z0-9][a-z0-9-]+'), lambda t: length(t) >= 3 AND t NOT IN ({_ASTOP}))) AS have FROM turns),
+m AS (SELECT *, len(list_intersect(asked, have)) AS overlap, {" + ".join(f"CAST(len({f}) > 0 AS INTEGER)" for f in _FAM)} AS named, {" + ".join(f"CAST(len(list_intersect({f}, have)) > 0 AS INTEGER)" for f in _FAM)} AS families FROM k),
+u AS (SELECT *, overlap >= CASE WHEN named > 0 THEN 2 ELSE 1 END AND families >= least(2, named) AS usable FROM m),
+p AS (SELECT *, sum(CASE WHEN usable THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS place FROM u),
+g AS (SELECT conv_id, coalesce(string_agg('C' || i, ',' ORDER BY i) FILTER (usable), '') AS used, coalesce(string_agg('C' || i, ',' ORDER BY i) FILTER (NOT usable), '') AS excluded, coalesce(string_agg('[C' || i || '] ' || trim(text), '|' ORDER BY i) FILTER (usable AND place <= 3 AND trim(text) <> ''), '') AS snippets FROM p GROUP BY 1),
+r AS (SELECT f.conv_id, CASE WHEN g.conv_id IS NULL THEN 'no_context' WHEN used = '' THEN 'irrelevant_context' ELSE 'failed' END AS status, coalesce(used, '') AS used, coalesce(excluded, '') AS excluded, coalesce(snippets, '') AS snippets FROM f LEFT JOIN g USING (conv_id))
+SELECT conv_id, status, CASE status WHEN 'no_context' THEN 'no_retrieved_context' WHEN 'failed' THEN 'synthesis_unavailable' ELSE 'no_relevant_evidence' END AS fallback_reason, used, excluded, md5(snippets) AS snippets_md5 FROM r""",
+    "rewritten_questions": rf"""WITH q AS (SELECT conv_id, turn, upper(split_part(text, ' ', 1)[1]) || lower(split_part(text, ' ', 1)[2:]) || ' ' || text || ' 1999' AS question FROM conversations WHERE role = 'user'),
+c AS (SELECT *, regexp_replace(question, '[^A-Za-z0-9\- ]+', ' ', 'g') AS clean FROM q),
+w AS (SELECT *, list_filter(regexp_extract_all(clean, '[A-Za-z][A-Za-z\-]{{2,}}'), lambda x: lower(x) NOT IN ({_QUESTION})) AS ws, regexp_extract_all(clean, '\b((?:19|20)[0-9]{{2}})\b', 1) AS ys FROM c),
+x AS (SELECT *, list_transform(ws, lambda x: lower(x)) AS low FROM w),
+e AS (SELECT *, list_filter(list_concat(CASE WHEN list_contains(low, 'the') THEN ['typology', 'lithic', 'the'] ELSE [] END, CASE WHEN list_contains(low, 'thing') THEN ['ceramic', 'wares'] ELSE [] END), lambda x: NOT list_contains(low, x)) AS extra FROM x),
+p AS (SELECT *, list_filter(ws, lambda x: regexp_matches(x[1], '[A-Z]')) AS au, ws[1:4] AS ti, list_concat(ws[5:10], extra[1:12]) AS co FROM e),
+d AS (SELECT *, 'authors: ' || coalesce(nullif(array_to_string(au, ' '), ''), 'none') || ' | years: ' || coalesce(nullif(array_to_string(ys, ' '), ''), 'none') || ' | title_terms: ' || coalesce(nullif(array_to_string(ti, ' '), ''), 'none') || ' | content_terms: ' || coalesce(nullif(array_to_string(co, ' '), ''), 'none') AS directive,
+  list_filter(list_concat(au, ys, ti, co), lambda x: lower(x) NOT IN ('and', 'or', 'not')) AS ps FROM p),
+o AS (SELECT *, list_filter(ps, lambda x, i: list_position(list_transform(ps, lambda y: lower(y)), lower(x)) = i) AS once FROM d),
+s AS (SELECT *, coalesce(nullif(array_to_string(once, ' '), ''), trim(question)) AS compact_query FROM o),
+k AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9][a-z0-9-]+'), lambda t: length(t) >= 3 AND t NOT IN ({_ASTOP}))) AS asked,
+  list_distinct(list_filter(regexp_extract_all(lower(compact_query), '[a-z0-9][a-z0-9-]+'), lambda t: length(t) >= 3 AND t NOT IN ({_ASTOP}))) AS have FROM s),
+m AS (SELECT *, {" + ".join(f"CAST(len({f}) > 0 AS INTEGER)" for f in _FAM)} AS named, {" + ".join(f"CAST(len(list_intersect({f}, have)) > 0 AS INTEGER)" for f in _FAM)} AS met,
+  list_filter(asked, lambda x: x IN ({_ALLFAM}) AND x NOT IN ({_GENERIC})) AS crit FROM k),
+z AS (SELECT *, len(list_filter(have, lambda x: x NOT IN ({_GENERIC}))) > 0 AND met >= named AND (len(crit) = 0 OR len(list_intersect(crit, have)) >= greatest(1, least(2, len(crit)))) AND len(have) >= greatest(2, least(3, len(asked))) AS sane FROM m)
+SELECT conv_id, turn, directive, compact_query, sane, md5(CASE WHEN sane THEN compact_query ELSE trim(question) END) AS search_md5 FROM z""",
     "normalized_keys": f"""WITH {t.ARTICLES}, n AS (SELECT *, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS tn, array_to_string(regexp_extract_all(strip_accents(lower(title)), '[a-z0-9]+'), ' ') AS tf FROM articles)
 SELECT article_id, tn AS title_norm, CASE WHEN tf <> '' THEN tf || '|' || year END AS title_year, '10.1234/' || lower(citekey) AS doi, citekey AS stem, regexp_replace(lower(citekey), '[^a-z0-9]+', '', 'g') AS look_up FROM n""",
     "reference_chunks": f"WITH {t.ARTICLES}, {t.CHUNKS} SELECT chunk_id FROM (SELECT chunk_id, trim(lower(chunk_text)) AS t FROM chunks) WHERE {_REF}",

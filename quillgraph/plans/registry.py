@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quillgraph.plans import documents, evidence, exports, graph, jobs, library, more, retrieval, stored, stream
+from quillgraph.plans import documents, evidence, exports, graph, jobs, library, more, retrieval, stored, stream, training
 
-MODULES = (retrieval, evidence, graph, stream, documents, more, exports, library, stored, jobs)
+MODULES = (retrieval, evidence, graph, stream, documents, more, exports, library, stored, jobs, training)
 
 
 def queries() -> dict:

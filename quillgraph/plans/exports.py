@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from quillgraph.functions import references as r, reports
 from quillgraph.operators import datasets as d, documents as o
@@ -52,14 +52,14 @@ def query_rewrites(spark, sf):
 
 
 def _reports(spark, sf):
-    """Each turn as an answer that cites the turns of its conversation up to the third."""
+    """Each turn as an answer that cites itself and the two turns before it."""
     turns = table(spark, sf, "conversations")
-    cited = turns.where("turn < 3").select(
-        "conv_id", "turn", F.concat(F.lit("C"), "turn").alias("citation_id"), F.col("role").alias("article_title"), (F.lit(2000) + F.col("turn")).cast("int").alias("article_year"),
-        F.array("role", F.lit('A "B" C')).alias("authors"), F.lit(None).cast("string").alias("citekey"), F.lit("10.1/x").alias("doi"), F.col("turn").alias("page_start"), F.col("turn").alias("page_end"), F.md5("text").alias("chunk_id"),
-    )
-    lists = cited.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "chunk_id", F.struct(*reports.CITATION_FIELDS).alias("c")))), lambda x: x["c"]).alias("citations"))
-    return turns.join(lists, "conv_id", "left")
+    cited = turns.withColumns({
+        "citation_id": F.concat(F.lit("C"), "turn"), "article_title": F.col("role"), "article_year": (F.lit(2000) + F.col("turn")).cast("int"), "authors": F.array("role", F.lit('A "B" C')),
+        "citekey": F.lit(None).cast("string"), "doi": F.lit("10.1/x"), "page_start": F.col("turn"), "page_end": F.col("turn"), "chunk_id": F.md5("text"),
+    })
+    w = Window.partitionBy("conv_id").orderBy("turn", "chunk_id").rowsBetween(-2, 0)
+    return cited.withColumn("citations", F.collect_list(F.struct(*reports.CITATION_FIELDS)).over(w)).select("conv_id", "turn", "role", "text", "citations")
 
 
 def report_markdown(spark, sf):
@@ -96,10 +96,11 @@ def _chosen(field: str) -> str:
 _FIELDS = ("authors", "years", "title_terms", "content_terms")
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9][a-z0-9''-]*')"
 _ONCE = "array_to_string(list_filter({0}, lambda x, i: list_position({0}, x) = i AND x NOT IN ('and', 'or', 'not')), ' ')"
-_CITED = """c AS (SELECT conv_id, turn, 'C' || turn AS id, role, 2000 + turn AS y, md5(text) AS chunk FROM conversations WHERE turn < 3),
-l AS (SELECT conv_id, count(*) AS n,
-  string_agg('- [' || id || '] ' || role || ' (' || y || ') | Authors: ' || role || ', A "B" C | Citekey:  | DOI: 10.1/x | Pages: ' || turn || '-' || turn, chr(10) ORDER BY turn, chunk) AS md,
-  string_agg(id || ',' || role || ',' || y || ',"' || role || '; A ""B"" C",,10.1/x,' || turn || ',' || turn || ',' || chunk || chr(13) || chr(10), '' ORDER BY turn, chunk) AS csv FROM c GROUP BY 1)"""
+_CITED = """c AS (SELECT *, 'C' || turn AS id, 2000 + turn AS y, md5(text) AS chunk FROM conversations),
+v AS (SELECT conv_id, turn, role, text, count(*) OVER w AS n,
+  string_agg('- [' || id || '] ' || role || ' (' || y || ') | Authors: ' || role || ', A "B" C | Citekey:  | DOI: 10.1/x | Pages: ' || turn || '-' || turn, chr(10)) OVER w AS md,
+  string_agg(id || ',' || role || ',' || y || ',"' || role || '; A ""B"" C",,10.1/x,' || turn || ',' || turn || ',' || chunk || chr(13) || chr(10), '') OVER w AS csv
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, chunk ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
 SQL = {
     "reference_fields": r"""SELECT item_id, CAST(1900 + item_id % 120 AS INTEGER) AS year, '10.1234/ab.' || item_id AS doi,
   md5(substr(regexp_replace(trim(regexp_replace(regexp_replace(text, '[.0-9\n]+', ' ', 'g'), '[ \t\n\r\f\x0b]+', ' ', 'g')), '^[ .,:;]+|[ .,:;]+$', '', 'g'), 1, 240)) AS title_md5 FROM benchmark""",
@@ -109,6 +110,6 @@ n AS (SELECT doc_id, template, question, {", ".join(f"{_ONCE.format(f)} AS {f}"
 SELECT doc_id, template, question, {" || ' | ' || ".join(f"'{f}: ' || CASE WHEN {f} = '' THEN 'none' ELSE {f} END" for f in _FIELDS)} AS directive,
   array_to_string(list_filter([{", ".join(_FIELDS)}], lambda x: x <> ''), ' ') AS compact_query FROM n WHERE i = 1""",
     "report_markdown": f"""WITH {_CITED} SELECT v.conv_id, v.turn, md5(array_to_string(['# Answer report', '', '- Generated: 2024-01-01', '- Question: why', '- Model: ' || role, '- Results: ' || coalesce(CAST(n AS VARCHAR), ''), '- Risk: n/a (n/a)', '', '## Answer', '', text, '', '## Used citations', '', coalesce(md, '- None')], chr(10))) AS report_md5
-FROM conversations v LEFT JOIN l USING (conv_id)""",
-    "report_csv": f"WITH {_CITED} SELECT v.conv_id, v.turn, md5('citation_id,article_title,article_year,authors,citekey,doi,page_start,page_end,chunk_id' || chr(13) || chr(10) || coalesce(csv, '')) AS csv_md5 FROM conversations v LEFT JOIN l USING (conv_id)",
+FROM v""",
+    "report_csv": f"WITH {_CITED} SELECT v.conv_id, v.turn, md5('citation_id,article_title,article_year,authors,citekey,doi,page_start,page_end,chunk_id' || chr(13) || chr(10) || coalesce(csv, '')) AS csv_md5 FROM v",
 }

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.operators.datasets import exclude_ids, join_by_title
-from quillgraph.operators.sampling import exact_sample
+from quillgraph.operators.sampling import exact_sample, exact_split
 from quillgraph.operators.segmentation import split_recognised
 from quillgraph.session import stage
 
 SPLIT_TASK = "Split the bibliography into one item per reference, each whole and on its own. Return JSON only."
+SECTION_TASK = "Say which of the candidate lines open a section, of what kind, and where references start. Return JSON only."
 PARSE_TASK = "Read the reference into JSON with title, year, doi, author_tokens and type. Return JSON only."
 TOKENS = 6
 
@@ -78,6 +79,30 @@ def parse_sample_rows(citations: DataFrame, catalogue: DataFrame, key: str, posi
     return once.select(key, position, "origin", "target", _messages(PARSE_TASK, F.col("_raw"), F.to_json("target", {"ignoreNullFields": "false"})).alias("messages"))
 
 
+def section_rows(docs: DataFrame, plans: DataFrame, key: str, text: str = "text", overrides: DataFrame | None = None, share: float = 0.1, seed: int = 0) -> DataFrame:
+    """(key, sections, reference_start, reference_blocks, overridden, messages, split): the section plan of each document that
+    has references, as a training row, exactly ``share`` of them for evaluation.
+
+    ``plans``: key, kind, heading, start_line, end_line, as ``documents.section_plan`` gives; ``overrides``: key, kind,
+    start_line, end_line, set by hand, which stand for a document's whole plan, with the text of their first lines as headings.
+    Documents without references in their plan, or that have no text, have no row.
+    """
+    fields = ["start_line", "end_line", "kind", "heading"]
+    rows = plans.select(key, *fields, F.lit(False).alias("overridden"))
+    if overrides is not None:
+        own = overrides.select(key, "start_line", "end_line", F.coalesce("kind", F.lit("body")).alias("kind")).distinct()
+        lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+        named = own.join(docs.select(key, lines.alias("_lines")), key).withColumn("heading", F.substring(tx.squeeze(F.coalesce(F.get("_lines", F.col("start_line")), F.lit(""))), 1, 120))
+        rows = rows.join(own.select(key).distinct(), key, "left_anti").unionByName(named.select(key, *fields, F.lit(True).alias("overridden")))
+    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("sections"), F.max("overridden").alias("overridden"))
+    blocks = F.transform(F.filter("sections", lambda x: x["kind"] == "references"), lambda x: F.struct(x["start_line"].alias("start_line"), x["end_line"].alias("end_line")))
+    held = held.withColumn("reference_blocks", blocks).where(F.size("reference_blocks") > 0).withColumn("reference_start", F.array_min("reference_blocks.start_line"))
+    asked = F.to_json(F.transform("sections", lambda x: F.struct(x["start_line"].alias("idx"), x["heading"].alias("line"))))
+    found = F.to_json(F.struct(F.transform("sections", lambda x: F.struct(x["start_line"].alias("line_idx"), x["kind"].alias("kind"), x["heading"].alias("heading"))).alias("headings"), F.col("reference_start").alias("reference_start_line")))
+    made = held.withColumn("messages", _messages(SECTION_TASK, F.concat(F.lit("Candidate heading lines:\n"), asked), found))
+    return exact_split(stage(made, "sections"), key, share, seed).select(key, "sections", "reference_start", "reference_blocks", "overridden", "messages", "split")
+
+
 def set_summary(rows: DataFrame, *by: str) -> DataFrame:
     """Rows, documents' characters of messages, and messages by group: what a set's report holds."""
     size = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.length(m["content"]))

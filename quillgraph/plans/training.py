@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import times
-from quillgraph.operators import training_sets as ts
+from quillgraph.operators import documents as o, training_sets as ts
 from quillgraph.plans import tables as t
 from quillgraph.plans.library import SQL as _LIBRARY
 from quillgraph.plans.tables import table
@@ -35,12 +35,22 @@ def parse_samples(spark, sf):
     return rows.select("doc", "place", "origin", x["title"].alias("title"), x["year"].alias("year"), F.coalesce(x["doi"], F.lit("")).alias("doi"), F.array_join(x["author_tokens"], ",").alias("tokens"), F.coalesce(x["type"], F.lit("")).alias("type"))
 
 
+def section_training_set(spark, sf):
+    """The section plans of all documents that end in references; those of every tenth are set by hand."""
+    docs = table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\nReferences\nLee, A. 2001. Towns.\nKim, B. 2002. Pots.")).alias("text"))
+    last = F.size(F.split("text", "\n")) - 1
+    spans = F.array(F.struct(F.lit("body").alias("kind"), F.lit(0).alias("start_line"), (last - 3).alias("end_line")), F.struct(F.lit("references").alias("kind"), (last - 2).alias("start_line"), last.alias("end_line")))
+    overrides = docs.where("doc_id % 10 = 0").select("doc_id", F.inline(spans))
+    rows = ts.section_rows(docs, o.section_plan(docs, "doc_id"), "doc_id", overrides=overrides, seed=3)
+    return rows.select("doc_id", F.size("sections").alias("n"), "reference_start", "overridden", F.size("messages").alias("messages"), "split")
+
+
 def event_times(spark, sf):
     """Events' times as ISO text and milliseconds."""
     return table(spark, sf, "events").select("event_id", times.iso_utc(F.col("ts").cast("timestamp_ntz"), zoned=False).alias("iso"), times.epoch_millis(F.col("ts").cast("timestamp_ntz"), zoned=False).alias("millis"))
 
 
-QUERIES = {f.__name__: f for f in (reference_split_set, parse_samples, event_times)}
+QUERIES = {f.__name__: f for f in (reference_split_set, parse_samples, section_training_set, event_times)}
 _CTES, _ = _LIBRARY["recognised_references"].rsplit("\nSELECT doc_id,", 1)
 _NORM = "array_to_string(regexp_extract_all(lower({0}), '[a-z0-9]+'), ' ')".format
 SQL = {

@@ -27,7 +27,7 @@ def test_query(spark, sf, db, name):
     rows = found.collect()
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert name in ("citation_resolution", "markdown_chunks", "reference_entries", "reference_authors", "section_plan", "match_probability", "probable_merges", "fuzzy_split_scores", "reference_blocks") and rows
+        assert name in ("citation_resolution", "markdown_chunks", "reference_entries", "reference_authors", "section_plan", "match_probability", "probable_merges", "fuzzy_split_scores", "reference_blocks", "section_training_set") and rows
         return
     want = db.execute(sql)
     names = [c[0] for c in want.description]

@@ -6,13 +6,15 @@ or is drawn again without depending on partitions.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
 from quillgraph.operators.datasets import exclude_ids, join_by_title
 from quillgraph.operators.sampling import exact_sample, exact_split
 from quillgraph.operators.segmentation import split_recognised
-from quillgraph.session import stage
+from quillgraph.session import publish, stage
 
 SPLIT_TASK = "Split the bibliography into one item per reference, each whole and on its own. Return JSON only."
 SECTION_TASK = "Say which of the candidate lines open a section, of what kind, and where references start. Return JSON only."
@@ -103,6 +105,16 @@ def section_rows(docs: DataFrame, plans: DataFrame, key: str, text: str = "text"
     return exact_split(stage(made, "sections"), key, share, seed).select(key, "sections", "reference_start", "reference_blocks", "overridden", "messages", "split")
 
 
+def write_set(rows: DataFrame, path: str, *by: str) -> dict:
+    """Writes a set as JSON lines below ``path`` and, once they are whole, ``summary.json``: rows in all and by the values of
+    each column of ``by``, whose values are few. Returns the summary; a path that has one is an error."""
+    rows.write.mode("overwrite").json(f"{path}/rows")
+    held = rows.sparkSession.read.schema(rows.schema).json(f"{path}/rows")
+    summary = {"rows": held.count(), **{f"by_{c}": {str(r[0]): r["n"] for r in held.groupBy(c).agg(F.count("*").alias("n")).orderBy(c).collect()} for c in by}}
+    publish(rows.sparkSession, path, "summary.json", json.dumps(summary))
+    return summary
+
+
 def set_summary(rows: DataFrame, *by: str) -> DataFrame:
     """Rows, documents' characters of messages, and messages by group: what a set's report holds."""
     size = F.aggregate("messages", F.lit(0).cast("long"), lambda n, m: n + F.length(m["content"]))

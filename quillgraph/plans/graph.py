@@ -79,12 +79,22 @@ def sync_antijoin(spark, sf):
     return first.join(stored, "pid", "left_anti")
 
 
-def reconcile(spark, sf):
-    """Rows matched by name, then by title, where a shared title is ambiguous."""
+def _reconciled(spark, sf):
     a = t.articles(spark, sf).select("article_id", F.col("citekey").alias("item_key"), tx.normalize_title(F.col("title")).alias("title_key"))
     stored = a.where("article_id % 2 = 0")
     incoming = a.select("article_id", F.when(F.col("article_id") % 3 == 0, F.col("item_key")).alias("item_key"), "title_key")
-    return r.reconcile(incoming, stored.withColumnRenamed("article_id", "stored_id"), ["item_key", "title_key"], "stored_id").select("article_id", F.coalesce("matched_id", F.lit(-1)).alias("matched_id"), "matched_by")
+    stored = stored.withColumnRenamed("article_id", "stored_id")
+    return r.reconcile(incoming, stored, ["item_key", "title_key"], "stored_id"), stored
+
+
+def reconcile(spark, sf):
+    """Rows matched by name, then by title, where a shared title is ambiguous."""
+    return _reconciled(spark, sf)[0].select("article_id", F.coalesce("matched_id", F.lit(-1)).alias("matched_id"), "matched_by")
+
+
+def reconcile_residual(spark, sf):
+    """What stays without an id, and why."""
+    return r.residual(*_reconciled(spark, sf), ["item_key", "title_key"], "stored_id").select("article_id", "reason", "holders")
 
 
 def metadata_cascade(spark, sf):
@@ -236,7 +246,7 @@ def citation_resolution(spark, sf):
     return r.resolve_citations(refs, targets)
 
 
-QUERIES = {f.__name__: f for f in (graph_stats, graph_stats_strict, degree_counts, ordered_collect_top5, neighbour_titles, article_lookup, article_chunks, articles_by_keys, identity_exists, sync_antijoin, reconcile, metadata_cascade, reference_diff, duplicate_components, canonical_pick, author_duplicate_candidates, prior_work_links, in_text_links, stale_edge_cleanup, orphan_cleanup, author_merge, article_merge, upsert_last, replace_upsert, eav_pivot, catalog_search, dedupe_priority, train_eval_split, weighted_replication, split_metrics, section_metrics, batch_numbers, probability_histogram, method_counts, coverage_summary, citation_resolution)}
+QUERIES = {f.__name__: f for f in (graph_stats, graph_stats_strict, degree_counts, ordered_collect_top5, neighbour_titles, article_lookup, article_chunks, articles_by_keys, identity_exists, sync_antijoin, reconcile, reconcile_residual, metadata_cascade, reference_diff, duplicate_components, canonical_pick, author_duplicate_candidates, prior_work_links, in_text_links, stale_edge_cleanup, orphan_cleanup, author_merge, article_merge, upsert_last, replace_upsert, eav_pivot, catalog_search, dedupe_priority, train_eval_split, weighted_replication, split_metrics, section_metrics, batch_numbers, probability_histogram, method_counts, coverage_summary, citation_resolution)}
 _RECON = f"""a AS (SELECT article_id, citekey AS item_key, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') AS title_key FROM articles),
 s AS (SELECT * FROM a WHERE article_id % 2 = 0),
 u1 AS (SELECT item_key, min(article_id) AS lo, max(article_id) AS hi FROM s GROUP BY 1), u2 AS (SELECT title_key, min(article_id) AS lo, max(article_id) AS hi FROM s GROUP BY 1),
@@ -262,6 +272,8 @@ SELECT q.key, place, coalesce(article_id, -1) AS article_id, CASE WHEN article_i
 SELECT c_custkey, n IN (SELECT n FROM s) OR coalesce(b IN (SELECT b FROM s WHERE b IS NOT NULL), false) AS known FROM c""",
     "sync_antijoin": "SELECT o_custkey || ':1' AS pid, min(o_orderkey) AS first_order FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY 1",
     "reconcile": f"WITH {t.ARTICLES}, {_RECON} SELECT article_id, coalesce(matched_id, -1) AS matched_id, matched_by FROM m",
+    "reconcile_residual": f"""WITH {t.ARTICLES}, {_RECON}, h AS (SELECT title_key, count(*) AS n FROM s GROUP BY 1)
+SELECT article_id, CASE WHEN matched_by = 'none' THEN 'not_found' ELSE matched_by END AS reason, CASE WHEN matched_by = 'none' THEN 0 ELSE n END AS holders FROM m JOIN a USING (article_id) LEFT JOIN h USING (title_key) WHERE matched_id IS NULL""",
     "method_counts": f"WITH {t.ARTICLES}, {_RECON} SELECT matched_by, count(*) AS n FROM m GROUP BY 1",
     "metadata_cascade": """WITH a AS (SELECT lower(p_name) AS k, min(p_type) AS m FROM part WHERE p_partkey % 5 = 0 GROUP BY 1), b AS (SELECT lower(p_brand) AS k, min(p_type) AS m FROM part WHERE p_partkey % 7 = 0 GROUP BY 1)
 SELECT p_partkey, coalesce(a.m, b.m) AS meta FROM part LEFT JOIN a ON a.k = lower(p_name) LEFT JOIN b ON b.k = lower(p_brand)""",

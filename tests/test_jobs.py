@@ -208,3 +208,11 @@ def test_a_stopped_job_ends_its_stream(spark, tmp_path):
         spark.streams.removeListener(listener)
     kinds = {x.kind: x for x in jobs.read_progress(spark, told).orderBy("rows").collect()}
     assert set(kinds) == {"started", "progress", "terminated"} and kinds["progress"].rows > 0 and kinds["progress"].name == "rate" and kinds["terminated"].error is None
+
+
+def test_residual_says_why(spark):
+    stored = spark.createDataFrame([(1, "a", "t"), (2, "b", "t"), (3, "c", "u"), (4, "c", None)], "sid int, k string, title string")
+    rows = spark.createDataFrame([(10, "a", None), (11, None, "t"), (12, None, None), (13, "zz", "none"), (14, "c", "u"), (15, None, "u")], "id int, k string, title string")
+    matched = r.reconcile(rows, stored, ["k", "title"], "sid")
+    assert {(x.id, x.matched_by, x.reason, x.holders) for x in r.residual(matched, stored, ["k", "title"], "sid").collect()} == {(11, "ambiguous:title", "ambiguous:title", 2), (12, "none", "no_key", 0), (13, "none", "not_found", 0), (14, "ambiguous:k", "ambiguous:k", 2)}
+    assert r.residual(matched.limit(0), stored, ["k", "title"], "sid").count() == 0

@@ -4,7 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.functions import names as n, quality as q, text as tx
+from quillgraph.functions import names as n, quality as q
 from quillgraph.operators import corrections as c, datasets as d, index, notes, retrieval as rt, segmentation as sg
 from quillgraph.sources import attachments as at
 

@@ -112,13 +112,22 @@ def vector_query(corpus: Corpus, query: list[float] | None, limit: int) -> DataF
 
 def _first_chunks(corpus: Corpus, scored: DataFrame, limit: int) -> DataFrame:
     """Chunks of the best articles: score falling, then the later year, then chunk id."""
-    # Beyond ``limit`` articles none of their chunks can be among the first ``limit``.
     dated = scored if "year" in scored.columns else scored.join(corpus.articles.select("article_id", "year"), "article_id")
-    top = dated.orderBy(F.desc("score"), F.desc("year"), "article_id").limit(limit)
     order = (F.desc("score"), F.desc("year"), F.asc("chunk_id"))
-    if corpus.store:
-        return corpus.store.first_chunks(held(top, limit, "top-articles")).orderBy(*order).limit(limit).select("chunk_id", "score")
-    return corpus.chunks.select("chunk_id", "article_id").join(F.broadcast(top), "article_id").orderBy(*order).limit(limit).select("chunk_id", "score")
+
+    def first(articles: DataFrame) -> DataFrame:
+        met = corpus.store.first_chunks(articles) if corpus.store else corpus.chunks.select("chunk_id", "article_id").join(articles, "article_id")
+        return held(met.orderBy(*order).limit(limit).select("chunk_id", "score"), limit, "first-chunks")
+
+    # Articles of one score and year stand by their chunks' ids, so all that equal the last of the first ``limit`` come along.
+    top = dated.select("score", "year").orderBy(*order[:2]).limit(limit).collect()
+    if not top or len(top) < limit:
+        return first(dated)
+    score, year = top[-1]
+    later = F.lit(True) if year is None else F.col("year") >= year
+    found = first(dated.where((F.col("score") > score) | ((F.col("score") == score) & later)))
+    # Articles without chunks may have taken the places of others.
+    return found if found.count() == limit else first(dated)
 
 
 def author_query(corpus: Corpus, terms, limit: int) -> DataFrame:

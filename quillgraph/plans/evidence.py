@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quillgraph.functions import quality as q, text as tx, vocabulary as v
-from quillgraph.operators import asking as a, catalogue as cat, evidence as e, segmentation as s
+from quillgraph.operators import asking as a, catalogue as cat, evidence as e, index, segmentation as s
 from quillgraph.plans import tables as t
+from quillgraph.session import stage
 
 _M = t.MICRO.format
 _HAVE = "list_distinct(regexp_extract_all(lower({0}), '[a-z][a-z0-9''-]*'))".format
@@ -25,10 +26,12 @@ def _claims(spark, sf):
     """Each benchmark item against the ten chunks, of all documents, that hold its words most often."""
     chunks = t.chunks(spark, sf)
     b = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-    # The index has the postings: no text is tokenised again.
-    near = e.claim_candidates(b, t.corpus(spark, sf).store.table("tokens"), 10)
-    texts = chunks.join(t.articles(spark, sf).select("article_id", "title", "year"), "article_id")
-    return b.join(near, "claim_id").join(texts, "chunk_id")
+    # Articles of one id share their chunks' ids, and only then are counts summed over several rows.
+    once = t.table(spark, sf, "documents").groupBy("doc_id").count().where("count > 1").isEmpty()
+    near = stage(e.claim_chunks(b, chunks, 10) if once else e.claim_candidates(b, index.postings(chunks, "chunk_id"), 10), "near")
+    # Ten chunks of a claim are few: they choose the texts before these meet anything else.
+    texts = near.join(chunks, "chunk_id").join(t.articles(spark, sf).select("article_id", "title", "year"), "article_id")
+    return b.join(texts, "claim_id")
 
 
 def claim_match(spark, sf):

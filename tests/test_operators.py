@@ -177,3 +177,16 @@ def test_citation_score(spark):
     rows = spark.createDataFrame([("A good title here", "x", 2000, ["a"], "10.1/x"), ("abc", "Downloaded from http://a", None, None, None)], "t string, r string, y int, a array<string>, d string")
     got = [x.s for x in rows.select(q.citation_score(*[F.col(c) for c in "tryad"]).alias("s")).collect()]
     assert got[0] == pytest.approx(1.0) and got[1] == 0.0
+
+
+def test_claim_chunks_are_those_of_postings(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)] + ["the", "a", "archive"]
+    chunks = spark.createDataFrame([(f"{i % 97}:{i}", " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(400)] + [("none", None)], "chunk_id string, chunk_text string").repartition(3)
+    claims = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 6)))) for i in range(40)] + [(900, None), (901, "unknown"), (902, "the")], "claim_id long, claim string")
+    want = sorted(e.claim_candidates(claims, index.postings(chunks, "chunk_id"), 5).collect())
+    for block, rows in ((512, 2048), (7, 50), (40, 3)):
+        assert sorted(e.claim_chunks(claims, chunks, 5, block, rows).collect()) == want and want
+    # The pairs of claims and chunks are no rows of a shuffle: only the chosen ones are.
+    plan = e.claim_chunks(claims, chunks.coalesce(1), 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1 and "Join" not in plan

@@ -124,14 +124,16 @@ def _sql_canonical(column: str) -> str:
     return f"trim({t})"
 
 
-def license_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def license_copies(spark: SparkSession, sf_dir: str, rows: int = 1024) -> DataFrame:
     """Licences found in texts that hold them: a copy with a notice for each part, every twentieth with a word too many.
 
-    The test tables have no whole licence, so this query plants them by rule.
+    The test tables have no whole licence, so this query plants them by rule. A few bytes of a part become a whole licence,
+    so parts are dealt out by ``rows`` for a task; a scan's splits go by bytes and would be one or a few tasks.
     """
     names = sorted(TEXTS)
     texts = spark.createDataFrame([(i, TEXTS[n]) for i, n in enumerate(names)], "i int, licence string")
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", (F.col("p_partkey") % len(names)).cast("int").alias("i"))
+    parts = parts.repartition(max(1, -(-parts.count() // rows)))
     notice = F.concat(F.lit("Copyright (c) 20"), F.lpad((F.col("p_partkey") % 26).cast("string"), 2, "0"), F.lit(" "), F.col("p_name"), F.lit("\nAll rights reserved.\n\n"))
     extra = F.when(F.col("p_partkey") % 20 == 0, " More.").otherwise("")
     docs = parts.join(F.broadcast(texts), "i").select("p_partkey", F.concat(notice, "licence", extra).alias("text"))

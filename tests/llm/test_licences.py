@@ -67,3 +67,8 @@ def test_wrapped_texts_are_found(spark, mark):
     rows.append(("a holder's notice", "MIT", "Copyright holders: A, B\nCopyright holder 2020 A\nCopyright Someone\n" + TEXTS["MIT"]))
     got = licences.scan_licences(spark.createDataFrame(rows, "doc_id string, want string, text string"), licences.known_licences(spark)).collect()
     assert [(r.doc_id, r.want, r.license_id) for r in got if r.license_id != r.want] == []
+
+
+def test_licence_copies_are_dealt_to_tasks(spark, sf):
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert licences.license_copies(spark, sf, rows=50).rdd.getNumPartitions() >= parts // 50 > 1

@@ -190,3 +190,16 @@ def test_claim_chunks_are_those_of_postings(spark):
     # The pairs of claims and chunks are no rows of a shuffle: only the chosen ones are.
     plan = e.claim_chunks(claims, chunks.coalesce(1), 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1 and "Join" not in plan
+
+
+def test_best_matches_compare_few_titles(monkeypatch):
+    import pandas as pd
+
+    calls = []
+    monkeypatch.setattr(r, "SequenceMatcher", lambda *a: calls.append(1) or SequenceMatcher(*a))
+    rng, m = random.Random(8), 400
+    titles = [" ".join("".join(rng.choices("etaoinshr", k=5)) for _ in range(7)) for _ in range(m)]
+    targets = pd.DataFrame({"target_id": range(m), "target_title": titles, "target_year": 2000, "target_doi": None, "target_authors": [["x"]] * m, "target_key": "k"})
+    refs = pd.DataFrame({"reference_id": range(m, m + 40), "title_norm": titles[:40], "year": 2000, "author_token": "x", "doi": None, "floor": 0.7})
+    got = list(r._match_block(refs, targets, 2))
+    assert [x[1] for x in got if x[4] == 1.0] == list(range(40)) and len(calls) < 40 * 12

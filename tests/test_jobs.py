@@ -216,3 +216,14 @@ def test_residual_says_why(spark):
     matched = r.reconcile(rows, stored, ["k", "title"], "sid")
     assert {(x.id, x.matched_by, x.reason, x.holders) for x in r.residual(matched, stored, ["k", "title"], "sid").collect()} == {(11, "ambiguous:title", "ambiguous:title", 2), (12, "none", "no_key", 0), (13, "none", "not_found", 0), (14, "ambiguous:k", "ambiguous:k", 2)}
     assert r.residual(matched.limit(0), stored, ["k", "title"], "sid").count() == 0
+
+
+def test_prior_work_pairs_are_in_no_shuffle(spark):
+    rows = spark.createDataFrame([(i, " Lee" if i % 2 else "ray", 2000 + i % 5) for i in range(60)] + [(60, "lee ", 2009), (61, None, 2009), (62, "lee", None)], "article_id long, author string, year int")
+    seen = spark.createDataFrame([(60, 1), (60, 3), (60, 3), (60, 2), (9, 5), (None, 1), (60, None)], "src long, dst long")
+    got = r.prior_work_links(rows, seen)
+    a = [(x.article_id, x.author.strip().lower(), x.year) for x in rows.collect() if x.author and x.year]
+    hidden = {(x.src, x.dst) for x in seen.collect()}
+    want = sorted((s, d) for s, n, y in a for d, m, z in a if n == m and y > z and (s, d) not in hidden)
+    assert sorted(map(tuple, got.collect())) == want and want
+    assert "LeftAnti" not in got._jdf.queryExecution().executedPlan().toString()

@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.session import stage
+
+#: Rows that a join may broadcast.
+BROADCAST = 100_000
+
+
+def _sized(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table that joins broadcast only if its rows are few. Sizes that are estimated from columns leave out what an
+    explode adds, so a listing of millions would pass for a small one."""
+    held = stage(df, name)
+    return F.broadcast(held) if held.count() <= BROADCAST else held.hint("merge")
+
+
+def _look_up(rows: DataFrame, found: DataFrame, path: str) -> DataFrame:
+    """``rows`` with the columns of ``found`` by a path. Blank paths find nothing; they are spread over the tasks by the rest of
+    their row, since most rows may have them. The hash is a second key, so that both sides are exchanged for the join."""
+    spread = F.when(F.col(path) == "", F.xxhash64("attachment_key", "persistent_id", "raw_path", "path")).otherwise(F.xxhash64(path))
+    return rows.withColumn("_h", spread).join(found.where(F.col(path) != "").withColumn("_h", F.xxhash64(path)), [path, "_h"], "left").drop("_h")
 
 
 def resolve_attachments(rows: DataFrame, files: DataFrame, overrides: DataFrame, path_map: DataFrame) -> DataFrame:
@@ -16,26 +34,26 @@ def resolve_attachments(rows: DataFrame, files: DataFrame, overrides: DataFrame,
     local (drive letters, network shares), then the raw path. The map is small and given by the caller; it is counted before
     it is broadcast.
     """
-    ident = F.monotonically_increasing_id()
-    base = rows.withColumn("_id", ident).withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("attachment_key", "persistent_id", "raw_path", "path")})
-    have = files.select(F.col("path").alias("_have")).distinct()
-    chosen = overrides.join(have, F.col("path") == F.col("_have"), "left_semi").groupBy("key").agg(F.min("path").alias("_o"))
+    base = rows.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in ("attachment_key", "persistent_id", "raw_path", "path")})
+    have = _sized(files.select(F.col("path").alias("_have")).distinct(), "listing")
+    chosen = _sized(overrides.join(have, F.col("path") == F.col("_have"), "left_semi").groupBy("key").agg(F.min("path").alias("_o")), "overrides")
     out = base.join(chosen.select(F.col("key").alias("attachment_key"), F.col("_o").alias("_o1")), "attachment_key", "left")
     out = out.join(chosen.select(F.col("key").alias("persistent_id"), F.col("_o").alias("_o2")), "persistent_id", "left")
-    out = out.join(have.select(F.col("_have").alias("path"), F.lit(True).alias("_there")), "path", "left")
-    out = out.join(have.select(F.col("_have").alias("raw_path"), F.lit(True).alias("_raw_there")), "raw_path", "left")
-    # Prefixes of any length meet by an equi-join: each raw path offers its beginnings at separators.
+    out = _look_up(out, have.select(F.col("_have").alias("path"), F.lit(True).alias("_there")), "path")
+    out = _look_up(out, have.select(F.col("_have").alias("raw_path"), F.lit(True).alias("_raw_there")), "raw_path")
+    # Prefixes of any length meet by an equi-join: each raw path offers its beginnings at separators. Paths are known by
+    # themselves: numbers given to rows need not be the same where the plan reads them twice.
     slashed = F.lower(F.replace(F.col("raw_path"), F.lit("/"), F.lit("\\")))
     cuts = F.filter(F.sequence(F.lit(1), F.length("_low")), lambda i: (F.substring("_low", i, F.lit(1)) == F.lit("\\")) | (i == F.length("_low")))
     starts = F.flatten(F.transform(cuts, lambda i: F.array(F.struct(i.alias("n"), F.substring("_low", F.lit(1), i).alias("s")), F.struct((i - 1).alias("n"), F.substring("_low", F.lit(1), i - 1).alias("s")))))
-    offered = base.select("_id", F.replace(F.col("raw_path"), F.lit("/"), F.lit("\\")).alias("_raw"), slashed.alias("_low")).where("_low <> ''").select("_id", "_raw", F.explode(starts).alias("x"))
+    offered = base.select("raw_path").distinct().select("raw_path", F.replace(F.col("raw_path"), F.lit("/"), F.lit("\\")).alias("_raw"), slashed.alias("_low")).where("_low <> ''").select("raw_path", "_raw", F.explode(starts).alias("x"))
     prefixes = path_map.select(F.lower(F.replace(F.trim("prefix"), F.lit("/"), F.lit("\\"))).alias("s"), F.col("folder"))
-    if prefixes.count() <= 100_000:
+    if prefixes.count() <= BROADCAST:
         prefixes = F.broadcast(prefixes)
     rest = F.regexp_replace(F.substr("_raw", F.col("x.n") + 1), r"^\\+", "")
-    mapped = offered.join(prefixes, F.col("x.s") == F.col("s")).select("_id", F.length("s").alias("_n"), F.when(rest == "", F.col("folder")).otherwise(F.concat("folder", F.lit("/"), F.replace(rest, F.lit("\\"), F.lit("/")))).alias("_m"))
-    longest = mapped.join(have, F.col("_m") == F.col("_have"), "left_semi").groupBy("_id").agg(F.max_by("_m", "_n").alias("_m"))
-    out = out.join(longest, "_id", "left")
+    mapped = offered.join(prefixes, F.col("x.s") == F.col("s")).select("raw_path", F.length("s").alias("_n"), F.when(rest == "", F.col("folder")).otherwise(F.concat("folder", F.lit("/"), F.replace(rest, F.lit("\\"), F.lit("/")))).alias("_m"))
+    longest = _sized(mapped.join(have, F.col("_m") == F.col("_have"), "left_semi").groupBy("raw_path").agg(F.max_by("_m", "_n").alias("_m")), "mapped")
+    out = _look_up(out, longest, "raw_path")
     raw = F.col("raw_path")
     stored = F.lower(raw).startswith("storage:")
     url, drive, share = raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]+://"), raw.rlike(r"^[A-Za-z]:[\\/]"), raw.startswith("\\\\")

@@ -48,6 +48,26 @@ def test_attachments_without_anything(spark):
     assert at.resolve_attachments(rows.limit(0), files, none, maps).count() == 0
 
 
+def test_mapped_paths_of_rows_in_no_order(spark):
+    keys = spark.range(400).select(F.col("id").cast("string").alias("k"))
+    rows = keys.select("k", F.lit("").alias("attachment_key"), F.lit("").alias("persistent_id"), F.concat(F.lit("D:/x/"), "k").alias("raw_path"), F.lit("").alias("path")).repartition(7)
+    maps = spark.createDataFrame([("D:/x", "/map")], "prefix string, folder string")
+    found = at.resolve_attachments(rows, keys.select(F.concat(F.lit("/map/"), "k").alias("path")), spark.createDataFrame([], "key string, path string"), maps).select("k", "file").collect()
+    assert len(found) == 400 and all(r.file == f"/map/{r.k}" for r in found)
+
+
+def test_large_listings_are_not_broadcast(spark):
+    keys = spark.range(30_000).select(F.col("id").cast("string").alias("k"))
+    rows = keys.select(F.col("k").alias("attachment_key"), F.lit("").alias("persistent_id"), F.lit("").alias("raw_path"), F.concat(F.lit("/a/"), "k").alias("path"))
+    files = keys.select(F.explode(F.array(*[F.concat(F.lit(x), "k") for x in ("/a/", "/b/", "/c/", "/d/")])).alias("path"))
+    found = at.resolve_attachments(rows, files, spark.createDataFrame([], "key string, path string"), spark.createDataFrame([], "prefix string, folder string"))
+    assert found.where("file = path").count() == 30_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    blank = at._look_up(rows.withColumn("path", F.lit("")), files.withColumn("t", F.lit(True)), "path").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in blank) < 15_000
+
+
 def test_page_windows(spark):
     text = "\n".join(f"a{i} b{i}" for i in range(10))
     rows = index.page_windows(spark.createDataFrame([(1, text), (2, None), (3, " ")], "k int, text string"), "k", per_page=3, size=6, overlap=2).collect()

@@ -5,6 +5,8 @@ A document's lines are ordered by page and line number; windows never cross docu
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
@@ -128,33 +130,70 @@ def recognised_references(lines: DataFrame, key: str, least: int = 28) -> DataFr
     that begins a line until the next author; a year, or names with one, opens a reference, and other lines go on with it.
     Blank lines and numbers of pages go first. References of ``least`` characters or more count once each, in any case.
     """
-    order = Window.partitionBy(key).orderBy("line_no")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    clean = lines.select(key, "line_no", tx.squeeze(F.coalesce("line", F.lit(""))).alias("line")).where("line <> ''").where(~F.col("line").rlike("^[0-9]{1,3}$"))
-    below = F.coalesce(F.lead("line").over(order), F.lit(""))
-    kind = (
-        F.when(F.col("line").rlike(AUTHOR_LINE) & below.rlike(YEAR_LINE), "author")
-        .when(F.col("line").rlike(YEAR_LINE), "year").when(F.col("line").rlike(NAMED_YEAR_LINE), "named").otherwise("text")
-    )
-    rows = clean.withColumn("kind", kind)
-    rows = rows.withColumns({"author": F.last(F.when(F.col("kind") == "author", F.col("line")), ignorenulls=True).over(upto), "entry": F.count_if(F.col("kind").isin("year", "named")).over(upto)})
-    text = F.when(F.col("kind") == "year", F.concat_ws(" ", "author", "line")).otherwise(F.col("line"))
-    held = rows.where("kind <> 'author' and entry > 0").groupBy(key, "entry").agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("line")))).alias("ls"))
-    joined = held.select(key, "entry", F.regexp_replace(F.array_join("ls.line", " "), "^[ .;]+|[ .;]+$", "").alias("raw_text")).where(F.length("raw_text") >= least)
-    once = joined.groupBy(key, F.lower("raw_text").alias("_low")).agg(F.min_by("raw_text", "entry").alias("raw_text"), F.min("entry").alias("entry"))
-    return once.select(key, (F.row_number().over(Window.partitionBy(key).orderBy("entry")) - 1).alias("ref_index"), "raw_text")
+    held = lines.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("_lines"))
+    return _listed(held_references(held, key, "_lines", least), key)
+
+
+def held_references(docs: DataFrame, key: str, lines: str, least: int = 28) -> DataFrame:
+    """(key, references): those that ``recognised_references`` finds, in order, of rows that hold their lines as an array.
+
+    Each row is worked by itself, without a shuffle. Lines hold no line ends, so runs of these mark what opens: one before a
+    line that goes on, two before a year or names with one, three before an author. An author is always above a year, so
+    cutting at three and then at two gives each author's references.
+    """
+    squeezed = F.filter(F.transform(lines, lambda x: tx.squeeze(F.coalesce(x, F.lit("")))), lambda x: (x != "") & ~x.rlike("^[0-9]{1,3}$"))
+    year = lambda x: x.rlike(YEAR_LINE)
+
+    def marked(clean: Column) -> Column:
+        author = lambda x, i: x.rlike(AUTHOR_LINE) & year(F.coalesce(F.get(clean, i + 1), F.lit("")))
+        opens = lambda x, i: F.when(author(x, i), "\n\n\n").when(year(x) | x.rlike(NAMED_YEAR_LINE), "\n\n").otherwise("\n")
+        return F.array_join(F.transform(clean, lambda x, i: F.concat(opens(x, i), x)), "")
+
+    def entries(cut: Column, i: Column) -> Column:
+        own = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda e: F.replace(e, F.lit("\n"), F.lit(" ")))
+        return F.transform(own, lambda e: F.when((i > 0) & year(e), F.concat(F.get(cut, F.lit(0)), F.lit(" "), e)).otherwise(e))
+
+    def once(rows: Column) -> Column:
+        first = F.filter(rows, lambda x, i: (i == 0) | (x["low"] != F.get(rows, i - 1)["low"]))
+        return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["at"].alias("at"), x["raw"].alias("raw")))), lambda x: x["raw"])
+
+    cuts = F.transform(F.split(_bound(squeezed, marked), "\n\n\n"), lambda part: F.split(part, "\n\n"))
+    raw = F.transform(F.flatten(F.transform(cuts, entries)), lambda e: F.regexp_replace(e, "^[ .;]+|[ .;]+$", ""))
+    # Sorted by their lower case and place, the first of equal ones stays.
+    placed = F.array_sort(F.transform(F.filter(raw, lambda e: F.length(e) >= least), lambda e, i: F.struct(F.lower(e).alias("low"), i.alias("at"), e.alias("raw"))))
+    return docs.select(key, _bound(placed, once).alias("references"))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is formed once, however often it is named: filters that move below a projection repeat it whole."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def split_recognised(docs: DataFrame, key: str, text: str = "text", stops: tuple[str, ...] = ("article continued from",), least: int = 28) -> DataFrame:
     """(key, ref_index, raw_text): references of recognised texts, from below a line ``references`` to one that holds a stop
     phrase. Texts without such a line have none."""
+    return _listed(recognised_bibliographies(docs, key, text, stops, least), key)
+
+
+def _listed(held: DataFrame, key: str) -> DataFrame:
+    # An inner explode would have the references formed twice, once for a filter on their number.
+    return held.select(key, F.posexplode_outer("references").alias("ref_index", "raw_text")).where("ref_index is not null")
+
+
+def recognised_bibliographies(docs: DataFrame, key: str, text: str = "text", stops: tuple[str, ...] = ("article continued from",), least: int = 28) -> DataFrame:
+    """(key, references): as ``split_recognised``, a row for each text; null for those without a line ``references``."""
     every = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    start = F.array_position(F.transform(every, lambda x: F.lower(F.trim(x))), "references").cast("int")
-    tail = docs.select(F.col(key), F.slice(every, start + 1, F.size(every)).alias("tail"), start.alias("start")).where("start > 0")
     ends = lambda x: F.coalesce(_holds(F.lower(x), stops), F.lit(False))
-    stop = F.array_position(F.transform("tail", ends), True).cast("int")
-    region = F.when(stop > 0, F.slice("tail", F.lit(1), stop - 1)).otherwise(F.col("tail"))
-    return recognised_references(tail.select(key, F.posexplode(region).alias("line_no", "line")), key, least)
+
+    def below(lines: Column) -> Column:
+        start = F.array_position(F.transform(lines, lambda x: F.lower(F.trim(x))), "references").cast("int")
+        return F.when(start > 0, F.slice(lines, start + 1, F.size(lines)))
+
+    def region(tail: Column) -> Column:
+        stop = F.array_position(F.transform(tail, ends), True).cast("int")
+        return F.when(stop > 0, F.slice(tail, F.lit(1), stop - 1)).otherwise(tail)
+
+    return held_references(docs.select(F.col(key), _bound(_bound(every, below), region).alias("_lines")), key, "_lines", least)
 
 
 def _holds(text: Column, phrases: tuple[str, ...]) -> Column:

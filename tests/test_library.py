@@ -217,3 +217,13 @@ def test_time_limit_leaves_the_callers_properties_and_workers(spark):
         context.clearJobTags()
         context.setLocalProperty("spark.jobGroup.id", None)
         context.setLocalProperty("spark.job.description", None)
+
+
+def test_recognised_references_without_a_shuffle(spark):
+    text = "intro\nReferences\n  12 \nprelude\nSmith, Al\n1998 A title that is long enough\ngoes on\n1999 another title that is long enough\nKim, B. 2001 a third one, quite long;\nKIM, B. 2001 A THIRD ONE, QUITE LONG\nLee, Cy\n2002 short\n2003 a title of the last author here"
+    docs = spark.createDataFrame([(1, text), (2, "none"), (3, None), (4, "References")], "k int, text string")
+    found = sg.split_recognised(docs, "k")
+    assert [tuple(r) for r in found.orderBy("ref_index").collect()] == [
+        (1, 0, "Smith, Al 1998 A title that is long enough goes on"), (1, 1, "Smith, Al 1999 another title that is long enough"), (1, 2, "Kim, B. 2001 a third one, quite long"), (1, 3, "Lee, Cy 2003 a title of the last author here"),
+    ]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillgraph.functions import documents as d, references as r
 
+#: Rows of a frame that a table function gives.
+FRAME = 10_000
+
 
 def markdown_chunks(docs: DataFrame, key: str, text: str = "text", least: int = 120, target: int = 220, most: int = 360) -> DataFrame:
     """(key, chunk_index, text, heading_path, token_count, start_line, end_line) by Markdown heading."""
@@ -60,9 +63,15 @@ def section_plan(docs: DataFrame, key: str, text: str = "text", least: int = 24)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            found: list[dict] = []
             for k, x in zip(f[key], f["text"], strict=True):
-                if rows := d.sections(x.split("\n") if x else [], least):
-                    yield pd.DataFrame(rows).assign(position=range(len(rows)), **{key: k})
+                found += [{**s, "position": i, key: k} for i, s in enumerate(d.sections(x.split("\n") if x else [], least))]
+                # A frame for each document would take longer than its sections.
+                if len(found) >= FRAME:
+                    yield pd.DataFrame(found)
+                    found = []
+            if found:
+                yield pd.DataFrame(found)
 
     kind = source.schema[key].dataType.simpleString()
     return source.mapInPandas(run, f"{key} {kind}, position int, kind string, heading string, start_line int, end_line int")

@@ -90,3 +90,19 @@ def test_rewrites_and_reports(spark):
     none = F.lit(None).cast("string")
     report = [r[0] for r in frame.select(reports.markdown_report(none, none, none, none, none, none, F.col("c"), none)).collect()]
     assert report[0].endswith("- [C1] a, \"b\" () | Authors:  | Citekey:  | DOI:  | Pages: 1-2") and report[2].endswith("- None") and "n/a (n/a)" in report[1]
+
+
+def test_section_plan_builds_few_frames(spark, monkeypatch):
+    made = []
+
+    class Rows:
+        schema = spark.range(1).selectExpr("id as k").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            made.extend(run(iter([o.pd.DataFrame({"k": range(50), "text": ["a\n# References\nLee, A. 1999. X."] * 50})])))
+
+    o.section_plan(Rows(), "k")
+    assert len(made) == 1 and made[0].groupby("k").position.apply(list).map(lambda p: p == list(range(len(p)))).all() and made[0].k.nunique() == 50

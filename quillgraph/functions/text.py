@@ -7,7 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from quillgraph.functions.vocabulary import INTENT_STOPWORDS, STOPWORDS
 
@@ -125,15 +125,22 @@ def looks_like_references(text: Column) -> Column:
     return (t != "") & (heading | (dois >= 2) | (years >= 5))
 
 
-@F.pandas_udf(StringType())
-def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape)
+#: What ``html.unescape`` takes for an entity.
+_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _unescaped(entities: pd.Series) -> pd.Series:
+    return entities.map(lambda found: [html.unescape(x) for x in found])
 
 
 def html_text(source: Column) -> Column:
     """Line ends for breaks and closed blocks, no tags, all entities as their characters, no white space at a line's end."""
     t = F.regexp_replace(F.coalesce(source, F.lit("")), "(?i)<br[ /]*>|</(p|div|li|h[1-6]|tr)>", "\n")
-    t = _unescaped(F.regexp_replace(t, "<[^>]*>", ""))
+    t = F.regexp_replace(t, "<[^>]*>", "")
+    # Python gets the entities alone, not the texts around them.
+    characters = _unescaped(F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0)))
+    t = F.array_join(F.zip_with(F.split(t, _ENTITY, -1), characters, lambda x, c: F.concat(x, F.coalesce(c, F.lit("")))), "")
     return F.trim(F.regexp_replace(t, "[ \\t\u00a0]+\n", "\n"))
 
 

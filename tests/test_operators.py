@@ -203,3 +203,10 @@ def test_best_matches_compare_few_titles(monkeypatch):
     refs = pd.DataFrame({"reference_id": range(m, m + 40), "title_norm": titles[:40], "year": 2000, "author_token": "x", "doi": None, "floor": 0.7})
     got = list(r._match_block(refs, targets, 2))
     assert [x[1] for x in got if x[4] == 1.0] == list(range(40)) and len(calls) < 40 * 12
+
+
+def test_only_entities_go_to_python(spark):
+    df = spark.createDataFrame([("&lt;" + "x" * 50 + "&amp;&notit;&#x41;",), ("no entity",), (None,), ("&eacute",)], "h string")
+    found = df.select(tx.html_text(F.col("h")).alias("t"))
+    assert [r.t for r in found.collect()] == ["<" + "x" * 50 + "&¬it;A", "no entity", "", "é"]
+    assert "regexp_extract_all" in next(x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "_unescaped(" in x and "ArrowEvalPython" in x) or "_unescaped(regexp_extract_all" in found._jdf.queryExecution().analyzed().toString()

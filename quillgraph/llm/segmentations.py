@@ -9,7 +9,8 @@ each piece that it could have left otherwise. The inclusion score of a sample is
 given the next largest value.
 
 The lattice falls apart where no piece of the vocabulary spans two neighbouring characters. Such units are built once for
-each slice of texts, for all of them at once, as are the free paths through them. All noise is a hash of seed, row key, sample and place, so a
+each slice of texts, for all of them at once, as are the free paths through them. A state holds only the pieces that can
+come next in it, about two of them in prose. All noise is a hash of seed, row key, sample and place, so a
 row's samples depend on nothing else.
 
 A merge-ranked vocabulary has no weights: its pieces get Zipf's, 1 / (rank + 1).
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from quillgraph.llm._words import mix, slices
+from quillgraph.llm._words import _ranges, mix, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
@@ -36,15 +37,20 @@ _GAP = 0x2581
 #: Stands for U+2581 in a text, which must not be taken for a blank.
 _OWN_GAP = 0x110000
 _B = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.uint64(0xD1342543DE82EF95)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A model's pieces as arrays: character classes, prefixes by hash, weights, and bytes for decoding."""
+    """A model's pieces as arrays: character classes, prefixes by hash, weights, and bytes for decoding.
+
+    ``prefixes`` ascend; ``near`` has the place of the first one that is not below each value of their 18 leading bits.
+    """
 
     classes: np.ndarray
     spanned: np.ndarray
     prefixes: np.ndarray
+    near: np.ndarray
     piece: np.ndarray
     score: np.ndarray
     byte_ids: np.ndarray
@@ -86,27 +92,50 @@ def load(model: str) -> Vocabulary:
             h = (h * int(_B) + c) & (1 << 64) - 1
             last = k == len(codes) - 1
             prefixes[h] = i if last else prefixes.get(h, -1)
-    keys = np.array(sorted(prefixes), np.uint64)
+    keys = np.array(list(prefixes), np.uint64) * _SPREAD
+    order = np.argsort(keys)
+    keys, ids = keys[order], np.array(list(prefixes.values()), np.int32)[order]
+    near = np.searchsorted(keys, np.arange(1 << 18, dtype=np.uint64) << np.uint64(46)).astype(np.int32)
     byte_ids = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)], np.int32)
     texts = [bytes([int(pieces[i][3:5], 16)]) if sp.is_byte(i) else pieces[i].replace("▁", " ").encode() if not (sp.is_control(i) or sp.is_unknown(i)) else b"" for i in range(n)]
     return Vocabulary(
-        classes, spanned, keys, np.array([prefixes[int(k)] for k in keys], np.int32), score, byte_ids, max(len(pieces[i]) for i in plain),
+        classes, spanned, np.append(keys, ~np.uint64(0)), near, np.append(ids, np.int32(-1)), score, byte_ids, max(len(pieces[i]) for i in plain),
         float(score[plain].min()) - 10, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]),
     )
 
 
 @dataclass
 class Lattice:
-    """Units of a slice. Row s of ``share`` has the chances of the next piece's length, ``piece`` its id (-1: by bytes)."""
+    """Units of a slice. ``first[s]`` to ``first[s + 1]`` are the pieces that may come next in state s, shorter ones first.
+
+    ``share`` has the chance of each, ``sums`` the chances of those up to it (the last is infinite), ``size`` its length and
+    ``piece`` its id (-1: by bytes).
+    """
 
     start: np.ndarray
     end: np.ndarray
     code: np.ndarray
+    first: np.ndarray
     share: np.ndarray
     sums: np.ndarray
+    size: np.ndarray
     piece: np.ndarray
 
 
+def _known(v: Vocabulary, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these hashes are prefixes of pieces, and the piece of each of those (-1: a prefix only)."""
+    key = h * _SPREAD
+    i = v.near[(key >> np.uint64(46)).astype(np.int64)]
+    held = v.prefixes[i]
+    more = np.flatnonzero(held < key)
+    while len(more):
+        i[more] += 1
+        held[more] = v.prefixes[i[more]]
+        more = more[held[more] < key[more]]
+    ok = np.flatnonzero(held == key)
+    return ok, v.piece[i[ok]]
+
+
 def build_lattice(v: Vocabulary, codes: np.ndarray, ends: np.ndarray, alpha: float) -> Lattice:
     """Characters of all texts (``ends`` of each) to units, with equal units sharing their states."""
     cls = v.classes[codes]
@@ -116,92 +145,133 @@ def build_lattice(v: Vocabulary, codes: np.ndarray, ends: np.ndarray, alpha: flo
     starts = ends[:-1]
     first[starts[starts < n]] = True
     begin = np.flatnonzero(first)
-    length = np.diff(np.append(begin, n))
-    h = np.zeros(len(begin), np.uint64)
-    live = np.arange(len(begin))
-    step = 0
-    while len(live):
-        h[live] = h[live] * _B + mix(codes[begin[live] + step].astype(np.uint64) + np.uint64(1))
-        step += 1
-        live = live[length[live] > step]
-    _, at, of = np.unique(mix(h + length.astype(np.uint64)), return_index=True, return_inverse=True)
+    stop = np.append(begin[1:], n)
+    length = stop - begin
+    _, at, of = np.unique(_ranges(mix(codes.astype(np.uint64) + np.uint64(1)), begin, stop, int(_B)), return_index=True, return_inverse=True)
     size = length[at]
     base = np.concatenate([[0], np.cumsum(size + 1)])
     total = int(base[-1])
-    # One state more than characters for each unit; the last one ends it.
+    # One state more than characters for each unit; the last one ends it and is of no class that a piece holds.
     unit = np.repeat(np.arange(len(at)), size)
     offset = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
-    state = base[unit] + offset
-    code = np.zeros(total, codes.dtype)
-    code[state] = codes[begin[at][unit] + offset]
-    left = np.zeros(total, np.int64)
-    left[state] = size[unit] - offset
+    state, place = base[unit] + offset, begin[at][unit] + offset
+    code, kind, left = np.zeros(total, codes.dtype), np.zeros(total, np.uint64), np.zeros(total, np.int64)
+    code[state], kind[state], left[state] = codes[place], cls[place], size[unit] - offset
     found = []
-    live, h = state, np.zeros(total, np.uint64)
+    live, h = state, np.zeros(len(state), np.uint64)
     for k in range(v.longest):
-        live = live[left[live] > k]
+        inside = np.flatnonzero(left[live] > k)
+        live = live[inside]
+        h = h[inside] * _B + kind[live + k]
+        ok, i = _known(v, h)
+        live, h = live[ok], h[ok]
+        whole = np.flatnonzero(i >= 0)
+        found.append((live[whole], i[whole], v.score[i[whole]] * alpha))
+        if k == 0:
+            lone = np.ones(total, bool)
+            lone[live[whole]] = False
+            lone[base[1:] - 1] = False
+            lone = np.flatnonzero(lone)
+            by = np.full(len(lone), -1, np.int32)
+            single = code[lone] < 128
+            by[single] = v.byte_ids[code[lone[single]]]
+            found.append((lone, by, np.full(len(lone), v.fallback * alpha)))
         if not len(live):
             break
-        h[live] = h[live] * _B + v.classes[code[live + k]].astype(np.uint64)
-        i = np.minimum(np.searchsorted(v.prefixes, h[live]), len(v.prefixes) - 1)
-        ok = v.prefixes[i] == h[live]
-        live, i = live[ok], v.piece[i[ok]]
-        if (i >= 0).any() or not found:
-            found += [(np.zeros(0, np.int64), np.zeros(0, np.int32))] * (k - len(found))
-            found.append((live[i >= 0], i[i >= 0]))
-    width = len(found)
-    score, piece = np.full((total, width), -np.inf), np.full((total, width), -1, np.int32)
-    for k, (live, i) in enumerate(found):
-        score[live, k] = v.score[i] * alpha
-        piece[live, k] = i
-    lone = state[piece[state, 0] < 0]
-    score[lone, 0] = v.fallback * alpha
-    single = lone[code[lone] < 128]
-    piece[single, 0] = v.byte_ids[code[single]]
-    best = np.zeros(total)
-    order = state[np.argsort(left[state], kind="stable")]
+    count = np.zeros(total, np.int64)
+    for states, _, _ in found:
+        count[states] += 1
+    first = np.concatenate([[0], np.cumsum(count)])
+    piece, score, reach = np.zeros(first[-1], np.int32), np.zeros(first[-1]), np.zeros(first[-1], np.int64)
+    free = first[:-1].copy()
+    # Pieces of one character, characters without one, then pieces of two, three and so on.
+    for k, (states, i, x) in enumerate(found):
+        e = free[states]
+        piece[e], score[e], reach[e] = i, x, max(k, 1)
+        free[states] = e + 1
+    # The best of each state by what is left of its unit, as the rest comes first.
+    order = state[np.argsort(left[state].astype(np.min_scalar_type(int(left.max(initial=0)))), kind="stable")]
     cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-    reach = np.arange(1, width + 1)
+    many = count[order]
+    where = np.concatenate([[0], np.cumsum(many)])
+    edge = np.arange(where[-1]) + np.repeat(first[order] - where[:-1], many)
+    score, target = score[edge], np.repeat(order, many) + reach[edge]
+    best, part = np.zeros(total), np.zeros(len(edge))
     for r in range(1, len(cuts)):
-        s, m = order[cuts[r - 1] : cuts[r]], min(r, width)
-        x = score[s, :m] + best[s[:, None] + reach[:m]]
-        top = x.max(axis=1)
-        best[s] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
-        score[s, :m] = x - best[s][:, None]
-    share = np.exp(score)
-    return Lattice(base[of], base[of] + size[of], code, share, np.cumsum(share, axis=1), piece)
-
-
-def _uniform(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
+        a, b = cuts[r - 1], cuts[r]
+        if a == b:
+            continue
+        lo, hi = where[a], where[b]
+        heads, number = where[a:b] - lo, many[a:b]
+        x = score[lo:hi] + best[target[lo:hi]]
+        top = np.maximum.reduceat(x, heads)
+        x = np.exp(x - np.repeat(top, number))
+        whole = np.add.reduceat(x, heads)
+        part[lo:hi] = x / np.repeat(whole, number)
+        best[order[a:b]] = top + np.log(whole)
+    share, sums = np.zeros(len(edge)), np.zeros(len(edge))
+    share[edge] = part
+    # Sums within a state; rounding may leave the last one off 1, and no piece comes after it.
+    live, e = state, first[state]
+    sums[e] = share[e]
+    for k in range(1, int(count.max(initial=0))):
+        live = live[count[live] > k]
+        e = first[live] + k
+        sums[e] = sums[e - 1] + share[e]
+    sums[first[state + 1] - 1] = np.inf
+    return Lattice(base[of], base[of] + size[of], code, first, share, sums, reach, piece)
+
+
+def _hashed(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
     h = key
     for p in parts:
         h = mix(h ^ (np.atleast_1d(p).astype(np.uint64) * _B + np.uint64(0x632BE59BD9B4E019)))
+    return h
+
+
+def _share_of(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
+def _uniform(key: np.ndarray, *parts: np.ndarray | int) -> np.ndarray:
+    return _share_of(_hashed(key, *parts))
+
+
+def _left(lat: Lattice, states: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Chances of the pieces of each state, without those whose bits are set."""
+    count = lat.first[states + 1] - lat.first[states]
+    k = np.arange(int(count.max(initial=1)))
+    there = (k < count[:, None]) & ((out[:, None] >> k) & 1 == 0)
+    return np.where(there, lat.share[np.where(there, lat.first[states][:, None] + k, 0)], 0.0)
+
+
 def _free_paths(lat: Lattice, at: np.ndarray, unit: np.ndarray, own: np.ndarray, key: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From each unit's state to its end by chance: (row of each step, its state, its length less 1), by row and step."""
-    end = lat.end[unit]
-    place = own[unit]
-    rows, states, lengths = [], [], []
-    live, state, start = np.flatnonzero(at < end), at.copy(), lat.start[unit]
+    """From each unit's state to its end by chance: (row of each step, its state, its place among the pieces), by row and step."""
+    end, start = lat.end[unit], lat.start[unit]
+    # The noise of a step is that of its row, mixed with its place.
+    noise = _hashed(key, turn, own[unit])
+    paths = []
+    size = np.zeros(len(at), np.int64)
+    live = np.flatnonzero(at < end)
+    s, noise, begin, end = at[live], noise[live], start[live], end[live]
     while len(live):
-        s = state[live]
-        u = _uniform(key[live], turn, place[live], s - start[live])
-        sums = lat.sums[s]
-        # Rounding may leave a row's sum off 1: u is scaled, so a piece that isn't there is never taken.
-        k = (sums <= (u * sums[:, -1])[:, None]).sum(axis=1)
-        rows.append(live)
-        states.append(s)
-        lengths.append(k)
-        state[live] = s + k + 1
-        live = live[state[live] < end[live]]
-    if not rows:
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    row = np.concatenate(rows)
-    order = np.argsort(row, kind="stable")
-    return row[order], np.concatenate(states)[order], np.concatenate(lengths)[order]
+        u = _share_of(_hashed(noise, s - begin))
+        e = lat.first[s]
+        more = np.flatnonzero(lat.sums[e] <= u)
+        while len(more):
+            e[more] += 1
+            more = more[lat.sums[e[more]] <= u[more]]
+        paths.append((live, s, e))
+        size[live] += 1
+        s = s + lat.size[e]
+        on = np.flatnonzero(s < end)
+        live, s, noise, begin, end = live[on], s[on], noise[on], begin[on], end[on]
+    head = np.cumsum(size) - size
+    states, edges = np.zeros(int(size.sum()), np.int64), np.zeros(int(size.sum()), np.int64)
+    for k, (live, s, e) in enumerate(paths):
+        i = head[live] + k
+        states[i], edges[i] = s, e
+    return np.repeat(np.arange(len(at)), size), states, edges
 
 
 def _truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -228,8 +298,8 @@ def sample_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, alph
     doc_of_unit = np.repeat(np.arange(n), np.diff(unit_of))
     own = np.arange(len(lat.start)) - unit_of[doc_of_unit]
     root = -np.log(-np.log(_uniform(key, 0, np.full(n, 1 << 40))))
-    # Of each text: its samples (unit, state, length, log-probability before each step; perturbed value; log-probability), and
-    # its open nodes (value, sample, step, pieces that aren't taken there).
+    # Of each text: its samples (unit, state, piece's place, log-probability before each step; perturbed value; log-probability),
+    # and its open nodes (value, sample, step, pieces that aren't taken there).
     samples: list[list[tuple]] = [[] for _ in texts]
     nodes: list[list[tuple[float, int, int, int]]] = [[(float(g), -1, -1, 0)] for g in root]
     kappa = np.full(n, -np.inf)
@@ -252,10 +322,10 @@ def sample_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, alph
         if branch:
             s = np.array([samples[jobs[i][0]][jobs[i][2]][1][jobs[i][3]] for i in branch])
             out = np.array([jobs[i][4] for i in branch])
-            sums = np.cumsum(np.where((out[:, None] >> np.arange(lat.share.shape[1])) & 1, 0.0, lat.share[s]), axis=1)
+            sums = np.cumsum(_left(lat, s, out), axis=1)
             u = _uniform(key[docs[branch]], turn, (1 << 41) + np.array([jobs[i][3] for i in branch]))
-            c = (sums <= (u * sums[:, -1])[:, None]).sum(axis=1)
-            taken[branch], state[branch] = c, s + c + 1
+            c = lat.first[s] + (sums <= (u * sums[:, -1])[:, None]).sum(axis=1)
+            taken[branch], state[branch] = c, s + lat.size[c]
             from_unit[branch] = [samples[jobs[i][0]][jobs[i][2]][0][jobs[i][3]] for i in branch]
         # Units still to be walked: the rest of the branch's own, then all after it.
         begin = unit_of[docs] + from_unit
@@ -265,7 +335,7 @@ def sample_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, alph
         at = lat.start[unit].copy()
         heads = (np.cumsum(count) - count)[branch] if branch else np.zeros(0, np.int64)
         at[heads] = state[branch]
-        row, states, steps = _free_paths(lat, at, unit, own, key[docs[job]], turn)
+        row, states, edges = _free_paths(lat, at, unit, own, key[docs[job]], turn)
         # Each job's new steps: the one it branches by, if any, then those of its free path; all jobs at once.
         job_of = job[row]
         cut = np.searchsorted(job_of, np.arange(len(jobs) + 1))
@@ -273,27 +343,27 @@ def sample_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, alph
         old = np.array([j[2] for j in jobs])
         low = np.where(old >= 0, [j[3] for j in jobs], 0)
         s = np.insert(states, where, [samples[jobs[i][0]][jobs[i][2]][1][jobs[i][3]] for i in branch])
-        m = np.insert(steps, where, taken[branch])
+        m = np.insert(edges, where, taken[branch])
         u = np.insert(own[unit[row]], where, from_unit[branch])
         cut = cut + np.concatenate([[0], np.cumsum(old >= 0)])
         size = np.diff(cut)
         job_of = np.repeat(np.arange(len(jobs)), size)
         with np.errstate(divide="ignore", invalid="ignore"):
-            share = lat.share[s, m]
+            share = lat.share[m]
             logs, rest = np.log(share), np.log1p(-np.minimum(share, 1.0))
         sums = np.concatenate([[0.0], np.cumsum(logs)])
         prefix = np.array([samples[d][o][3][e] if o >= 0 else 0.0 for d, _, o, e, _ in jobs])
         before = sums[:-1] - sums[cut[:-1]][job_of] + prefix[job_of]
-        bits = np.int64(1) << m.astype(np.int64)
+        bits = np.int64(1) << (m - lat.first[s])
         heads = cut[:-1][branch]
         if branch:
             bits[heads] |= np.array([jobs[i][4] for i in branch])
-            free = np.where((bits[heads][:, None] >> np.arange(lat.share.shape[1])) & 1, 0.0, lat.share[s[heads]]).sum(axis=1)
+            free = _left(lat, s[heads], bits[heads]).sum(axis=1)
             with np.errstate(divide="ignore"):
                 rest[heads] = np.where(free > 1e-12, np.log(free), -np.inf)
         value = np.array([j[1] for j in jobs])
         at_step = np.arange(len(s)) - cut[:-1][job_of] + low[job_of]
-        drawn = _truncated(before + rest, value[job_of], _uniform(key[docs][job_of], turn, (1 << 42) + at_step))
+        drawn = _truncated(before + rest, value[job_of], _uniform(_hashed(key[docs], turn)[job_of], (1 << 42) + at_step))
         want = k - turn
         for i, (d, g, o, e, _) in enumerate(jobs):
             a, b = cut[i], cut[i + 1]
@@ -308,7 +378,7 @@ def sample_texts(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, alph
     for d in range(n):
         rows = []
         for _, s, m, _, value, logp in samples[d]:
-            ids = lat.piece[s, m]
+            ids = lat.piece[m]
             if (ids < 0).any():
                 ids = _by_bytes(v, lat, s, ids)
             inclusion = 1.0 if np.isneginf(kappa[d]) else float(-np.expm1(-np.exp(min(700.0, logp - kappa[d]))))

@@ -70,6 +70,24 @@ def test_draws_follow_the_law(v, sp):
         assert abs(horvitz[i] - p) < 0.05
 
 
+def test_states_hold_only_the_pieces_that_can_come(v, sp):
+    text = "▁the▁queue▁é日x"
+    codes = np.array([ord(c) for c in text])
+    lat = g.build_lattice(v, codes, np.array([0, len(codes)]), 1.0)
+    ids = {sp.id_to_piece(i): i for i in range(259, sp.get_piece_size())}
+    want = 0
+    for start, end in zip(lat.start, lat.end, strict=True):
+        unit = "".join(chr(c) for c in lat.code[start:end])
+        for at in range(len(unit)):
+            there = [unit[at:e] for e in range(at + 1, len(unit) + 1) if unit[at:e] in ids]
+            cells = slice(lat.first[start + at], lat.first[start + at + 1])
+            assert [len(p) for p in there if len(p) > 1] == [n for n in lat.size[cells] if n > 1] and math.isclose(lat.share[cells].sum(), 1)
+            if unit[at] in ids:
+                assert [ids[p] for p in there] == lat.piece[cells].tolist()
+            want += len(there) + (unit[at] not in ids)
+    assert len(lat.share) == want and (lat.share > 0).all()
+
+
 def test_rows_depend_on_key_and_text_alone(v, spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
     many = g.sample_texts(v, texts, np.arange(60), 3)

@@ -156,8 +156,20 @@ def eval_form(text: Column) -> Column:
 
 def eval_canon(text: Column) -> Column:
     """A reference as similar ones are compared: no ``doi:``, no addresses, letters and digits alone."""
-    t = F.regexp_replace(eval_form(text), "(^|[^a-z0-9_])doi: *", "$1 ")
-    return F.array_join(found(F.regexp_replace(t, "https?://[^ ]+", " "), "[a-z0-9]+"), " ")
+    return _alnum(_without_places(eval_form(text)))
+
+
+def canon_of_form(form: Column) -> Column:
+    """``eval_canon`` of what ``eval_form`` gave; it looks for ``doi:`` and addresses only where there may be some."""
+    return _alnum(F.when(form.contains("doi:") | form.contains("http"), _without_places(form)).otherwise(form))
+
+
+def _without_places(form: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(form, "(^|[^a-z0-9_])doi: *", "$1 "), "https?://[^ ]+", " ")
+
+
+def _alnum(text: Column) -> Column:
+    return F.array_join(found(text, "[a-z0-9]+"), " ")
 
 
 def is_marker(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillgraph.functions import text as tx
+from quillgraph.operators.resolution import _common_subsequence
 
 
 def dedupe_by_priority(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -169,36 +171,71 @@ def similarity(a: str, b: str) -> float:
     return max(SequenceMatcher(None, a, b).ratio(), len(mine & other) / len(mine | other))
 
 
+def _letters(a: Counter, b: Counter) -> int:
+    """How many characters two strings have in common."""
+    return sum(min(n, b[c]) for c, n in a.items() if c in b)
+
+
 def _greedy_hits(gold: list[str], predicted: list[str], threshold: float) -> int:
-    free, hits = list(predicted), 0
+    """Every gold reference takes the first of the most similar ones that are free; by ``similarity``.
+
+    difflib is asked only where bounds of its ratio, from lengths, characters and the longest common subsequence (its blocks
+    are one), reach the threshold and pass the best so far.
+    """
+    better = lambda x, best: x >= threshold and x > best
+    free, hits = [(p, set(p.split()), Counter(p)) for p in predicted if p], 0
     for g in gold:
-        scores = [similarity(g, p) for p in free]
-        best = max(scores, default=0.0)
-        if best > 0 and best >= threshold:
-            free.pop(scores.index(best))
+        mine, own, places = set(g.split()), Counter(g), defaultdict(int)
+        best, at = 0.0, -1
+        for i, (p, other, letters) in enumerate(free):
+            few, many, total = min(len(mine), len(other)), max(len(mine), len(other)), len(g) + len(p)
+            score = len(mine & other) / len(mine | other) if many and better(few / many, best) else 0.0
+            if score < 1 and better(2.0 * min(len(g), len(p)) / total, best) and better(2.0 * sum(min(n, letters[c]) for c, n in own.items()) / total, best):
+                if not places:
+                    for k, c in enumerate(g):
+                        places[c] |= 1 << k
+                if better(2.0 * _common_subsequence(places, len(g), p) / total, best):
+                    score = similarity(g, p)
+            if better(score, best):
+                best, at = score, i
+        if at >= 0:
+            free.pop(at)
             hits += 1
     return hits
 
 
+def with_forms(rows: DataFrame, references: str, out: str) -> DataFrame:
+    """``rows`` with ``out``, an array of references as ``fuzzy_scores`` takes it: ``n`` different ones and their canonical forms.
+
+    References count once each in lower case with white space squeezed, and are compared in canonical form (``eval_canon``),
+    in order of the former.
+    """
+    forms = F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(references), F.array().cast("array<string>")), tx.eval_form), lambda x: x != "")))
+    canon = F.filter(F.transform("_forms", tx.canon_of_form), lambda x: x != "")
+    return rows.withColumn("_forms", forms).withColumn(out, F.struct(F.size("_forms").alias("n"), canon.alias("canon"))).drop("_forms")
+
+
 def fuzzy_prf(rows: DataFrame, gold: str, predicted: str, threshold: float = 0.72) -> DataFrame:
     """``rows`` with fuzzy_overlap, fuzzy_precision, fuzzy_recall and fuzzy_f1 of two arrays of references.
 
-    References count once each in lower case with white space squeezed, and are compared in canonical form (``eval_canon``),
-    in order of the former; every gold one takes the most similar predicted one that is still free, if ``similarity``
-    reaches the threshold.
+    Every gold one takes the most similar predicted one that is still free, if ``similarity`` reaches the threshold.
     """
-    forms = lambda c: F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), tx.eval_form), lambda x: x != "")))
-    canon = lambda c: F.filter(F.transform(c, tx.eval_canon), lambda x: x != "")
+    return fuzzy_scores(with_forms(with_forms(rows, gold, "_g"), predicted, "_p"), "_g", "_p", threshold).drop("_g", "_p")
+
+
+def fuzzy_scores(rows: DataFrame, gold: str, predicted: str, threshold: float = 0.72) -> DataFrame:
+    """The scores of ``fuzzy_prf`` from columns of ``with_forms``; a null one has no references."""
 
     @F.pandas_udf("int")
     def hits(g: pd.Series, p: pd.Series) -> pd.Series:
         return pd.Series([_greedy_hits(list(a), list(b), threshold) for a, b in zip(g, p, strict=True)], dtype="int32")
 
-    counted = rows.withColumns({"_g": forms(gold), "_p": forms(predicted)}).withColumn("fuzzy_overlap", hits(canon("_g"), canon("_p")))
-    share = lambda n: F.when(F.size(n) > 0, F.col("fuzzy_overlap") / F.size(n).cast("double")).otherwise(0.0)
-    out = counted.withColumns({"fuzzy_precision": share("_p"), "fuzzy_recall": share("_g")})
+    canon = lambda c: F.coalesce(F.col(f"{c}.canon"), F.array().cast("array<string>"))
+    counted = rows.withColumn("fuzzy_overlap", hits(canon(gold), canon(predicted)))
+    share = lambda c: F.when(F.col(f"{c}.n") > 0, F.col("fuzzy_overlap") / F.col(f"{c}.n").cast("double")).otherwise(0.0)
+    out = counted.withColumns({"fuzzy_precision": share(predicted), "fuzzy_recall": share(gold)})
     total = F.col("fuzzy_precision") + F.col("fuzzy_recall")
-    return out.withColumn("fuzzy_f1", F.when(total > 0, 2 * F.col("fuzzy_precision") * F.col("fuzzy_recall") / total).otherwise(0.0)).drop("_g", "_p")
+    return out.withColumn("fuzzy_f1", F.when(total > 0, 2 * F.col("fuzzy_precision") * F.col("fuzzy_recall") / total).otherwise(0.0))
 
 
 def macro_scores(rows: DataFrame, *scores: str) -> DataFrame:

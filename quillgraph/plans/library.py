@@ -239,8 +239,10 @@ def macro_split_scores(spark, sf):
 def fuzzy_split_scores(spark, sf):
     """Sentences of each turn against those of the turn before it, each matched once by similarity."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", tx.sentences(F.col("text")).alias("gold"), tx.sentences(F.lag("text").over(w)).alias("guess"))
-    return d.fuzzy_prf(rows, "gold", "guess").select("conv_id", "turn", "fuzzy_overlap", *[tx.micro(F.col(f"fuzzy_{x}")).alias(x) for x in ("precision", "recall", "f1")])
+    # Dealt before its sentences are found, which is most of the work besides the matching, and is done once for a turn.
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text").repartition("conv_id")
+    rows = d.with_forms(turns.select("conv_id", "turn", tx.sentences(F.col("text")).alias("gold")), "gold", "gold").withColumn("guess", F.lag("gold").over(w))
+    return d.fuzzy_scores(rows, "gold", "guess").select("conv_id", "turn", "fuzzy_overlap", *[tx.micro(F.col(f"fuzzy_{x}")).alias(x) for x in ("precision", "recall", "f1")])
 
 
 QUERIES = {

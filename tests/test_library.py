@@ -117,6 +117,30 @@ def test_fuzzy_scores_by_hand(spark):
     assert tuple(d.macro_scores(spark.createDataFrame([], "f double"), "f").first()) == (0, 0.0)
 
 
+def test_fuzzy_matches_ask_difflib_only_where_bounds_allow(monkeypatch):
+    rng = random.Random(3)
+    texts = lambda: ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 70))).strip() or "a" for _ in range(12)]
+    pairs = [(texts(), texts()) for _ in range(20)]
+    for g, p in pairs[:8]:
+        p[3:5] = [g[2][:-1] + "x", g[2]]
+        p[7] = " ".join(reversed(g[5].split()))
+    pairs += [(["a" * 250 + "b"], ["a" * 250 + "c", "a" * 251]), ([""], ["", "a"]), (["a b"], ["c d", "b a", "a b"])]
+    want = [greedy([x for x in g if x], [x for x in p if x]) for g, p in pairs]
+    calls = []
+    monkeypatch.setattr(d, "SequenceMatcher", lambda *a: calls.append(1) or SequenceMatcher(*a))
+    assert [d._greedy_hits(g, p, 0.72) for g, p in pairs] == want and sum(want) > 16
+    assert len(calls) < sum(len(g) * len(p) for g, p in pairs) // 20
+    for low in (0.0, 0.3, 0.5):
+        for g, p in pairs[:12]:
+            free, hits = list(p), 0
+            for x in g:
+                scores = [alike(x, y) for y in free]
+                if scores and max(scores) > 0 and max(scores) >= low:
+                    free.pop(scores.index(max(scores)))
+                    hits += 1
+            assert d._greedy_hits(g, p, low) == hits
+
+
 def test_small_functions(spark):
     row = spark.range(1).select(
         n.slug(F.lit(" Ab c! ")).alias("a"), n.slug(F.lit("--")).alias("b"), n.slug(F.lit(None).cast("string")).alias("c"), n.filename_fields(F.lit("/x/smithJones2001-SomeTitle_of,it.pdf")).alias("d"), n.filename_fields(F.lit("plain_name.pdf")).alias("e"),

@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
 Each round is two aggregations with partial (map-side) minima and two joins that AQE can split on skewed keys: a hash of the
-node is a second join key, so that both sides are exchanged for the join and neither is an aggregate's own output. Rounds
-end in a table in the shared folder. No edge list, label map or component ever reaches the driver.
+node is a second join key, so that both sides are exchanged for the join and neither is an aggregate's own output. Minima are
+merged, not broadcast: a compressed table passes for small. Rounds end in a table in the shared folder. No edge list, label
+map or component ever reaches the driver.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ def _with_min(arcs: DataFrame) -> DataFrame:
     """``arcs(u, v)`` with ``m``: the least of u and its neighbours."""
     least = arcs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     hashed = F.xxhash64("u").alias("h")
-    return arcs.select("*", hashed).join(least.select("*", hashed), ["u", "h"]).drop("h")
+    return arcs.select("*", hashed).join(least.select("*", hashed).hint("merge"), ["u", "h"]).drop("h")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -71,6 +71,13 @@ def test_groups_within_a_scope_are_whole(spark):
     assert r.groups_within(hot, "id", ["x", "y"], hot.where("id = 3")).count() == 30
 
 
+def test_groups_within_a_scope_over_a_long_chain(spark):
+    # Records i and i + 1 share a key, by turns one of x and one of y.
+    chain = spark.createDataFrame([(i, f"x{i // 2}", f"y{(i + 1) // 2}") for i in range(300)] + [(1000, "lone", None), (1001, "pair", None), (1002, "pair", None), (None, "x0", None)], "id long, x string, y string")
+    got = r.groups_within(chain, "id", ["x", "y"], chain.where("id in (299, 1000)")).collect()
+    assert sorted((x.id, x.group) for x in got) == [(i, 0) for i in range(300)]
+
+
 @pytest.mark.parametrize("block", [1 << 17, 4])
 def test_names_are_found_anywhere(spark, block):
     names = ["smith", "van der berg", "li", "o'neil", "ärger", "", "smithson", "no one", "1999", "99"]

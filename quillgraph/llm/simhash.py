@@ -170,7 +170,8 @@ def near_links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     # A hash as a further join key: both sides get exchanges of their own, so that a key of very many fingerprints can be split.
     hashed = F.xxhash64("m", "key").alias("h")
     shared = keyed.groupBy("m", "key").agg(F.count("*").alias("n")).where("n > 1").select("*", hashed)
-    met = keyed.select("*", hashed).join(shared, ["m", "key", "h"]).select("fp", "m", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # Spark sizes these rows as if no mask had multiplied them, so they pass for small; they are merged.
+    met = keyed.select("*", hashed).join(shared.hint("merge"), ["m", "key", "h"]).select("fp", "m", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     # Block b of a large bucket goes to each pair of blocks that has it; with one block that is (0, 0).
     dealt = met.withColumn("b", own).select(
@@ -343,12 +344,12 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     points = stage(marked.groupBy("fp").agg(F.min("k").alias("least")), "points")
     links = near_links(points.select("fp"), radius, block) if wide is None else near_links_wide(points.select("fp.*"), radius, parts, wide, block)
     # Only linked fingerprints have a name to look for, and names are a table: Spark sees its size, and beyond a broadcast
-    # can split a large component.
-    groups = stage(connected_components(links).join(points, F.col("node") == F.col("fp")).select("fp", "component", "least"), "groups")
+    # can split a large component. What has a row for each fingerprint is merged: stored, it passes for small.
+    groups = stage(connected_components(links).join(points.hint("merge"), F.col("node") == F.col("fp")).select("fp", "component", "least"), "groups")
     names = stage(groups.groupBy("component").agg(F.min("least").alias("name")), "names")
     named = stage(groups.join(names, "component").select("fp", "name"), "named")
-    labels = points.join(named, "fp", "left").select("fp", F.when(F.col("name").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
-    return marked.join(labels, "fp").select(F.col("k").alias(key), (F.col("fp") if wide is None else F.col("fp.a")).alias("fingerprint"), "component")
+    labels = points.join(named.hint("merge"), "fp", "left").select("fp", F.when(F.col("name").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
+    return marked.join(labels.hint("merge"), "fp").select(F.col("k").alias(key), (F.col("fp") if wide is None else F.col("fp.a")).alias("fingerprint"), "component")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,3 +174,10 @@ def test_forest_keeps_groups():
     after = groups(((a, b), (c, d)) for a, b, c, d in zip(*(got[c] for c in ("ua", "ub", "va", "vb")), strict=True))
     assert len(got["ua"]) < 150 and all(after.get(x, x) == r for x, r in before.items())
     assert list(simhash._forest(iter([]))) == []
+
+
+def test_keys_of_all_masks_are_not_broadcast(spark):
+    """A row becomes 31, which Spark's estimate leaves out: it would send all of them to the driver."""
+    points = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.near_links(points)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

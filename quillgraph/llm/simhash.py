@@ -37,10 +37,12 @@ LINKS = 1 << 20
 def covering_masks(radius: int = RADIUS, bits: int = 64, seed: int = 11) -> list[int]:
     """2**(radius + 1) - 1 masks; any ``radius`` positions are all left out by one mask at least.
 
-    Vectors are dealt evenly, so masks keep about half of the positions.
+    Vectors are dealt evenly, so masks keep about half of the positions. Where there are more vectors than positions those
+    of the upper half come first: each mask keeps half of them (a first-order Reed-Muller code) or, one mask, all. With the
+    lower half one mask would keep a position or none, and its keys would hold half of all points.
     """
     size = 1 << (radius + 1)
-    vectors = np.random.default_rng(seed).permutation(np.arange(bits) % (size - 1) + 1)
+    vectors = np.random.default_rng(seed).permutation(size - 1 - np.arange(bits) % (size - 1))
     return [sum(1 << i for i in range(bits) if bin(int(vectors[i]) & v).count("1") & 1) for v in range(1, size)]
 
 

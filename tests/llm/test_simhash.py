@@ -181,3 +181,10 @@ def test_keys_of_all_masks_are_not_broadcast(spark):
     points = spark.range(1000).select(F.xxhash64("id").alias("fp"))
     plan = simhash.near_links(points)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("radius, bits", [(4, 64), (5, 32), (3, 16), (2, 64)])
+def test_masks_keep_half_of_the_positions(radius, bits):
+    """A mask of few positions has few keys, whose buckets grow with the table: work would grow with its square."""
+    masks = simhash.covering_masks(radius, bits)
+    assert min(m.bit_count() for m in masks) >= bits // 2

@@ -210,3 +210,44 @@ def test_only_entities_go_to_python(spark):
     found = df.select(tx.html_text(F.col("h")).alias("t"))
     assert [r.t for r in found.collect()] == ["<" + "x" * 50 + "&¬it;A", "no entity", "", "é"]
     assert "regexp_extract_all" in next(x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "_unescaped(" in x and "ArrowEvalPython" in x) or "_unescaped(regexp_extract_all" in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_many_pairs_match_as_difflib_does():
+    import numpy as np
+
+    rng = random.Random(4)
+    texts = ["", "a", "a" * 64, "ab" * 32, "ba" * 90, "a" * 199] + ["".join(rng.choices("ab c", k=rng.randint(1, 70))) for _ in range(60)]
+    place = {c: i for i, c in enumerate("ab c")}
+    codes, masks = np.full((len(texts), 199), 4), np.zeros((len(texts), 5), np.uint64)
+    for i, x in enumerate(texts):
+        codes[i, : len(x)] = [place[c] for c in x]
+        for j, c in enumerate(x if len(x) <= 64 else ""):
+            masks[i, place[c]] |= np.uint64(1 << j)
+    a, b = (x.ravel() for x in np.meshgrid([i for i, x in enumerate(texts) if len(x) <= 64], range(len(texts))))
+    lengths = np.array([len(x) for x in texts])
+    want = [sum(m.size for m in SequenceMatcher(None, texts[i], texts[j]).get_matching_blocks()) for i, j in zip(a, b, strict=True)]
+    assert r._matched(masks, a, codes[b], lengths[a], lengths[b]).tolist() == want
+
+
+def test_equal_titles_are_worked_once(monkeypatch):
+    """Copies of a title share what is found for it."""
+    import pandas as pd
+
+    calls, inner = [], r._common_subsequences
+    monkeypatch.setattr(r, "_common_subsequences", lambda masks, n, codes, lengths: calls.append(len(lengths)) or inner(masks, n, codes, lengths))
+    titles = ["an aianque en de vequeu des an", "thtion on of a tionre ble hees the"]
+    targets = pd.DataFrame({"target_id": range(300), "target_title": [titles[1]] * 300, "target_year": 2014, "target_doi": None, "target_authors": [["src14"]] * 300, "target_key": "k"})
+    refs = pd.DataFrame({"reference_id": range(1000, 1300), "title_norm": titles[0], "year": 2014, "author_token": "src14", "doi": None, "floor": None})
+    got = list(r._match_block(refs, targets, 2))
+    assert len(got) == 600 and {x[4] for x in got} == {round(0.6 * 0.40625 + 0.2 * 0.0 + 0.12 * 1.0 + 0.08 * 1.0, 4)} and sum(calls) <= 1
+
+
+def test_pairs_of_blocks_are_not_merged_by_bytes(spark, monkeypatch):
+    """Titles are few bytes, and a task that adaptive execution makes of many blocks would compare them all."""
+    refs = spark.range(600).selectExpr("id as reference_id", "concat('title ', id % 50) as title_norm", "2000 as year", "'x' as author_token", "cast(null as string) as doi")
+    targets = spark.range(600).selectExpr("id as target_id", "concat('title ', id % 50) as target_title", "2000 as target_year", "cast(null as string) as target_doi", "array('x') as target_authors", "'k' as target_key")
+    found = r.best_matches(refs, targets, 2, 100)
+    assert found.count() == 1200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    held = [x for x in plan.split("\n") if "Exchange hashpartitioning(rb" in x]
+    assert len(held) == 2 and all("REPARTITION_BY_NUM" in x for x in held)

@@ -37,6 +37,11 @@ STEPS = (
     (rf"\n[{_MARKS}]*\n", "\x01"),
     (rf"(?:^|\x01)[{_MARKS}]*(?:copyright|\(c\)|©|all rights reserved)[^\x01]*", "\x01"),
 )
+#: What Java finds faster in the place of a step, with the same result: an opening is looked for by its first letter, and only
+#: then the mark before it.
+_QUICK = {STEPS[1][0]: (f"(?=[{''.join(sorted({o[0] for o in OPENINGS}))}])(?<=[{_MARKS}])(" + "|".join(o.replace(" ", _GAP) for o in OPENINGS) + ")", "\n\n{1}")}
+#: All marks, one by one.
+_EACH = "".join(chr(i) for i in range(128) if not chr(i).isdigit() and not "a" <= chr(i) <= "z") + "“”‘’„«»–—…•·\xa0"
 #: Texts without any of these have no notice, and skip those steps.
 SIGNS = ("copyright", "(c)", "©", "all rights reserved")
 #: Spellings that mean the same, as they stand after punctuation has gone. Applied in this order.
@@ -72,9 +77,11 @@ def canonical(text: Column) -> Column:
         signed = signed | F.contains(t, F.lit(sign))
     bare = t
     for pattern, new in STEPS:
+        pattern, new = _QUICK.get(pattern, (pattern, new))
         bare = F.regexp_replace(bare, pattern, new.replace("{1}", "$1").replace("{2}", "$2"))
     t = F.when(signed, bare).otherwise(t)
-    t = F.concat(F.lit(" "), F.regexp_replace(t, PUNCTUATION, " "), F.lit(" "))
+    # Runs of punctuation become one blank: each mark a blank by itself, then runs of blanks, of which there are few.
+    t = F.concat(F.lit(" "), F.regexp_replace(F.translate(t, _EACH, " " * len(_EACH)), " {2,}", " "), F.lit(" "))
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
     return F.trim(t)

@@ -72,3 +72,26 @@ def test_wrapped_texts_are_found(spark, mark):
 def test_licence_copies_are_dealt_to_tasks(spark, sf):
     parts = spark.read.parquet(f"{sf}/part.parquet").count()
     assert licences.license_copies(spark, sf, rows=50).rdd.getNumPartitions() >= parts // 50 > 1
+
+
+def test_quick_forms_give_what_the_steps_say(spark):
+    """The steps as they stand, in Python, on texts made of openings, signs and marks."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    pieces = [*licences.OPENINGS, "copyright", "(c)", "©", "all rights reserved", "\n\n", "\n \n", " ", "  ", "—", "\xa0", "_", "\x00", "\x01", "\x7f", "a", "é", "9", "the mit licence", "licen", "x", ".", "-"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 25))) for _ in range(2000)]
+
+    def plain(t):
+        if any(sign in t for sign in licences.SIGNS):
+            for pattern, new in licences.STEPS:
+                t = re.sub(pattern, new.replace("{1}", "\\1").replace("{2}", "\\2"), t)
+        t = f" {re.sub(licences.PUNCTUATION, ' ', t)} "
+        for old, new in licences.SPELLINGS:
+            t = t.replace(old, new)
+        return t.strip(" ")
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licences.canonical(F.col("t")).alias("c"))
+    assert [r.c for r in got.collect()] == [plain(t) for t in texts]
+    assert set(licences._QUICK) <= {p for p, _ in licences.STEPS} and set(licences._EACH) == {chr(i) for i in range(0x3000) if re.match(licences.PUNCTUATION, chr(i))}

@@ -351,7 +351,9 @@ def near_duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "te
     names = stage(groups.groupBy("component").agg(F.min("least").alias("name")), "names")
     named = stage(groups.join(names, "component").select("fp", "name"), "named")
     labels = points.join(named.hint("merge"), "fp", "left").select("fp", F.when(F.col("name").isNull(), F.col("least")).otherwise(F.col("name")).alias("component"))
-    return marked.join(labels.hint("merge"), "fp").select(F.col("k").alias(key), (F.col("fp") if wide is None else F.col("fp.a")).alias("fingerprint"), "component")
+    # Copies share a fingerprint: with a hash as a further key both sides are exchanged for the join, and AQE can split it.
+    hashed = F.xxhash64("fp").alias("h")
+    return marked.select("*", hashed).join(labels.select("*", hashed).hint("merge"), ["fp", "h"]).select(F.col("k").alias(key), (F.col("fp") if wide is None else F.col("fp.a")).alias("fingerprint"), "component")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
